@@ -96,15 +96,19 @@ def mix(
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix trains on them, same columns: a row for each pass that takes words of a document, its text cut
-    after the words taken; documents of which nothing is taken go. doc_id must be unique."""
-    got = mix(docs, **options).select(F.col("doc_id").alias("_mix_id"), F.explode(F.filter(F.array("taken_1", "taken_2"), lambda n: n > 0)).alias("_mix_n"), F.col("size").alias("_mix_size"))
-    cols = docs.columns
+    """``docs`` (with text and source) as the mix trains on them, same columns: a row for each pass that takes words of
+    a row, its text cut after the words taken; rows of which nothing is taken go. Equal rows each have their own."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.xxhash64(*cols).alias("key"), F.struct(*cols).alias("row"))
+    got = mix(keyed.select("key", "row.text", "row.source"), id_col="key", **options)
+    parts = F.filter(F.array("taken_1", "taken_2"), lambda n: n > 0)
+    got = got.where("taken > 0").groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list(parts)).alias("parts"), F.max("size").alias("size"))
+    rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key").select("row", "size", F.explode("parts").alias("n"))
     word = rf"[{WS}]*{WORD}"
-    first = F.regexp_extract("text", F.concat(F.lit(f"^((?:{word}){{"), F.col("_mix_n").cast("string"), F.lit("})")), 1)
-    cut = F.when(F.col("_mix_n") >= F.col("_mix_size"), F.col("text")).otherwise(first)
-    joined = docs.join(got, docs["doc_id"] == got["_mix_id"])
-    return joined.withColumn("text", cut).select(*cols)
+    text = F.col("row.text")
+    first = F.regexp_extract(text, F.concat(F.lit(f"^((?:{word}){{"), F.col("n").cast("string"), F.lit("})")), 1)
+    cut = F.when(F.col("n") >= F.col("size"), text).otherwise(first)
+    return rows.select(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

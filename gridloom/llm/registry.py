@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, jaccard, mixing, quality, quality_rules, secrets, url_filter
+from . import bpe, chat, embeddings, jaccard, mixing, quality, quality_rules, secrets, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -18,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat.op8_chat_format,
     "op9_secrets": secrets.op9_secrets,
+    "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
 SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE}
