@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, WS, materialize, shuffle_partitions, table
+from .common import WORD, materialize, shuffle_partitions, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -104,9 +104,10 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     parts = F.filter(F.array("taken_1", "taken_2"), lambda n: n > 0)
     got = got.where("taken > 0").groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list(parts)).alias("parts"), F.max("size").alias("size"))
     rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key").select("row", "size", F.explode("parts").alias("n"))
-    word = rf"[{WS}]*{WORD}"
-    text = F.col("row.text")
-    first = F.regexp_extract(text, F.concat(F.lit(f"^((?:{word}){{"), F.col("n").cast("string"), F.lit("})")), 1)
+    text, n = F.col("row.text"), F.col("n").cast("int")
+    length = lambda xs: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    # A text is a gap and a word in turn; the first n of both make up its beginning.
+    first = F.substring(text, F.lit(1), length(F.split(text, WORD, -1)) + length(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
     cut = F.when(F.col("n") >= F.col("size"), text).otherwise(first)
     return rows.select(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
