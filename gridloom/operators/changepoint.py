@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.sources.tables import stage
+
 PARAMS = {"2P": 2, "3P_cooling": 3, "3P_heating": 3, "4P": 4, "5P": 5}
 
 
@@ -117,7 +119,9 @@ def _model(df: DataFrame, kind: str, r2: Column, params: dict[str, Column], bps:
 
 
 def select_model(p: DataFrame) -> DataFrame:
-    """The model of the best adjusted R-squared; of ties the one of fewer parameters, then as listed."""
+    """The model of the best adjusted R-squared; of ties the one of fewer parameters, then as listed. The points are
+    written once, since five fits read them."""
+    p = stage(p, "points")
     fits = [fit_2p(p), fit_3p(p, "cooling"), fit_3p(p, "heating"), fit_4p(p), fit_5p(p)]
     every = fits[0]
     for f in fits[1:]:

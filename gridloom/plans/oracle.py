@@ -64,6 +64,8 @@ W = (*E, TEMP)
 
 
 def q(parts: tuple[str, ...], select: str) -> str:
+    """The parts before a final select, whose floats are rounded as in the queries: a hair more, and no negative zero."""
+    select = select.replace(", 4)", " + 1e-7, 4) + 0.0")
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 

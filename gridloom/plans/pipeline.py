@@ -11,11 +11,12 @@ from gridloom.functions.windows import DAY
 from gridloom.operators import entities, events, features, grid, states, weather
 from gridloom.sources.config import with_defaults
 from gridloom.sources.demand import write_csv
+from gridloom.sources.tables import stage
 
 
 @dataclass
 class MeterTables:
-    """Lazy tables. ``interval`` is persisted; call ``interval.unpersist()`` when done."""
+    """Lazy tables over the intervals and their states, which are written once in the shared folder."""
 
     interval: DataFrame
     daily: DataFrame
@@ -25,7 +26,7 @@ class MeterTables:
 
 
 def run_meters(readings: DataFrame, cfg: dict | None = None, *, tz: str = "UTC", resolution_minutes: float = 60, check: bool = True) -> MeterTables:
-    """All meters and days in one lazy plan. ``readings``: meter_id, ts_s, demand_kw, and optionally ingest_seq."""
+    """All meters and days at once. ``readings``: meter_id, ts_s, demand_kw, and optionally ingest_seq."""
     cfg = with_defaults(cfg)
     if check:
         grid.check_report(grid.validate_input(readings), cfg["data_quality"]["negative_demand_severity"])
@@ -39,15 +40,16 @@ def run_meters(readings: DataFrame, cfg: dict | None = None, *, tz: str = "UTC",
     s = states.normalize_demand(smooth, base, peak=cfg["normalization"]["peak_for_normalization"])
     t = cfg["operating_threshold"]
     s = states.persistence(states.hysteresis(s, entry=t["alpha_entry"], exit=t["alpha_exit"]), min_minutes=t["min_state_persistence_minutes"])
-    # Seven tables start from here; what is lost of it is computed again.
-    s = s.persist()
+    # All day tables start from here, the baseline and the quality of the days included.
+    s = stage(s, "states")
+    base = s.where("baseline_kw is not null").select(*DAY, "baseline_kw", "operating_range_kw", "is_continuous").distinct()
     periods = states.operating_periods(s, min_minutes=cfg["multiple_periods"]["min_period_duration_minutes"], gap_minutes=cfg["multiple_periods"]["min_baseline_gap_minutes"])
     gradual = cfg["smoothing"]["window_minutes"]
     starts = events.best_event(events.start_candidates(s), cfg["start_detection"], gradual_minutes=gradual)
     ends = events.best_event(events.end_candidates(s), cfg["end_detection"], gradual_minutes=gradual)
     ramps = events.ramp_events(s, cfg=cfg["ramp_detection"])
     peaks = events.peak_events(s, cfg=cfg["peak_detection"], widths=tuple(cfg["breadth"]["peak_thresholds"]))
-    quality = grid.daily_quality(regular, min_completeness=cfg["data_quality"]["min_completeness_fraction"])
+    quality = grid.daily_quality(s, min_completeness=cfg["data_quality"]["min_completeness_fraction"])
     vector = features.daily_features(s, base, quality, starts, ends, ramps, peaks, periods, tuple(cfg["breadth"]["operating_thresholds"]))
     keep = ["meter_id", "ts_s", "local_date", "hour", "demand_kw", "demand_kw_raw", "is_observed", "is_interpolated", "is_missing", "data_quality_flag", F.col("smooth_kw").alias("analysis_demand_kw"), "normalized_demand", "baseline_kw", "state"]
     return MeterTables(s.select(*keep), features.classify_day(vector, cfg["classification"], tz=tz), ramps, peaks, periods)

@@ -23,8 +23,8 @@ MEMBERS = [("interest", "click"), ("interest", "view"), ("sales", "purchase"), (
 
 
 def show(df: DataFrame) -> DataFrame:
-    """Floats rounded, dates as text."""
-    fix = {"double": lambda c: F.round(c, 4), "date": lambda c: F.col(c).cast("string")}
+    """Floats rounded, dates as text. A hair more, as halves that binary fractions just miss would go either way."""
+    fix = {"double": lambda c: F.round(F.col(c) + 1e-7, 4) + 0.0, "date": lambda c: F.col(c).cast("string")}
     return df.select(*[fix[t](c).alias(c) if t in fix else F.col(c) for c, t in df.dtypes])
 
 
