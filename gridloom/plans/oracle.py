@@ -57,6 +57,10 @@ XY = """dd AS (SELECT entity_id, (to_timestamp(ts_s) AT TIME ZONE 'UTC')::DATE A
 p AS (SELECT entity_id, x, y FROM dd WHERE x IS NOT NULL AND y IS NOT NULL),
 bps AS (SELECT entity_id, unnest(range((floor(min(x)) + 1)::BIGINT, ceil(max(x))::BIGINT))::DOUBLE AS bp FROM p GROUP BY 1)"""
 DIRTY = "di AS (SELECT meter_id, ts_s, CASE WHEN ts_s % 72000 = 0 THEN -demand_kw ELSE demand_kw END AS demand_kw, 1 AS seq FROM h UNION ALL SELECT meter_id, ts_s, demand_kw + 1, 2 FROM h WHERE ts_s % 50400 = 0)"
+NORM = "nd AS (SELECT *, CASE WHEN top - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (top - baseline_kw) END AS nv, ts_s - lag(ts_s) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS step FROM sf)"
+GAPS = """mg AS (SELECT *, sum(CASE WHEN m IS DISTINCT FROM pm THEN 1 ELSE 0 END) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS run
+  FROM (SELECT *, demand_kw IS NULL AS m, lag(demand_kw IS NULL) OVER w AS pm, lead(ts_s) OVER w AS nx FROM g WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s))),
+mq AS (SELECT meter_id, local_date, max(s) / 60 AS gap FROM (SELECT meter_id, local_date, run, arg_max(coalesce(nx, ts_s), ts_s) - min(ts_s) AS s FROM mg WHERE m GROUP BY ALL) GROUP BY ALL)"""
 
 G, S, R, B, T = (H, GRID), (H, GRID, SMOOTH), (H, GRID, SMOOTH, REGION), (H, GRID, SMOOTH, REGION, BASE), (H, GRID, SMOOTH, REGION, BASE, STATE)
 E = (H, MEM, GRID, FRAME)
@@ -125,4 +129,22 @@ SQL: dict[str, str] = {
     "peak_concentration": q((*G, "pk AS (SELECT meter_id, local_date, arg_min(ts_s, row(-demand_kw, ts_s)) AS pt FROM g WHERE demand_kw IS NOT NULL GROUP BY ALL)"), "SELECT g.meter_id, CAST(g.local_date AS VARCHAR) AS local_date, round(sum(CASE WHEN abs(ts_s - pt) <= 1800 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_30min, round(sum(CASE WHEN abs(ts_s - pt) <= 3600 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_1hr FROM g LEFT JOIN pk ON pk.meter_id = g.meter_id AND pk.local_date = g.local_date GROUP BY g.meter_id, g.local_date"),
     "mean_abs_ramp": q((*G, "mr AS (SELECT meter_id, local_date, abs((demand_kw - lag(demand_kw) OVER w) / ((ts_s - lag(ts_s) OVER w) / 3600)) AS r FROM g WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s))"), f"SELECT meter_id, {day}, round(avg(r), 4) AS mean_absolute_ramp_kw_per_hr FROM mr GROUP BY meter_id, mr.local_date"),
     "profile_matrix": q(E, f"SELECT entity_id, {day}, count(*)::INT AS n, round(sum(demand_kw) + 1e-7, 2) AS total FROM f GROUP BY entity_id, f.local_date HAVING count(*) = 24 AND count(demand_kw) = 24"),
+    "project_demand": q((H,), "SELECT meter_id, ts_s, round(demand_kw, 4) AS demand_kw, round(demand_kw, 4) AS demand_kw_raw FROM h"),
+    "parse_ts": q((H,), "SELECT DISTINCT strftime(t, '%Y-%m-%d %H:%M:%S') AS wall, epoch(timezone('America/Chicago', t::TIMESTAMP))::BIGINT AS ts_s FROM h"),
+    "scan_temperature": q(W, "SELECT ts_s, round(temperature_f, 4) AS temperature_f FROM tp"),
+    "states": q(T, "SELECT meter_id, ts_s, round(up, 4) AS entry_kw, round(down, 4) AS exit_kw, raw_state, state FROM sf"),
+    "entity_frame": q(E, f"SELECT entity_id, ts_s, {day}, hour::INT AS hour, round(demand_kw, 4) AS demand_kw, n_meters_reporting, demand_kw IS NULL AS is_missing FROM f"),
+    "peakiness": q((*B, "pe AS (SELECT meter_id, local_date, max(demand_kw) AS mx, avg(demand_kw) AS av FROM g GROUP BY ALL)"), "SELECT pe.meter_id, CAST(pe.local_date AS VARCHAR) AS local_date, round(CASE WHEN av > 0 THEN mx / av END, 4) AS peak_to_average, round(CASE WHEN baseline_kw > 0 THEN mx / baseline_kw END, 4) AS peak_to_baseline, round(CASE WHEN mx > 0 THEN av / mx END, 4) AS load_factor FROM pe LEFT JOIN base ON base.meter_id = pe.meter_id AND base.local_date = pe.local_date"),
+    "longest_gap": q((*G, GAPS), f"SELECT meter_id, {day}, round(gap, 4) AS longest_missing_gap_minutes FROM mq"),
+    "daily_quality": q((*G, GAPS, "dc AS (SELECT meter_id, local_date, count(*) AS n, count(read_kw) AS o, count(demand_kw) - count(read_kw) AS i, count(*) - count(demand_kw) AS m FROM g GROUP BY ALL)", "dq AS (SELECT dc.*, coalesce(gap, 0) AS gap, o / n AS share FROM dc LEFT JOIN mq ON mq.meter_id = dc.meter_id AND mq.local_date = dc.local_date)"),
+        f"SELECT meter_id, {day}, n AS expected_intervals, o AS observed_intervals, i AS interpolated_intervals, m AS missing_intervals, round(share, 4) AS completeness_fraction, round(i / n, 4) AS interpolation_fraction, round(gap, 1) AS longest_missing_gap_minutes, CASE WHEN share >= 0.75 AND gap <= 60 THEN 'GOOD' WHEN share >= 0.5 THEN 'ACCEPTABLE' WHEN share >= 0.25 THEN 'POOR' ELSE 'UNUSABLE' END AS quality_status FROM dq"),
+    "primary_shape": q((*E, SHAPE), f"SELECT entity_id, {day}, der_primary_shape FROM sp"),
+    "meter_interval": q(T, f"SELECT meter_id, ts_s, {day}, hour(t)::INT AS hour, round(demand_kw, 4) AS demand_kw, round(read_kw, 4) AS demand_kw_raw, read_kw IS NOT NULL AS is_observed, read_kw IS NULL AND demand_kw IS NOT NULL AS is_interpolated, demand_kw IS NULL AS is_missing, CASE WHEN read_kw IS NOT NULL THEN 'observed' WHEN demand_kw IS NOT NULL THEN 'interpolated' ELSE 'missing' END AS data_quality_flag, round(v, 4) AS analysis_demand_kw, round(CASE WHEN top - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (top - baseline_kw) END, 4) AS normalized_demand, round(baseline_kw, 4) AS baseline_kw, state FROM sf"),
+    "entity_interval": q(E, f"SELECT entity_id, ts_s, round(demand_kw, 4) AS demand_kw, n_meters_reporting, demand_kw IS NULL AS is_missing, {day}, year(t)::INT AS year, month(t)::INT AS month, day(t)::INT AS day, dayofyear(t)::INT AS day_of_year, hour::INT AS hour, minute(t)::INT AS minute, (isodow(t) - 1)::INT AS day_of_week, dayname(t) AS day_name, isodow(t) < 6 AS is_weekday, isodow(t) >= 6 AS is_weekend, 'winter' AS season, CASE WHEN isodow(t) < 6 THEN 'weekday' ELSE 'weekend' END AS day_type FROM f"),
+    "entity_daily": q((*E, SUMMARY, SHAPE), "SELECT su.entity_id, CAST(su.local_date AS VARCHAR) AS local_date, is_complete_day, round(daily_energy_kwh, 4) AS daily_energy_kwh, round(maximum_demand_kw, 4) AS maximum_demand_kw, peak_time_minutes::INT AS peak_time_minutes, round(mo, 4) AS morning_peak_kw, round(mi, 4) AS midday_peak_kw, round(af, 4) AS afternoon_peak_kw, round(ev, 4) AS evening_peak_kw, round(night, 4) AS overnight_mean_kw, round(night, 4) AS nighttime_mean_kw, round(sh.day, 4) AS daytime_mean_kw FROM su JOIN sh ON sh.entity_id = su.entity_id AND sh.local_date = su.local_date"),
 }
+_hours = [f"round(count(*) FILTER (nv >= {t / 100}) * quantile_cont(step, 0.5) / 3600, 4) AS duration_above_{t}pct_hours" for t in (20, 50, 80)]
+_energy = [f"round(sum(CASE WHEN nv >= {t / 100} THEN demand_kw ELSE 0 END) / nullif(sum(demand_kw), 0), 4) AS energy_frac_above_{t}pct" for t in (20, 50, 80)]
+for _name, _columns in (("breadth", _hours + _energy), ("breadth_hours", _hours), ("breadth_energy", _energy)):
+    SQL[_name] = q((*T, NORM), f"SELECT meter_id, {day}, {', '.join(_columns)} FROM nd GROUP BY meter_id, nd.local_date")
+SQL |= {"study_coincidence": SQL["coincidence_study"], "daily_coincidence": SQL["coincidence_daily"]}

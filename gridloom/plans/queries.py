@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.windows import DAY, local
 from gridloom.operators import changepoint, clustering, entities, events, features, grid, states, weather
 from gridloom.plans import pipeline
 from gridloom.sources.config import with_defaults
-from gridloom.sources.demand import hourly_events
+from gridloom.sources.demand import hourly_events, instant, project_demand
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Hourly data: gaps of two hours are filled, and three points smoothed.
@@ -24,10 +24,14 @@ MEMBERS = [("interest", "click"), ("interest", "view"), ("sales", "purchase"), (
 
 def show(df: DataFrame) -> DataFrame:
     """Floats rounded, dates as text. A hair more, as halves that binary fractions just miss would go either way."""
-    fix = {"double": lambda c: F.round(F.col(c) + 1e-7, 4) + 0.0, "date": lambda c: F.col(c).cast("string")}
+    fix = {"double": four, "date": lambda c: F.col(c).cast("string")}
     return df.select(*[fix[t](c).alias(c) if t in fix else F.col(c) for c, t in df.dtypes])
 
 
+def four(c: str) -> Column:
+    return (F.round(F.col(c) + 1e-7, 4) + 0.0).alias(c)
+
+
 def members(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MEMBERS, "entity_id string, meter_id string")
 
@@ -80,7 +84,7 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model(df: DataFrame) -> DataFrame:
-    return df.select("entity_id", "model_type", F.round("r_squared", 4).alias("r_squared"), F.round("adjusted_r_squared", 4).alias("adjusted_r_squared"), "n_points", F.array_join(F.transform("breakpoints", lambda x: x.cast("int").cast("string")), ",").alias("breakpoints"))
+    return df.select("entity_id", "model_type", four("r_squared"), four("adjusted_r_squared"), "n_points", F.array_join(F.transform("breakpoints", lambda x: x.cast("int").cast("string")), ",").alias("breakpoints"))
 
 
 def dirty(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +105,15 @@ def tables(spark: SparkSession, d: str) -> pipeline.MeterTables:
     return pipeline.run_meters(hourly_events(spark, d), CFG, check=False)
 
 
+def written(spark: SparkSession, d: str) -> DataFrame:
+    """The hours as a file would hold them: local wall-clock text, and columns of other names."""
+    return hourly_events(spark, d).select(F.col("meter_id").alias("m"), F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd HH:mm:ss").alias("wall"), F.col("demand_kw").alias("kw"))
+
+
+def daily(*columns: str) -> Query:
+    return lambda s, d: show(tables(s, d).daily.select(*DAY, *columns))
+
+
 def _kmeans(spark: SparkSession, d: str) -> clustering.Clusters:
     m = clustering.profile_matrix(frame(spark, d).where("entity_id = 'all'"), per_day=24)
     return clustering.cluster_profiles(m, max_k=4, tries=3)
@@ -155,8 +168,8 @@ QUERIES: dict[str, Query] = {
     "fam_rank": lambda s, d: show(entities.demand_families(frame(s, d), ranks=(10,)).select("entity_id", "ts_s", "top_rank_10")),
     "daily_summary": lambda s, d: show(summary(s, d)),
     "load_shape": lambda s, d: show(shapes(s, d).select("entity_id", "local_date", "mean_demand_kw", "cv", "n_local_peaks", "high_fraction", "is_flat", "is_multi_peak", "der_primary_shape")),
-    "recurring_timing": lambda s, d: entities.recurring_timing(summary(s, d)).select("entity_id", "window_start_minutes", "n_days", F.round("statistical_support", 4).alias("statistical_support"), F.array_join(F.transform("dates", lambda x: x.cast("string")), ",").alias("dates")),
-    "recurring_shape": lambda s, d: entities.recurring_shape(summary(s, d), shapes(s, d)).select("entity_id", "primary_shape", "n_days", F.round("statistical_support", 4).alias("statistical_support")),
+    "recurring_timing": lambda s, d: entities.recurring_timing(summary(s, d)).select("entity_id", "window_start_minutes", "n_days", four("statistical_support"), F.array_join(F.transform("dates", lambda x: x.cast("string")), ",").alias("dates")),
+    "recurring_shape": lambda s, d: entities.recurring_shape(summary(s, d), shapes(s, d)).select("entity_id", "primary_shape", "n_days", four("statistical_support")),
     "outlier_days": lambda s, d: show(entities.outlier_days(summary(s, d), limit=1.5)),
     "coincidence_study": lambda s, d: show(entities.coincidence(regular(s, d), members(s)).drop("meter_peak_kw")),
     "coincidence_daily": lambda s, d: show(entities.coincidence(regular(s, d), members(s), daily=True).drop("meter_peak_kw")),
@@ -183,4 +196,20 @@ QUERIES: dict[str, Query] = {
     "meter_interval": lambda s, d: show(tables(s, d).interval),
     "entity_interval": _ext("entity_interval"),
     "entity_daily": _ext("entity_daily"),
+    "study_coincidence": lambda s, d: show(pipeline.run_entities(tables(s, d).interval, members(s)).study_coincidence.drop("meter_peak_kw")),
+    "daily_coincidence": lambda s, d: show(pipeline.run_entities(tables(s, d).interval, members(s)).daily_coincidence.drop("meter_peak_kw")),
+    "project_demand": lambda s, d: show(project_demand(written(s, d), ts="wall", demand="kw", meter="m").drop("building_id")),
+    "parse_ts": lambda s, d: (lambda w: w.select("wall", instant(w, "wall", "America/Chicago").alias("ts_s")))(written(s, d).select("wall").distinct()),
+    "scan_temperature": lambda s, d: show(temperature(s, d)),
+    "states": lambda s, d: show(stated(s, d).select(*G, "entry_kw", "exit_kw", "raw_state", "state")),
+    "entity_frame": lambda s, d: show(frame(s, d).select("entity_id", "ts_s", "local_date", "hour", "demand_kw", "n_meters_reporting", "is_missing")),
+    "breadth_hours": lambda s, d: show(features.breadth(stated(s, d), (0.2, 0.5, 0.8)).select(*DAY, *[f"duration_above_{t}pct_hours" for t in (20, 50, 80)])),
+    "breadth_energy": lambda s, d: show(features.breadth(stated(s, d), (0.2, 0.5, 0.8)).select(*DAY, *[f"energy_frac_above_{t}pct" for t in (20, 50, 80)])),
+    "peakiness": daily("peak_to_average", "peak_to_baseline", "load_factor"),
+    "event_counts": daily("operating_period_count", "total_operating_duration_hours", "ramp_event_count", "up_ramp_count", "down_ramp_count", "secondary_peak_count"),
+    "class_confidence": daily("primary_class", "classification_confidence"),
+    "day_attributes": lambda s, d: show(tables(s, d).daily.select(*DAY, F.array_join("attributes", ",").alias("attributes"))),
+    "peak_width": lambda s, d: (lambda p: show(p.select(*DAY, "peak_s", *[c for c in p.columns if c.startswith("width_")])))(events.peak_events(stated(s, d), cfg=cfg["peak_detection"])),
+    "primary_shape": lambda s, d: show(shapes(s, d).select("entity_id", "local_date", "der_primary_shape")),
+    "select_k": lambda s, d: (lambda k: s.createDataFrame([(i, i == k.k, float(x)) for i, x in (k.scores or {k.k: 0.0}).items()], "k int, chosen boolean, silhouette double"))(_kmeans(s, d)),
 }
