@@ -61,6 +61,10 @@ NORM = "nd AS (SELECT *, CASE WHEN top - baseline_kw > 0 THEN (demand_kw - basel
 GAPS = """mg AS (SELECT *, sum(CASE WHEN m IS DISTINCT FROM pm THEN 1 ELSE 0 END) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS run
   FROM (SELECT *, demand_kw IS NULL AS m, lag(demand_kw IS NULL) OVER w AS pm, lead(ts_s) OVER w AS nx FROM g WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s))),
 mq AS (SELECT meter_id, local_date, max(s) / 60 AS gap FROM (SELECT meter_id, local_date, run, arg_max(coalesce(nx, ts_s), ts_s) - min(ts_s) AS s FROM mg WHERE m GROUP BY ALL) GROUP BY ALL)"""
+FALL = """ea AS (SELECT *, lag(state) OVER w AS before, ts_s - lag(ts_s) OVER w AS step, min(CASE WHEN v IS NOT NULL THEN {'v': -v, 't': ts_s} END) OVER (w RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS hi,
+  min(CASE WHEN v IS NOT NULL THEN {'v': v, 't': ts_s} END) OVER (w RANGE BETWEEN CURRENT ROW AND 7200 FOLLOWING) AS lo, count(*) FILTER (state = 'BASELINE') OVER (w ROWS UNBOUNDED PRECEDING) AS idle FROM sf WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s)),
+em AS (SELECT *, quantile_cont(step, 0.5) OVER (PARTITION BY meter_id, local_date) AS med FROM ea),
+ec AS (SELECT *, coalesce(lo.t, ts_s) AS cross_s, coalesce(hi.t, ts_s) AS from_s, coalesce(-hi.v - lo.v, 0) AS delta FROM em WHERE state = 'BASELINE' AND before = 'OPERATING')"""
 
 G, S, R, B, T = (H, GRID), (H, GRID, SMOOTH), (H, GRID, SMOOTH, REGION), (H, GRID, SMOOTH, REGION, BASE), (H, GRID, SMOOTH, REGION, BASE, STATE)
 E = (H, MEM, GRID, FRAME)
@@ -129,6 +133,7 @@ SQL: dict[str, str] = {
     "peak_concentration": q((*G, "pk AS (SELECT meter_id, local_date, arg_min(ts_s, row(-demand_kw, ts_s)) AS pt FROM g WHERE demand_kw IS NOT NULL GROUP BY ALL)"), "SELECT g.meter_id, CAST(g.local_date AS VARCHAR) AS local_date, round(sum(CASE WHEN abs(ts_s - pt) <= 1800 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_30min, round(sum(CASE WHEN abs(ts_s - pt) <= 3600 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_1hr FROM g LEFT JOIN pk ON pk.meter_id = g.meter_id AND pk.local_date = g.local_date GROUP BY g.meter_id, g.local_date"),
     "mean_abs_ramp": q((*G, "mr AS (SELECT meter_id, local_date, abs((demand_kw - lag(demand_kw) OVER w) / ((ts_s - lag(ts_s) OVER w) / 3600)) AS r FROM g WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s))"), f"SELECT meter_id, {day}, round(avg(r), 4) AS mean_absolute_ramp_kw_per_hr FROM mr GROUP BY meter_id, mr.local_date"),
     "profile_matrix": q(E, f"SELECT entity_id, {day}, count(*)::INT AS n, round(sum(demand_kw) + 1e-7, 2) AS total FROM f GROUP BY entity_id, f.local_date HAVING count(*) = 24 AND count(demand_kw) = 24"),
+    "end_candidates": q((*T, FALL), f"SELECT meter_id, {day}, ts_s AS transition_s, cross_s AS crossing_s, round(delta, 4) AS delta_kw, round((cross_s - from_s) / 3600, 4) AS duration_hours, round(idle * med / 3600, 4) AS persistence_hours, round(CASE WHEN cross_s > from_s THEN delta / ((cross_s - from_s) / 3600) ELSE 0 END, 4) AS avg_rate FROM ec"),
     "project_demand": q((H,), "SELECT meter_id, ts_s, round(demand_kw, 4) AS demand_kw, round(demand_kw, 4) AS demand_kw_raw FROM h"),
     "parse_ts": q((H,), "SELECT DISTINCT strftime(t, '%Y-%m-%d %H:%M:%S') AS wall, epoch(timezone('America/Chicago', t::TIMESTAMP))::BIGINT AS ts_s FROM h"),
     "scan_temperature": q(W, "SELECT ts_s, round(temperature_f, 4) AS temperature_f FROM tp"),
