@@ -14,6 +14,8 @@ WORD = rf"[^{WS}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of (long, long) up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Keys with more than this share of all rows are dealt to several tasks.
+HOT_KEYS = 500
 
 _fallback: dict[str, str] = {}
 
@@ -47,5 +49,17 @@ def join_small(left: DataFrame, right: DataFrame, on: str, how: str, rows: int)
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, by: str) -> DataFrame:
+    """Inner join with ``right``, which has one row for each key and in ``count`` the number of rows of ``left`` with it,
+    of ``total`` or fewer. Keys with more than a HOT_KEYS-th of all rows (fewer than HOT_KEYS, so that they may be
+    broadcast) are cut into parts by the hash of ``by``, so that no task gets all rows of such a key."""
+    parts = F.ceil(F.col(count) / max(1, total // HOT_KEYS)).cast("int")
+    counted = right.withColumn("_parts", parts)
+    hot = counted.where("_parts > 1").select(*on, "_parts")
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    dealt = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", count)
+    return salted.join(dealt, [*on, "_salt"]).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_counted, materialize, table
 from .components import components, roots
 
 THRESHOLD = 0.93
@@ -94,8 +94,9 @@ def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, per_cell: in
     found = links.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_class = classes.drop("embedding").join(found, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    per_class = per_class.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.where("ok").join(per_class, keys).select("vec_id", "n_links", "component_id")
+    per_class = per_class.select(*keys, "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    n_good = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    out = join_counted(rows.where("ok"), per_class, keys, "weight", n_good, "vec_id").select("vec_id", "n_links", "component_id")
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
@@ -128,8 +129,8 @@ def _compare(classes: DataFrame, centers: np.ndarray, dim: int, kind: type, thre
     label_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[label]
     sent = materialize(classes.select("label", "dim", "id", "weight", "embedding").mapInArrow(assign, f"label {label}, dim int, cell int, home boolean, id long, weight long, v binary"), "vec-cells")
     cell = ["label", "dim", "cell"]
-    sizes = sent.groupBy(*cell).agg(F.ceil(F.count_if("home") / block).cast("int").alias("nq"), F.ceil(F.count("*") / block).cast("int").alias("nt")).where("nq > 0")
-    placed = sent.join(sizes, cell)
+    sizes = sent.groupBy(*cell).agg(F.ceil(F.count_if("home") / block).cast("int").alias("nq"), F.ceil(F.count("*") / block).cast("int").alias("nt"), F.count("*").alias("rows")).where("nq > 0")
+    placed = join_counted(sent, sizes, cell, "rows", sent.count(), "id")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ask = placed.where("home").select(*cell, part("nq").alias("q"), every("nt").alias("t"), F.lit(True).alias("ask"), "id", "weight", "v")

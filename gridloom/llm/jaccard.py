@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, shuffle_partitions, table
+from .common import BROADCAST_ROWS, join_counted, materialize, shuffle_partitions, table
 from .components import components, roots
 from .shingles import mix, pieces, shingle_sets
 
@@ -248,8 +248,8 @@ def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: a spanning forest of the links within each candidate group. ``members``: id, grp."""
     spark = docs.sparkSession
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = materialize(members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "jaccard-members")
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = materialize(join_counted(members, sizes, ["grp"], "n", members.count(), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "jaccard-members")
     n = placed.count()
     texts = _only(docs, placed, n, "inner")
 
@@ -319,7 +319,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
     first = materialize(real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
     own = base.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
     # All that is no representative stays out of the search.
-    copies = materialize(real.join(first.where("copies > 1"), ["n", "s1", "s2"]).where("id <> rep").select("id", F.col("rep")).distinct(), "jaccard-copies")
+    copies = materialize(join_counted(real, first.where("copies > 1"), ["n", "s1", "s2"], "copies", base.count(), "id").where("id <> rep").select("id", F.col("rep")).distinct(), "jaccard-copies")
     n = copies.count()
     texts = _only(rows.where("id is not null"), copies.select("id").join(own, "id", "left_anti").distinct(), n, "left_anti")
     buckets = max(16, shuffle_partitions(spark))

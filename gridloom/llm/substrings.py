@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, shuffle_partitions, table
+from .common import BROADCAST_ROWS, join_counted, materialize, shuffle_partitions, table
 from .shingles import mix, pieces
 
 LENGTH = 100
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     marks = materialize(rows.select("id", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")), "substring-marks")
     real = marks.where(F.col("id").isNotNull() & (F.col("n") >= length))
     firsts = real.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = real.join(firsts.where("copies > 1"), ["n", "h1", "h2"]).where("id <> rep").select("id", "n", "h1")
+    copies = join_counted(real, firsts.where("copies > 1"), ["n", "h1", "h2"], "copies", marks.count(), "id").where("id <> rep").select("id", "n", "h1")
     taken = real.groupBy("id").agg(F.min("h1").alias("own"), F.count_distinct("h1").alias("texts"))
     odd = taken.where("texts > 1").select("id", "own")
     out_of = materialize(copies.select("id", "h1").distinct().unionByName(real.join(odd, "id").where("h1 <> own").select("id", "h1").distinct()).distinct(), "substring-aside")
