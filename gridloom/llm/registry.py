@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, jaccard, mixing, quality, quality_rules, secrets, substrings, url_filter
+from . import bpe, chat, embeddings, jaccard, mixing, quality, quality_rules, secrets, sql, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.op9_secrets,
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
-SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE}
+SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE} | sql.SQL
