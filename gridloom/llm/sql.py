@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, quality_rules, secrets
+from . import chat, embeddings, quality_rules, secrets, substrings
 from .common import UPPER, WORD, WS
 
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -124,10 +124,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(cd, 0) <= {quality_rules.MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {quality_rules.MAX_WORD_DISTANCE} AS kept FROM v
 """
 
+# Texts as hexadecimal digits, two for each byte. Of equal strings all but the first by (doc_id, place) are covered.
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, {2 * substrings.LENGTH})) AS g FROM (SELECT doc_id, x, unnest(range(0, (length(x) // 2) - {substrings.LENGTH - 1})) AS i FROM d)),
+again AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+o AS (SELECT *, sum(CASE WHEN i <= before + {substrings.LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {substrings.LENGTH} AS b FROM o GROUP BY doc_id, run),
+k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM r),
+j AS (SELECT d.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(substr(x, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op4_ngram_jaccard": JACCARD,
     "op5_embedding_dedup": EMBEDDINGS,
     "op7_quality_rules": RULES,
     "op8_chat_format": CHAT,
     "op9_secrets": SECRETS,
+    "op10_suffix_dedup": SUBSTRINGS,
 }
