@@ -67,6 +67,24 @@ em AS (SELECT *, quantile_cont(step, 0.5) OVER (PARTITION BY meter_id, local_dat
 ec AS (SELECT *, coalesce(lo.t, ts_s) AS cross_s, coalesce(hi.t, ts_s) AS from_s, coalesce(-hi.v - lo.v, 0) AS delta FROM em WHERE state = 'BASELINE' AND before = 'OPERATING')"""
 
 G, S, R, B, T = (H, GRID), (H, GRID, SMOOTH), (H, GRID, SMOOTH, REGION), (H, GRID, SMOOTH, REGION, BASE), (H, GRID, SMOOTH, REGION, BASE, STATE)
+# A plateau goes on while points stay near its first value; a day's peaks are then thinned from the highest down.
+TOPS = """pt AS (SELECT meter_id, local_date, ts_s, demand_kw AS v, row_number() OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS i FROM g WHERE demand_kw IS NOT NULL),
+fl AS (SELECT meter_id, local_date, i, i AS a, v AS kw FROM pt WHERE i = 1 UNION ALL
+  SELECT p.meter_id, p.local_date, p.i, CASE WHEN abs(p.v - kw) / greatest(kw, 1e-6) <= 0.01 THEN a ELSE p.i END, CASE WHEN abs(p.v - kw) / greatest(kw, 1e-6) <= 0.01 THEN kw ELSE p.v END
+  FROM fl JOIN pt p ON p.meter_id = fl.meter_id AND p.local_date = fl.local_date AND p.i = fl.i + 1),
+pl AS (SELECT meter_id, local_date, a, max(i) AS b, any_value(kw) AS kw FROM fl GROUP BY meter_id, local_date, a),
+mx AS (SELECT m.meter_id, m.local_date, m.ts_s, m.v FROM pl JOIN pt m ON m.meter_id = pl.meter_id AND m.local_date = pl.local_date AND m.i = a + (b - a + 1) // 2
+  LEFT JOIN pt x ON x.meter_id = pl.meter_id AND x.local_date = pl.local_date AND x.i = a - 1 LEFT JOIN pt y ON y.meter_id = pl.meter_id AND y.local_date = pl.local_date AND y.i = b + 1
+  WHERE coalesce(x.v <= kw, true) AND coalesce(y.v <= kw, true))"""
+PROM = """hi AS (SELECT p.meter_id, p.local_date, p.ts_s, p.v, max(CASE WHEN o.ts_s < p.ts_s THEN o.ts_s END) AS l, min(CASE WHEN o.ts_s > p.ts_s THEN o.ts_s END) AS r
+  FROM mx p LEFT JOIN mx o ON o.meter_id = p.meter_id AND o.local_date = p.local_date AND o.v > p.v GROUP BY ALL),
+pm AS (SELECT h.meter_id, h.local_date, h.ts_s, h.v AS kw, h.v - coalesce(greatest(min(CASE WHEN pt.ts_s BETWEEN l AND h.ts_s THEN pt.v END), min(CASE WHEN pt.ts_s BETWEEN h.ts_s AND r THEN pt.v END)), min(pt.v)) AS prominence_kw
+  FROM hi h JOIN pt ON pt.meter_id = h.meter_id AND pt.local_date = h.local_date GROUP BY h.meter_id, h.local_date, h.ts_s, h.v)"""
+THIN = """od AS (SELECT *, row_number() OVER (PARTITION BY meter_id, local_date ORDER BY kw DESC, ts_s) AS k FROM pm),
+nm AS (SELECT meter_id, local_date, 0::BIGINT AS k, []::BIGINT[] AS kept FROM od WHERE k = 1 UNION ALL
+  SELECT o.meter_id, o.local_date, o.k, CASE WHEN len(list_filter(kept, lambda t: abs(t - o.ts_s) < 180 * 60)) = 0 THEN list_append(kept, o.ts_s) ELSE kept END
+  FROM nm JOIN od o ON o.meter_id = nm.meter_id AND o.local_date = nm.local_date AND o.k = nm.k + 1),
+left_over AS (SELECT meter_id, local_date, unnest(kept) AS ts_s FROM nm QUALIFY k = max(k) OVER (PARTITION BY meter_id, local_date))"""
 E = (H, MEM, GRID, FRAME)
 W = (*E, TEMP)
 
@@ -74,7 +92,7 @@ W = (*E, TEMP)
 def q(parts: tuple[str, ...], select: str) -> str:
     """The parts before a final select, whose floats are rounded as in the queries: a hair more, and no negative zero."""
     select = select.replace(", 4)", " + 1e-7, 4) + 0.0")
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
 
 def _fit3(side: str) -> str:
@@ -105,6 +123,9 @@ SQL: dict[str, str] = {
     "operating_periods": q((*T, PERIOD), f"SELECT meter_id, {day}, start_s, end_s, round((end_s - start_s) / 3600, 4) AS duration_hours, row_number() OVER (PARTITION BY meter_id, pg.local_date ORDER BY end_s - start_s DESC, start_s)::INT AS rank FROM pg"),
     "start_candidates": q((*T, CAND), f"SELECT meter_id, {day}, coalesce(lt, ts_s) AS transition_s, ts_s AS crossing_s, round(v - coalesce(lv, v), 4) AS delta_kw, round((ts_s - coalesce(lt, ts_s)) / 3600, 4) AS duration_hours, round((til - ts_s) / 3600, 4) AS persistence_hours, round(CASE WHEN ts_s > lt THEN (v - lv) / ((ts_s - lt) / 3600) ELSE 0 END, 4) AS avg_rate FROM cu"),
     "interval_ramps": q(S, "SELECT meter_id, ts_s, round((v - lag(v) OVER w) / ((ts_s - lag(ts_s) OVER w) / 3600), 4) AS ramp_kw_per_hr FROM s WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s)"),
+    "local_maxima": q((*G, TOPS), f"SELECT meter_id, {day}, ts_s, round(v, 4) AS kw FROM mx"),
+    "prominence": q((*G, TOPS, PROM), f"SELECT meter_id, {day}, ts_s, round(kw, 4) AS kw, round(prominence_kw, 4) AS prominence_kw FROM pm"),
+    "peak_nms": q((*G, TOPS, PROM, THIN), f"SELECT meter_id, {day}, ts_s, round(kw, 4) AS kw, round(prominence_kw, 4) AS prominence_kw FROM pm JOIN left_over USING (meter_id, local_date, ts_s)"),
     "local_extrema": q(G, "SELECT meter_id, ts_s, coalesce(demand_kw > lag(demand_kw) OVER w AND demand_kw > lead(demand_kw) OVER w, false) AS is_local_peak, coalesce(demand_kw < lag(demand_kw) OVER w AND demand_kw < lead(demand_kw) OVER w, false) AS is_local_valley FROM g WINDOW w AS (PARTITION BY meter_id ORDER BY ts_s)"),
     "der_peak_events": q((*E, "ps AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_s) AS pos FROM f)", "hit AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity_id ORDER BY pos) - 1 > 1 THEN 1 ELSE 0 END AS nw FROM ps WHERE demand_kw >= 300)", "hs AS (SELECT *, 1 + sum(nw) OVER (PARTITION BY entity_id ORDER BY pos) AS seq FROM hit)", "bd AS (SELECT entity_id, seq, min(pos) AS a, max(pos) AS b FROM hs GROUP BY ALL)"),
         "SELECT printf('%s_%s_%04d', bd.entity_id, 'over_300', seq::INT) AS event_id, bd.entity_id, 'over_300' AS peak_definition, min(ts_s) AS start_s, max(ts_s) AS end_s, round((max(ts_s) - min(ts_s)) / 3600, 4) AS duration_hours, round(max(demand_kw), 4) AS max_demand_kw, round(avg(demand_kw), 4) AS mean_demand_kw, round(min(demand_kw), 4) AS min_demand_kw, count(*) AS n_intervals, CASE WHEN max(ts_s) - min(ts_s) >= 7200 THEN 'sustained' ELSE 'short' END AS duration_class FROM bd JOIN ps ON ps.entity_id = bd.entity_id AND pos BETWEEN a AND b GROUP BY bd.entity_id, seq"),
