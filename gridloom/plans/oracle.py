@@ -130,6 +130,9 @@ SQL: dict[str, str] = {
     "der_peak_events": q((*E, "ps AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_s) AS pos FROM f)", "hit AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY entity_id ORDER BY pos) - 1 > 1 THEN 1 ELSE 0 END AS nw FROM ps WHERE demand_kw >= 300)", "hs AS (SELECT *, 1 + sum(nw) OVER (PARTITION BY entity_id ORDER BY pos) AS seq FROM hit)", "bd AS (SELECT entity_id, seq, min(pos) AS a, max(pos) AS b FROM hs GROUP BY ALL)"),
         "SELECT printf('%s_%s_%04d', bd.entity_id, 'over_300', seq::INT) AS event_id, bd.entity_id, 'over_300' AS peak_definition, min(ts_s) AS start_s, max(ts_s) AS end_s, round((max(ts_s) - min(ts_s)) / 3600, 4) AS duration_hours, round(max(demand_kw), 4) AS max_demand_kw, round(avg(demand_kw), 4) AS mean_demand_kw, round(min(demand_kw), 4) AS min_demand_kw, count(*) AS n_intervals, CASE WHEN max(ts_s) - min(ts_s) >= 7200 THEN 'sustained' ELSE 'short' END AS duration_class FROM bd JOIN ps ON ps.entity_id = bd.entity_id AND pos BETWEEN a AND b GROUP BY bd.entity_id, seq"),
     "entity_sum": q(E, "SELECT entity_id, ts_s, round(demand_kw, 4) AS demand_kw, n_meters_reporting, demand_kw IS NULL AS is_missing FROM es"),
+    "season_daytype": """SELECT CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' WHEN month(o_orderdate) < 6 THEN 'spring' WHEN month(o_orderdate) < 9 THEN 'summer' ELSE 'fall' END AS season,
+  CASE WHEN o_orderdate::DATE IN ('1995-07-04', '1995-12-25', '1996-07-04', '1996-12-25') THEN 'holiday' WHEN isodow(o_orderdate) < 6 THEN 'weekday' ELSE 'weekend' END AS day_type,
+  count(*) AS n, count(DISTINCT o_orderdate::DATE) AS n_days FROM orders GROUP BY ALL""",
     "calendar": q(E, f"SELECT entity_id, ts_s, {day}, year(t)::INT AS year, month(t)::INT AS month, day(t)::INT AS day, dayofyear(t)::INT AS day_of_year, hour(t)::INT AS hour, minute(t)::INT AS minute, (isodow(t) - 1)::INT AS day_of_week, dayname(t) AS day_name, isodow(t) < 6 AS is_weekday, isodow(t) >= 6 AS is_weekend, 'winter' AS season, CASE WHEN f.local_date = DATE '2024-01-15' THEN 'holiday' WHEN isodow(t) < 6 THEN 'weekday' ELSE 'weekend' END AS day_type FROM f"),
     "tod_segments": q((*E, SHAPE), f"SELECT entity_id, {day}, round(mo, 4) AS morning_peak_kw, round(mi, 4) AS midday_peak_kw, round(af, 4) AS afternoon_peak_kw, round(ev, 4) AS evening_peak_kw, round(night, 4) AS overnight_mean_kw, round(night, 4) AS nighttime_mean_kw, round(day, 4) AS daytime_mean_kw FROM sh"),
     "peak_normalize": q(E, "SELECT entity_id, ts_s, round(demand_kw / nullif(max(demand_kw) OVER (PARTITION BY entity_id, local_date), 0), 4) AS peak_normalized FROM f"),

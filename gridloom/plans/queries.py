@@ -59,6 +59,12 @@ def frame(spark: SparkSession, d: str) -> DataFrame:
     return entities.calendar(entities.entity_sum(regular(spark, d), members(spark)), holidays=("2024-01-15",))
 
 
+def order_days(spark: SparkSession, d: str) -> DataFrame:
+    """The calendar of the orders, which have all months."""
+    at = spark.read.parquet(f"{d}/orders.parquet").select(F.unix_timestamp("o_orderdate").alias("ts_s"))
+    return entities.calendar(at, holidays=("1995-07-04", "1995-12-25", "1996-07-04", "1996-12-25"))
+
+
 def temperature(spark: SparkSession, d: str) -> DataFrame:
     """Three-hourly, twenty minutes past, from the hours of the events."""
     hours = hourly_events(spark, d).select("ts_s").distinct().where("ts_s % 10800 = 0")
@@ -161,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "der_peak_events": lambda s, d: show(events.der_peak_events(frame(s, d), F.col("demand_kw") >= 300, definition="over_300", key="entity_id", gap=1, sustained_hours=2.0)),
     "entity_sum": lambda s, d: show(entities.entity_sum(regular(s, d), members(s))),
     "calendar": lambda s, d: show(frame(s, d).drop("demand_kw", "n_meters_reporting", "is_missing")),
+    "season_daytype": lambda s, d: order_days(s, d).groupBy("season", "day_type").agg(F.count("*").alias("n"), F.count_distinct("local_date").alias("n_days")),
     "tod_segments": lambda s, d: show(entities.tod_segments(frame(s, d))),
     "peak_normalize": lambda s, d: show(entities.peak_normalize(frame(s, d)).select("entity_id", "ts_s", "peak_normalized")),
     "fam_threshold": lambda s, d: show(entities.demand_families(frame(s, d), thresholds=(300.0,)).select("entity_id", "ts_s", "meets_threshold_300")),
