@@ -208,9 +208,8 @@ def divide_skip(index: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndar
     the sets. Short lists are merged and counted; a set that can still reach the overlap is looked for in long lists.
     """
     codes, start, sets = index
-    at = np.searchsorted(codes, query)
-    at = at[(at < len(codes))]
-    at = at[np.isin(codes[at], query, assume_unique=False)] if len(at) else at
+    at = np.minimum(np.searchsorted(codes, query), len(codes) - 1)
+    at = at[codes[at] == query]
     if not len(at):
         return np.zeros(0, np.int64)
     length = start[at + 1] - start[at]

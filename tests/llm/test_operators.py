@@ -168,6 +168,36 @@ def test_divide_skip_equals_counting():
         assert jaccard.divide_skip(index, sizes, q).tolist() == want
 
 
+def test_divide_skip_of_queries_from_outside_the_index():
+    import numpy as np
+
+    codes = lambda *x: np.array(x, np.uint64)
+    assert jaccard.divide_skip(jaccard.inverted([codes(2, 4, 6, 8, 9, 10)]), np.array([6]), codes(*range(1, 9))).tolist() == []
+    rng = np.random.default_rng(5)
+    draw = lambda: np.flatnonzero(rng.random(40) < rng.choice([0.5, 0.7, 0.95])).astype(np.uint64)
+    sets = [draw() for _ in range(60)]
+    index, sizes = jaccard.inverted(sets), np.array([len(s) for s in sets])
+    for q in (draw() for _ in range(200)):
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, q)) >= 75 * len(np.union1d(s, q))]
+        assert jaccard.divide_skip(index, sizes, q).tolist() == want
+
+
+def test_families_of_one_candidate_group_stay_apart(spark, monkeypatch):
+    """Two families that share two thirds of their words (Jaccard 0.5), in one group of several blocks; most blocks have the large one only."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = []
+    for i in range(60):
+        w = [f"w{j}" for j in range(80)] + [f"{'ab'[i % 20 == 0]}{j}" for j in range(40)]
+        w[-1] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    edges = jaccard.links(docs, docs.select("id", F.lit(0).cast("long").alias("grp")), jaccard.WORDS, jaccard.PERCENT).collect()
+    want = linked({i: shingles(t) for i, t in rows})
+    assert len(set(want.values())) == 2
+    up = components.roots(60, [r.a for r in edges] + list(range(60)), [r.b for r in edges] + list(range(60)))
+    assert {i: int(x) for i, x in enumerate(up)} == want
+
+
 def test_embeddings(spark):
     import numpy as np
 
