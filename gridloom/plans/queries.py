@@ -6,6 +6,7 @@ Times come out as epoch seconds, dates as text, and floats rounded to four place
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,9 +121,30 @@ def daily(*columns: str) -> Query:
     return lambda s, d: show(tables(s, d).daily.select(*DAY, *columns))
 
 
-def _kmeans(spark: SparkSession, d: str) -> clustering.Clusters:
-    m = clustering.profile_matrix(frame(spark, d).where("entity_id = 'all'"), per_day=24)
-    return clustering.cluster_profiles(m, max_k=4, tries=3)
+def _kmeans(spark: SparkSession, d: str) -> list[tuple[str, str, clustering.Clusters]]:
+    """(entity, kind of profile, clusters) of every entity, by absolute and by peak-normalized days."""
+    f = entities.peak_normalize(frame(spark, d))
+    out = []
+    for kind, value in (("absolute", "demand_kw"), ("normalized", "peak_normalized")):
+        m = clustering.profile_matrix(f, per_day=24, value=value).cache()
+        ids = sorted(r.entity_id for r in m.select("entity_id").distinct().collect())
+        out += [(e, kind, clustering.cluster_profiles(m.where(F.col("entity_id") == e))) for e in ids]
+    return [x for x in out if x[2].success]
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    got = [c.labels.select("entity_id", F.lit(kind).alias("profile_kind"), F.col("local_date").cast("string").alias("local_date"), "cluster_id") for _, kind, c in _kmeans(spark, d)]
+    return reduce(DataFrame.unionByName, got)
+
+
+def _cluster_stats(spark: SparkSession, d: str) -> DataFrame:
+    got = [c.clusters.drop("center").select(F.lit(e).alias("entity_id"), F.lit(kind).alias("profile_kind"), "*") for e, kind, c in _kmeans(spark, d)]
+    return show(reduce(DataFrame.unionByName, got))
+
+
+def _select_k(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(e, kind, i, i == c.k, float(x)) for e, kind, c in _kmeans(spark, d) for i, x in (c.scores or {c.k: 0.0}).items()]
+    return spark.createDataFrame(rows, "entity_id string, profile_kind string, k int, chosen boolean, silhouette double")
 
 
 def _ext(column: str) -> Query:
@@ -198,8 +220,8 @@ QUERIES: dict[str, Query] = {
     "classify_day": lambda s, d: tables(s, d).daily.select(*DAY[:1], F.col("local_date").cast("string").alias("local_date"), "primary_class", F.array_join("attributes", ",").alias("attributes"), "classification_confidence"),
     "class_distribution": lambda s, d: features.class_distribution(tables(s, d).daily),
     "profile_matrix": lambda s, d: clustering.profile_matrix(frame(s, d), per_day=24).select("entity_id", F.col("local_date").cast("string").alias("local_date"), F.size("profile").alias("n"), F.round(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x) + 1e-7, 2).alias("total")),
-    "kmeans_labels": lambda s, d: _kmeans(s, d).labels.select("entity_id", F.col("local_date").cast("string").alias("local_date"), "cluster_id"),
-    "cluster_stats": lambda s, d: show(_kmeans(s, d).clusters.drop("center")),
+    "kmeans_labels": _labels,
+    "cluster_stats": _cluster_stats,
     "meter_interval": lambda s, d: show(tables(s, d).interval),
     "entity_interval": _ext("entity_interval"),
     "entity_daily": _ext("entity_daily"),
@@ -218,5 +240,5 @@ QUERIES: dict[str, Query] = {
     "day_attributes": lambda s, d: show(tables(s, d).daily.select(*DAY, F.array_join("attributes", ",").alias("attributes"))),
     "peak_width": lambda s, d: (lambda p: show(p.select(*DAY, "peak_s", *[c for c in p.columns if c.startswith("width_")])))(events.peak_events(stated(s, d), cfg=cfg["peak_detection"])),
     "primary_shape": lambda s, d: show(shapes(s, d).select("entity_id", "local_date", "der_primary_shape")),
-    "select_k": lambda s, d: (lambda k: s.createDataFrame([(i, i == k.k, float(x)) for i, x in (k.scores or {k.k: 0.0}).items()], "k int, chosen boolean, silhouette double"))(_kmeans(s, d)),
+    "select_k": _select_k,
 }

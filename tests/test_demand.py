@@ -157,3 +157,20 @@ def test_dst_days_have_92_and_100_intervals(spark):
         df = spark.createDataFrame([("M", start - 900, 1.0), ("M", start, 1.0), ("M", start + 900, 1.0), ("M", start + 30 * 3600, 1.0)], "meter_id string, ts_s long, demand_kw double")
         got = grid.regularize(df, max_gap_minutes=0, tz="America/Chicago").groupBy("local_date").count().where(f"local_date = '{day}'").first()
         assert got["count"] == n
+
+
+def test_kmeans_queries_cluster_all_entities_by_both_profiles(spark, monkeypatch):
+    from gridloom.operators import clustering
+    from gridloom.plans import queries
+
+    asked = []
+
+    def instead(matrix, **options):
+        asked.append((options, matrix.agg(F.max(F.array_max("profile"))).first()[0]))
+        return clustering.Clusters(True, 1, matrix.withColumn("cluster_id", F.lit(0)))
+
+    monkeypatch.setattr(clustering, "cluster_profiles", instead)
+    got = queries.QUERIES["select_k"](spark, "/root/testdata/sf0.01").collect()
+    want = {(e, kind) for e in ("all", "interest", "sales") for kind in ("absolute", "normalized")}
+    assert {(r.entity_id, r.profile_kind) for r in got} == want
+    assert all(options == {} for options, _ in asked) and [round(top, 9) for _, top in asked[3:]] == [1.0] * 3
