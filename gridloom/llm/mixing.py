@@ -97,19 +97,24 @@ def mix(
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (with text and source) as the mix trains on them, same columns: a row for each pass that takes words of
-    a row, its text cut after the words taken; rows of which nothing is taken go. Equal rows each have their own."""
+    a row, its text cut after the words taken, in the order of the passes' training positions; rows of which nothing is
+    taken go. Equal rows each have their own."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(F.xxhash64(*cols).alias("key"), F.struct(*cols).alias("row"))
     got = mix(keyed.select("key", "row.text", "row.source"), id_col="key", **options)
-    parts = F.filter(F.array("taken_1", "taken_2"), lambda n: n > 0)
+    both = F.array(*[F.struct(F.col(n).alias("n"), F.col(at).alias("at")) for n, at in (("taken_1", "position"), ("taken_2", "position_2"))])
+    parts = F.filter(both, lambda x: x["n"] > 0)
     got = got.where("taken > 0").groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list(parts)).alias("parts"), F.max("size").alias("size"))
-    rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key").select("row", "size", F.explode("parts").alias("n"))
+    rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key").select("key", "row", "size", F.explode("parts").alias("part")).select("key", "row", "size", "part.*")
     text, n = F.col("row.text"), F.col("n").cast("int")
     length = lambda xs: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
     # A text is a gap and a word in turn; the first n of both make up its beginning.
     first = F.substring(text, F.lit(1), length(F.split(text, WORD, -1)) + length(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
     cut = F.when(F.col("n") >= F.col("size"), text).otherwise(first)
-    return rows.select(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    order = (F.col("at").asc_nulls_last(), "key")
+    made = rows.select("key", "at", F.struct(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"))
+    made = made.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return made.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

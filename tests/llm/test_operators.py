@@ -253,6 +253,15 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.apply_mix(empty).count() == 0
 
 
+def test_applied_mix_is_in_training_order(docs):
+    keyed = docs.withColumn("key", F.xxhash64(*docs.columns))
+    ids = {r.key: r.doc_id for r in keyed.select("key", "doc_id").collect()}
+    got = mixing.mix(keyed.select("key", "text", "source"), id_col="key").collect()
+    passes = sorted((at, r.doc_id) for r in got for n, at in ((r.taken_1, r.position), (r.taken_2, r.position_2)) if n > 0)
+    assert len(passes) > len({key for _, key in passes})
+    assert [r.doc_id for r in mixing.apply_mix(docs).collect()] == [ids[key] for _, key in passes]
+
+
 def base_counts(t):
     w = WORDS.findall(t)
     seen = defaultdict(list)
