@@ -8,7 +8,9 @@ next one lies exactly len(left of j) before d, and the rule's right part is the
 with what j made. ``lookahead`` follows these chains in rank order. Text further than that from the end of the buffer
 is stable; it is emitted and forgotten, so memory is one block and the lookahead, however long a word is.
 
-Decoding is a state machine over the bytes of the tokens: unfinished UTF-8 sequences wait for their next token.
+The query's decoded digest is that of the emitted ids, slice by slice, as the library decodes them: tokens joined by
+spaces. ``text`` gives the text itself by a state machine over the bytes of the tokens, in which unfinished UTF-8
+sequences wait for their next token.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from os.path import commonprefix
@@ -134,6 +137,10 @@ class Memo(dict):
         return got
 
 
+def read_ids(raw: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(raw) // 4}I", raw)
+
+
 class Codec:
     """Encodes and decodes whole texts; words seen before come from memos of bounded size."""
 
@@ -151,7 +158,7 @@ class Codec:
         self.wide = re.compile("[^\x00-\u024f]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.rules.special, key=len, reverse=True))) + ")").split
         self.mark = commonprefix([*self.rules.special])
-        self.ids, self.said = Memo(self.learn_ids), Memo(self.learn_said)
+        self.ids = Memo(self.learn_ids)
 
     def tokens(self, word: str) -> list[str]:
         symbols = list(word.encode().decode("latin-1").translate(self.table))
@@ -178,43 +185,36 @@ class Codec:
             at = end
 
     def learn_ids(self, word: str) -> bytes:
-        got = self.tokens(word)
-        self.said.put(word, " ".join(got).encode())
-        return b"".join(self.rules.ids[t].to_bytes(4, "little") for t in got)
-
-    def learn_said(self, word: str) -> bytes:
-        return " ".join(self.tokens(word)).encode()
+        return b"".join(self.rules.ids[t].to_bytes(4, "little") for t in self.tokens(word))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as little-endian 32-bit integers, SHA-256 of the decoded text."""
         ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
-        for x, y in self.stream(text):
+        for x in self.stream(text):
             n += len(x) // 4
             ids.update(x)
-            if y:
-                decoded.update(y if first else b" " + y)
-                first = False
+            y = self.decode(read_ids(x)).encode()
+            decoded.update(y if first else b" " + y)
+            first = False
         return n, ids.hexdigest(), decoded.hexdigest()
 
-    def stream(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, their decoded text) of one slice after another."""
-        ids, said = self.ids.__getitem__, self.said.__getitem__
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids of one slice after another."""
+        ids = self.ids.__getitem__
         for part in self.specials(text) if self.rules.special and self.mark in text else [text]:
             if part in self.rules.special:
-                yield self.rules.special[part].to_bytes(4, "little"), part.encode()
+                yield self.rules.special[part].to_bytes(4, "little")
                 continue
             for words in self.pieces(part):
-                if not words:
-                    continue
-                yield b"".join(map(ids, words)), b" ".join(map(said, words))
+                if words:
+                    yield b"".join(map(ids, words))
 
     def encode(self, text: str) -> list[int]:
-        raw = b"".join(x for x, _ in self.stream(text))
-        return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+        return [i for x in self.stream(text) for i in read_ids(x)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library: without a decoder of its own, the tokens are joined by spaces."""
-        return " ".join(self.rules.surface[i] for i in ids)
+        return " ".join([self.rules.surface[i] for i in ids])
 
     def text(self, ids: list[int]) -> str:
         """The text itself: byte letters back to bytes, word ends to spaces, UTF-8 decoded as the bytes come."""

@@ -106,6 +106,15 @@ def test_bpe_equals_the_library(spark, docs, odd):
     assert codec.text(codec.encode("Grüße an alle 🙂")).split() == ["grüße", "an", "alle", "🙂"]
 
 
+def test_bpe_decodes_the_ids_it_emits():
+    codec = bpe.Codec(bpe.word_model())
+    (right,), (wrong,) = codec.encode("the"), codec.encode("and")
+    codec.ids.clear()
+    codec.rules.ids = {**codec.rules.ids, codec.rules.surface[right]: wrong}
+    assert codec.encode("the") == [wrong]
+    assert codec.digest("the")[2] == hashlib.sha256(codec.rules.surface[wrong].encode()).hexdigest()
+
+
 def shingles(t):
     w = re.findall(rb"[^\x20\x09-\x0d]+", t.encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
     return frozenset([tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else []))
