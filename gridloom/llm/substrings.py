@@ -1,9 +1,8 @@
-"""Suffix-array dedup: bytes of repeated 100-byte strings, by prefix doubling on sampled positions.
+"""Dedup of bytes of repeated 100-byte strings, by minimum-fingerprint sampling.
 
-Prefix doubling names every suffix by its first h bytes, drops the names that are unique, and joins the names of
-positions h apart into names for 2h, until the threshold is passed. Names here are 64-bit fingerprints of the bytes, so
-that the name of a longer prefix follows from two prefix sums and needs no rank from elsewhere; sorting the (name,
-position) pairs is what is left of a round:
+This stands in the place of prefix doubling over a suffix array, which was not built: no ranks are doubled and no
+(rank, position) pairs are sorted by Spark. Names are 64-bit fingerprints of bytes, so that the name of any string
+follows from two prefix sums; equal names meet in one bucket and are sorted there:
 
 1. h = 32 bytes, on sampled positions. Of the 69 positions at which a 32-byte string can start in a 100-byte string, the
    one with the least code stands for it. Equal 100-byte strings choose equal places, so a name that occurs once rules
