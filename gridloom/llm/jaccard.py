@@ -11,8 +11,10 @@ Documents with equal shingle sets are one class. The search among classes:
    match, become one candidate group.
 3. Candidates form groups (connected components). Within a group each set is a query to the inverted index of the
    group's sets: DivideSkip merges its short lists, and looks for the survivors in the long ones by binary search; all
-   that reach the overlap are links. Large groups are dealt into pairs of blocks. Only the edges of a spanning forest
-   come out of a block pair, never the pairs.
+   that reach the overlap are links. Only the edges of a spanning forest come out of a task, never the pairs.
+   A group larger than a block is first held against up to PIVOTS of its own sets, block by block. Sets linked to
+   pivots of one class are connected, so no pair of them is looked at again. Only sets outside the group's largest class
+   go on as queries; they meet the others by bands of size that can match, a block of queries with a block of sets.
 4. Components of the links.
 
 No pair is lost: a true pair shares T codes in lists; if one of them is long, it is in one group through it, else it is
@@ -25,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_counted, materialize, shuffle_partitions, table
+from .common import BROADCAST_ROWS, drop, join_counted, join_small, materialize, materialize_with, shuffle_partitions, table
 from .components import components, roots
 from .shingles import mix, pieces, shingle_sets
 
@@ -39,6 +41,9 @@ SHORT = 32
 #: The most frequent codes that are moved back; more of them stay in code order.
 FREQUENT = 1 << 18
 BLOCK = 1024
+PIVOTS = 16
+#: Bytes of lists that a task gathers before it deals them out to the buckets.
+HELD = 8 << 20
 #: In DivideSkip, T / (MU * log(longest list) + 1) lists count as long.
 MU = 0.05
 
@@ -75,6 +80,26 @@ def _parts(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
             yield b, order[cut[b] : cut[b + 1]]
 
 
+def _gathered(items: Iterator, share: int) -> Iterator[list]:
+    """Lists of items (code arrays, or tuples that begin with one), about HELD * share bytes of codes in each, so that
+    the rows for the buckets do not get small where there are many buckets."""
+    held, size = [], 0
+    for x in items:
+        held.append(x)
+        size += (x[0] if isinstance(x, tuple) else x).nbytes
+        if size >= HELD * share:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _batches(rows: list[tuple], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    for r in range(0, len(rows), 64):
+        columns = zip(*rows[r : r + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types.values(), strict=True)], names=list(types))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """id, n, s1, s2: size of the set and a 128-bit sum over it."""
 
@@ -94,12 +119,13 @@ def frequencies(docs: DataFrame, k: int, buckets: int, limit: int) -> tuple[np.n
     """The codes (with their bucket) counted in more than SHORT sets and their counts, the most frequent ``limit``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [s[: len(s) // 2 + 1] for _, texts in pieces(b.column(1)) for s in shingle_sets(texts, k)]
-            codes, n = np.unique(_combined(np.concatenate(got), buckets), return_counts=True)
-            rows = [(i, (codes[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), n[at].astype(np.uint32).tobytes()) for i, at in _parts((codes >> np.uint64(32)).astype(np.int64), buckets)]
-            for r in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[r : r + 64], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "counts"])
+        lists = (s[: len(s) // 2 + 1] for b in batches for _, texts in pieces(b.column(1)) for s in shingle_sets(texts, k))
+        for held in _gathered(lists, 2):
+            codes, n = np.unique(_combined(np.concatenate(held), buckets), return_counts=True)
+            tail = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            cut = _parts((codes >> np.uint64(32)).astype(np.int64), buckets)
+            rows = [(i, tail[at].tobytes(), n[at].astype(np.uint32).tobytes()) for i, at in cut]
+            yield from _batches(rows, {"bucket": pa.int32(), "codes": pa.binary(), "counts": pa.binary()})
 
     def total(t: pa.Table) -> pa.Table:
         codes, counts = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint32) for c in ("codes", "counts"))
@@ -122,8 +148,7 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
     """a, b, c, t: pairs with the number c of shared codes in short lists and the t they must reach; links of long lists
     have c = t."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["bucket", "ids", "sizes", "counts", "codes"]
-    types = (pa.int32(), *[pa.binary()] * 4)
+    types = {"bucket": pa.int32(), "ids": pa.binary(), "sizes": pa.binary(), "counts": pa.binary(), "codes": pa.binary()}
 
     def prefix(s: np.ndarray) -> np.ndarray:
         often, count = shared.value
@@ -139,21 +164,26 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
             first = np.concatenate([first, late[np.argsort(count[place[late]], kind="stable")]])
         return s[first[:p]]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, int]]:
         for b in batches:
             ids = np.array(b.column(0), np.int64)
-            for at, texts in pieces(b.column(1), 8 << 20):
-                sets = shingle_sets(texts, k)
-                n = np.array([len(s) for s in sets], np.int64)
-                lists = [prefix(s) if len(s) else s for s in sets]
-                doc = np.repeat(np.arange(len(sets)), [len(x) for x in lists])
-                codes = np.concatenate(lists)
-                rows = []
-                for i, take in _parts((codes % np.uint64(buckets)).astype(np.int64), buckets):
-                    d, m = np.unique(doc[take], return_counts=True)
-                    rows.append((i, ids[at + d].tobytes(), n[d].astype(np.int32).tobytes(), m.astype(np.int32).tobytes(), _tail(codes[take]).astype(np.uint32).tobytes()))
-                for r in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[r : r + 64], strict=True), types, strict=True)], names=names)
+            for at, texts in pieces(b.column(1)):
+                for i, s in zip(ids[at : at + len(texts)].tolist(), shingle_sets(texts, k), strict=True):
+                    if len(s):
+                        yield prefix(s), i, len(s)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(prefixes(batches), 1):
+            lists, ids, n = zip(*held, strict=True)
+            ids, n = np.array(ids, np.int64), np.array(n, np.int32)
+            doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            codes = np.concatenate(lists)
+            rows = []
+            for i, take in _parts((codes % np.uint64(buckets)).astype(np.int64), buckets):
+                d, m = np.unique(doc[take], return_counts=True)
+                tail = _tail(codes[take]).astype(np.uint32)
+                rows.append((i, ids[d].tobytes(), n[d].tobytes(), m.astype(np.int32).tobytes(), tail.tobytes()))
+            yield from _batches(rows, types)
 
     def merge(t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
@@ -218,8 +248,15 @@ def divide_skip(index: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndar
     least = need(len(query), percent)
     n_long = min(len(at) - 1, least - 1, int(least / (MU * np.log(max(int(length[-1]), 2)) + 1)))
     short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
-    spans = lambda x: np.repeat(start[x] - np.concatenate(([0], np.cumsum(start[x + 1] - start[x])[:-1])), start[x + 1] - start[x]) + np.arange((start[x + 1] - start[x]).sum())
-    found, count = np.unique(sets[spans(short)], return_counts=True)
+
+    def spans(x: np.ndarray) -> np.ndarray:
+        size = start[x + 1] - start[x]
+        return np.repeat(start[x] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    # A stable sort of sorted lists laid end to end merges them run by run.
+    merged = np.sort(sets[spans(short)], kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+    found, count = merged[first], np.diff(np.append(first, len(merged)))
     alive = (count >= least - n_long) & (sizes[found] >= least) & (need(sizes[found], percent) <= len(query))
     found, count = found[alive], count[alive]
     if not len(found):
@@ -244,64 +281,142 @@ def inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return code[start], np.append(start, len(code)), own[order]
 
 
+def band(size: Column, percent: int) -> Column:
+    """Bands of sizes; sets that link are in one band or in two neighbouring ones."""
+    return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
+def _sets_of(t: pa.Table, rows: np.ndarray) -> list[np.ndarray]:
+    blobs = t["codes"]
+    return [np.frombuffer(blobs[int(x)].as_py(), np.uint64) for x in rows]
+
+
+def _forest(n: int, links: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Smallest index reachable, of links (query, found) that are folded as they come."""
+    root, a, b, many = np.arange(n), [], [], 0
+    for x, found in links:
+        a.append(np.full(len(found), x))
+        b.append(found)
+        many += len(found)
+        if many > 200_000:
+            root = roots(n, np.concatenate([*a, np.arange(n)]), np.concatenate([*b, root]))
+            a, b, many = [], [], 0
+    return roots(n, np.concatenate([*a, np.arange(n)]), np.concatenate([*b, root]))
+
+
+def _search(t: pa.Table, percent: int) -> pa.Table:
+    """Edges of a forest of the links between rows that ask and rows that answer (a set may do both), by group."""
+    ids, grp, asks, answers = (np.array(t[c]) for c in ("id", "grp", "asks", "answers"))
+    order = np.argsort(grp, kind="stable")
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for rows in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+        index, query = rows[answers[rows]], rows[asks[rows]]
+        if not len(index) or not len(query):
+            continue
+        sets = _sets_of(t, index)
+        lists, size = inverted(sets), np.array([len(s) for s in sets])
+        all_ids, place = np.unique(ids[rows], return_inverse=True)
+        at = dict(zip(rows.tolist(), place.tolist(), strict=True))
+        own = np.array([at[x] for x in index.tolist()])
+        found = ((at[x], own[divide_skip(lists, size, s, percent)]) for x, s in zip(query.tolist(), _sets_of(t, query), strict=True))
+        root = _forest(len(all_ids), found)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        out.append((all_ids[moved], all_ids[root[moved]]))
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"a": a, "b": b})
+
+
 def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: a spanning forest of the links within each candidate group. ``members``: id, grp."""
     spark = docs.sparkSession
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
-    placed = materialize(join_counted(members, sizes, ["grp"], "n", members.count(), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "jaccard-members")
-    n = placed.count()
-    texts = _only(docs, placed, n, "inner")
+    members, total = materialize_with(members, "jaccard-members", n=F.count(F.lit(1)))
+    n = total["n"]
+    blocks = materialize(members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
+    placed, total = materialize_with(join_small(members, blocks, "grp", "inner", n), "jaccard-placed", large=F.count_if(F.col("blocks") > 1))
+    drop(members)
+    texts = _only(docs, placed, n, "inner").select("id", "text", "grp", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, some in pieces(b.column(1)):
-                blob = pa.array([s.tobytes() for s in shingle_sets(some, k)], pa.binary())
+                made = shingle_sets(some, k)
                 part = b.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([part.column(0), blob, *part.columns[2:]], names=["id", "codes", "grp", "blocks", "block"])
-
-    made = texts.select("id", "text", "grp", "blocks", "block").mapInArrow(sets, "id long, codes binary, grp long, blocks int, block int")
-    # Small groups share a task; a large one has a task for each pair of its blocks.
-    small = F.col("blocks") == 1
-    many = 8 * shuffle_partitions(spark)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    made = made.select("id", "codes", "grp", "block", F.when(small, F.pmod(F.xxhash64("grp"), F.lit(many))).otherwise(F.col("grp")).alias("task"), small.alias("small"), other.alias("other"))
-    made = made.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
-    def search(t: pa.Table) -> pa.Table:
-        ids, grp, block = (np.array(t[c]) for c in ("id", "grp", "block"))
-        blobs, (i, j) = t["codes"], (t["i"][0].as_py(), t["j"][0].as_py())
-        out_a, out_b = [], []
-        for g in np.unique(grp):
-            rows = np.flatnonzero(grp == g) if len(grp) < 1000 else by_group(grp, g)
-            own = {int(x): np.frombuffer(blobs[int(x)].as_py(), np.uint64) for x in rows}
-            index_rows = [int(x) for x in rows if block[x] == i]
-            query_rows = [int(x) for x in rows if block[x] == j]
-            if not index_rows or not query_rows:
-                continue
-            index, size = inverted([own[x] for x in index_rows]), np.array([len(own[x]) for x in index_rows])
-            place = {x: y for y, x in enumerate(rows.tolist())}
-            index_place = np.array([place[x] for x in index_rows])
-            a, b, root = [], [], np.arange(len(rows))
-            for x in query_rows:
-                found = index_place[divide_skip(index, size, own[x], percent)]
-                a.append(np.full(len(found), place[x]))
-                b.append(found)
-                if sum(map(len, a)) > 200_000:
-                    root = roots(len(rows), np.concatenate([*a, np.arange(len(rows))]), np.concatenate([*b, root]))
-                    a, b = [], []
-            root = roots(len(rows), np.concatenate([*a, np.arange(len(rows))]), np.concatenate([*b, root]))
-            moved = np.flatnonzero(root != np.arange(len(rows)))
-            out_a.append(ids[rows[moved]])
-            out_b.append(ids[rows[root[moved]]])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-    def by_group(grp: np.ndarray, g: int) -> np.ndarray:
-        order = np.argsort(grp, kind="stable")
-        lo, hi = np.searchsorted(grp[order], [g, g + 1])
-        return order[lo:hi]
-
-    return made.groupBy("task", "small", "i", "j").applyInArrow(search, "a long, b long")
+                cols = [part.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array([len(s) for s in made], pa.int64()), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "codes", "n", "grp", "blocks"])
+
+    shape = "id long, codes binary, n long, grp long, blocks int"
+    yes = F.lit(True)
+    found = lambda t: _search(t, percent)
+    # Small groups share a task.
+    task = F.pmod(F.xxhash64("grp"), F.lit(8 * shuffle_partitions(spark)))
+    small = texts.where("blocks = 1").mapInArrow(sets, shape).select("id", "codes", "grp", yes.alias("asks"), yes.alias("answers"), task.alias("task"))
+    edges = small.groupBy("task").applyInArrow(found, "a long, b long")
+    if not total["large"]:
+        return edges
+    large = materialize(texts.where("blocks > 1").mapInArrow(sets, shape), "jaccard-large")
+    near, apart = _by_pivots(large, total["large"], percent)
+    edges = edges.unionByName(near)
+    if not apart:
+        return edges
+    asking, n_asking = apart
+    # The rows that ask, and all rows that answer, in bands of size.
+    b = band(F.col("n"), percent)
+    everything = large.withColumn("band", b)
+    ask = join_small(everything, asking, "id", "inner", n_asking).drop("blocks")
+    count = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    ask_blocks = ask.select("grp", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")).groupBy("grp", "band").agg(count.alias("nq"))
+    answer_blocks = everything.groupBy("grp", "band").agg(count.alias("nt"))
+    plan = materialize(ask_blocks.join(answer_blocks, ["grp", "band"]), "jaccard-plan")
+    rows = plan.count()
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    ask = ask.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    ask = join_small(ask, plan, ["grp", "band"], "inner", rows).select("id", "codes", "grp", "band", part("nq").alias("q"), every("nt").alias("t"), yes.alias("asks"), (~yes).alias("answers"))
+    answer = join_small(everything, plan, ["grp", "band"], "inner", rows).select("id", "codes", "grp", "band", every("nq").alias("q"), part("nt").alias("t"), (~yes).alias("asks"), yes.alias("answers"))
+    return edges.unionByName(ask.unionByName(answer).groupBy("grp", "band", "q", "t").applyInArrow(found, "a long, b long"))
+
+
+def _by_pivots(large: DataFrame, n: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, int] | None]:
+    """Links of all sets of large groups with up to PIVOTS sets of their own group; and the ids (with their number) of
+    the sets outside each group's largest class of pivots and sets linked to them, None if there are none."""
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    chosen = large.groupBy("grp", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PIVOTS)).cast("int").alias("bit")).agg(F.min("id").alias("id")).select("id", "bit")
+    chosen, total = materialize_with(chosen, "jaccard-pivots", n=F.count(F.lit(1)))
+    pivots = join_small(large, chosen, "id", "inner", total["n"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = large.withColumn("bit", F.lit(-1)).withColumn("block", block)
+    columns = ["id", "codes", "grp", "block", "bit"]
+
+    def hold(t: pa.Table) -> pa.Table:
+        ids, bit = np.array(t["id"], np.int64), np.array(t["bit"])
+        hub, own = np.flatnonzero(bit >= 0), np.flatnonzero(bit < 0)
+        sets = _sets_of(t, hub)
+        lists, size = inverted(sets), np.array([len(s) for s in sets])
+        met = [divide_skip(lists, size, s, percent) for s in _sets_of(t, own)]
+        mask = [int(sum(1 << int(bit[hub[x]]) for x in m)) for m in met]
+        kind = pa.list_(pa.int64())
+        return pa.table({"id": ids[own], "grp": pa.repeat(t["grp"][0], len(own)), "mask": pa.array(mask, pa.int64()), "hubs": pa.array([ids[hub[m]].tolist() for m in met], kind)})
+
+    met = pivots.select(*columns).unionByName(rows.select(*columns)).groupBy("grp", "block").applyInArrow(hold, "id long, grp long, mask long, hubs array<long>")
+    met = materialize(met, "jaccard-met")
+    masks = met.groupBy("grp", "mask").agg(F.count(F.lit(1)).alias("n"))
+
+    def classes(t: pa.Table) -> pa.Table:
+        """At most 2**PIVOTS rows: the masks of a group; all but those of the largest class ask."""
+        mask, many = np.array(t["mask"], np.int64), np.array(t["n"], np.int64)
+        bits = [np.flatnonzero((int(m) >> np.arange(PIVOTS)) & 1) for m in mask]
+        a = np.concatenate([np.full(len(x), x[0]) for x in bits if len(x)] or [np.zeros(0, int)]).astype(int)
+        root = roots(PIVOTS, a, np.concatenate([x for x in bits if len(x)] or [np.zeros(0, int)]).astype(int))
+        own = np.array([root[x[0]] if len(x) else PIVOTS + i for i, x in enumerate(bits)])
+        size = np.bincount(own, np.where(mask > 0, many, 0), PIVOTS + len(mask))
+        ask = own != size.argmax()
+        return pa.table({"grp": pa.repeat(t["grp"][0], int(ask.sum())), "mask": mask[ask]})
+
+    apart, total = materialize_with(masks.groupBy("grp").applyInArrow(classes, "grp long, mask long"), "jaccard-apart", n=F.count(F.lit(1)))
+    edges = met.select("id", F.explode("hubs").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
+    if not total["n"]:
+        return edges, None
+    asking, total = materialize_with(join_small(met.select("id", "grp", "mask"), apart, ["grp", "mask"], "inner", total["n"]).select("id").distinct(), "jaccard-asking", n=F.count(F.lit(1)))
+    return edges, (asking, total["n"])
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -315,20 +430,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     base = materialize(signatures(rows, k), "jaccard-sets")
     real = base.where("n > 0 and id is not null")
-    first = materialize(real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
-    own = base.where("id is not null").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
-    # All that is no representative stays out of the search.
-    copies = materialize(join_counted(real, first.where("copies > 1"), ["n", "s1", "s2"], "copies", base.count(), "id").where("id <> rep").select("id", F.col("rep")).distinct(), "jaccard-copies")
-    n = copies.count()
-    texts = _only(rows.where("id is not null"), copies.select("id").join(own, "id", "left_anti").distinct(), n, "left_anti")
+    classes = real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    first, total = materialize_with(classes.where("copies > 1"), "jaccard-classes", n=F.count(F.lit(1)))
+    # All that is no representative stays out of the search; ids of several texts stay in.
+    copies = join_small(real, first, ["n", "s1", "s2"], "inner", total["n"]).where("id <> rep").select("id", "rep").distinct()
+    copies, total = materialize_with(copies, "jaccard-copies", n=F.count(F.lit(1)))
+    drop(first)
+    several = base.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
+    aside = copies.select("id").distinct().join(several, "id", "left_anti")
+    texts = _only(rows.where("id is not null"), aside, total["n"], "left_anti")
     buckets = max(16, shuffle_partitions(spark))
-    frequent = frequencies(texts, k, buckets, FREQUENT)
-    pairs = materialize(candidates(texts, k, buckets, frequent), "jaccard-candidates")
+    pairs = materialize(candidates(texts, k, buckets, frequencies(texts, k, buckets, FREQUENT)), "jaccard-candidates")
     groups = components(pairs)
-    groups = materialize(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")).unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()), "jaccard-groups")
-    edges = links(texts, groups, k, percent).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    drop(pairs)
+    members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    members = members.unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct())
+    edges = links(texts, members, k, percent).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     found = components(edges)
-    return base.join(found, base["id"] == found["node"], "left").select(base["id"].alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    got = base.join(found, base["id"] == found["node"], "left")
+    return got.select(base["id"].alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

@@ -379,3 +379,15 @@ def test_components_of_a_long_path(spark):
 
 def test_registry_names():
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_chain_of_near_copies_in_one_group(spark, monkeypatch):
+    """Neighbours in a chain link (Jaccard 0.8 and more), its ends share nothing: most sets link to no pivot, or to different ones."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rows = [(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 104))) for i in range(60)] + [(100 + i, " ".join(f"v{j}" for j in range(8 * i, 8 * i + 60 + i))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    edges = jaccard.links(docs, docs.select("id", F.lit(0).cast("long").alias("grp")), jaccard.WORDS, jaccard.PERCENT).collect()
+    ids = [i for i, _ in rows]
+    up = components.roots(len(ids), [ids.index(r.a) for r in edges], [ids.index(r.b) for r in edges])
+    assert {i: ids[x] for i, x in zip(ids, up, strict=True)} == linked({i: shingles(t) for i, t in rows})
