@@ -6,11 +6,12 @@ after a point. The leftmost boundary in which their segmentations differ moves l
 one and not in the other; b then touches the difference. If the boundary d was made to differ by an earlier rule j, the
 next one lies exactly len(left of j) before d, and the rule's right part is the left part of j, or a token that begins
 with what j made. ``lookahead`` follows these chains in rank order. Text further than that from the end of the buffer
-is stable; it is emitted and forgotten, so memory is one block and the lookahead, however long a word is.
+is stable; it is emitted and forgotten, so memory is one block and the lookahead, however long a word is. Every word
+goes through this transducer; ids of words seen before come from a memo of bounded size.
 
-The query's decoded digest is that of the emitted ids, slice by slice, as the library decodes them: tokens joined by
-spaces. ``text`` gives the text itself by a state machine over the bytes of the tokens, in which unfinished UTF-8
-sequences wait for their next token.
+Decoding reads ids only, slice by slice, by a machine with two outputs. The library decodes a file without a decoder by
+joining tokens with spaces; the state is whether a token came before. The text itself needs the bytes that the tokens'
+letters stand for; the state is the UTF-8 sequence that is still unfinished.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -159,13 +160,29 @@ class Codec:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.rules.special, key=len, reverse=True))) + ")").split
         self.mark = commonprefix([*self.rules.special])
         self.ids = Memo(self.learn_ids)
-
-    def tokens(self, word: str) -> list[str]:
+        #: The text of each id, and the ids whose bytes do not end where a UTF-8 sequence does.
+        self.special_ids = set(self.rules.special.values())
+        self.whole: dict[int, str] = {}
+        self.partial: set[int] = set()
+        for i, t in self.rules.surface.items():
+            if i in self.special_ids:
+                self.whole[i] = t
+                continue
+            try:
+                self.whole[i] = self.raw(i).decode()
+            except UnicodeDecodeError:
+                self.partial.add(i)
+
+    def raw(self, i: int) -> bytes:
+        """The bytes that a token's letters stand for; the end of a word is a space."""
+        t = self.rules.surface[i]
+        end = bool(self.rules.suffix) and t.endswith(self.rules.suffix)
+        return bytes(self.bytes_of[c] for c in (t.removesuffix(self.rules.suffix) if end else t)) + b" " * end
+
+    def tokens(self, word: str) -> Iterator[str]:
         symbols = list(word.encode().decode("latin-1").translate(self.table))
         symbols[-1] += self.rules.suffix
-        if len(symbols) <= BLOCK // 4:
-            return merge(symbols, self.rules.ranks)
-        return list(Transducer(self.rules).feed(symbols, True))
+        return Transducer(self.rules).feed(symbols, True)
 
     def normalize(self, text: str) -> str:
         if not text.isascii():
@@ -187,16 +204,20 @@ class Codec:
     def learn_ids(self, word: str) -> bytes:
         return b"".join(self.rules.ids[t].to_bytes(4, "little") for t in self.tokens(word))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as little-endian 32-bit integers, SHA-256 of the decoded text."""
-        ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
+    def digest(self, text: str, keep: list[int] | None = None) -> tuple[int, str, str, str]:
+        """Number of ids; SHA-256 of the ids as little-endian 32-bit integers, of their decoding as the library's, and of
+        the text that they stand for. ``keep`` gets the ids."""
+        ids, joined, plain, n, machine = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0, Decoder(self)
         for x in self.stream(text):
             n += len(x) // 4
             ids.update(x)
-            y = self.decode(read_ids(x)).encode()
-            decoded.update(y if first else b" " + y)
-            first = False
-        return n, ids.hexdigest(), decoded.hexdigest()
+            some = read_ids(x)
+            joined.update(machine.joined(some).encode())
+            plain.update(machine.text(some).encode())
+            if keep is not None:
+                keep += some
+        plain.update(machine.close().encode())
+        return n, ids.hexdigest(), joined.hexdigest(), plain.hexdigest()
 
     def stream(self, text: str) -> Iterator[bytes]:
         """The ids of one slice after another."""
@@ -214,28 +235,52 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """As the library: without a decoder of its own, the tokens are joined by spaces."""
-        return " ".join([self.rules.surface[i] for i in ids])
+        return Decoder(self).joined(ids)
 
     def text(self, ids: list[int]) -> str:
         """The text itself: byte letters back to bytes, word ends to spaces, UTF-8 decoded as the bytes come."""
-        machine, out = codecs.getincrementaldecoder("utf-8")("replace"), []
+        machine = Decoder(self)
+        return machine.text(ids) + machine.close()
+
+
+class Decoder:
+    """Ids in, text out, piece by piece. What it holds: whether a token came before, and an unfinished UTF-8 sequence."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.begun, self.bytes = codec, False, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def joined(self, ids: Sequence[int]) -> str:
+        out = " ".join([self.codec.rules.surface[i] for i in ids])
+        if self.begun:
+            return " " + out
+        self.begun = bool(ids)
+        return out
+
+    def text(self, ids: Sequence[int]) -> str:
+        whole = self.codec.whole
+        if not self.bytes.getstate()[0] and self.codec.partial.isdisjoint(ids):
+            return "".join([whole[i] for i in ids])
+        out = []
         for i in ids:
-            t = self.rules.surface[i]
-            if t in self.rules.special:
-                out += machine.decode(b"", True), t
-                continue
-            end = bool(self.rules.suffix) and t.endswith(self.rules.suffix)
-            out.append(machine.decode(bytes(self.bytes_of[c] for c in (t.removesuffix(self.rules.suffix) if end else t))))
-            if end:
-                out.append(" ")
-        return "".join([*out, machine.decode(b"", True)])
+            if i in self.codec.special_ids:
+                out += self.bytes.decode(b"", True), whole[i]
+                self.bytes.reset()
+            else:
+                out.append(self.bytes.decode(self.codec.raw(i)))
+        return "".join(out)
+
+    def close(self) -> str:
+        return self.bytes.decode(b"", True)
 
 
 def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids where ``keep_ids``.
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256 (of the text that the ids stand for, words
+    followed by a space), and ids where ``keep_ids``.
 
     ``model``: the content of a tokenizers JSON file (read on the driver and sent along; its size does not grow with the
-    data). Null texts count as empty: no ids, and the digests of nothing. Repeated rows keep a row each.
+    data). Null texts count as empty: no ids, and the digests of nothing. Very long texts are encoded and decoded in
+    slices, very long words in blocks. Repeated rows keep a row each, empty tables give no rows; other columns are
+    ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: dict[str, Codec] = {}
@@ -245,16 +290,17 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                n, a, d = zip(*map(codec.digest, texts), strict=True)
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                ids: list[list[int]] = [[] for _ in range(part.num_rows)]
+                got = [codec.digest(t or "", i if keep_ids else None) for t, i in zip(part.column(1).to_pylist(), ids, strict=True)]
+                n, *digests = zip(*got, strict=True)
+                cols = [part.column(0), pa.array(n, pa.int64()), *[pa.array(d, pa.string()) for d in digests]]
                 if keep_ids:
-                    cols.append(pa.array(map(codec.encode, texts), pa.list_(pa.int32())))
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = dict(docs.dtypes)[id_col]
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256", *["ids"] * keep_ids]
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(f"`{id_col}`", f"`{text}`").mapInArrow(run, schema)
 
 
