@@ -59,53 +59,64 @@ def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, schedule: dict[int, tuple[float, float]] | None = None, share: float = 1.5, passes: int = 2,
     seed: int = 42, blocks: int = 1024, id_col: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, weight, target, taken, taken_1, taken_2 (words taken in
-    each pass), position (of the first word; null if none is taken) and position_2.
+    """Per row of ``docs``: doc_id, source, size, source_size, weight, target, taken, taken_1 to taken_n (words taken in
+    each of ``passes`` passes), and position (of the first word; null if none is taken), position_2 to position_n.
 
-    Null texts have size 0; null sources form one source, last in order. Empty tables give no rows. Repeated rows queue
-    one after the other. A document at the end of a demand is taken in part, its first words.
+    Null texts have size 0; null sources form one source, last in order. Empty tables give no rows. Rows with equal id
+    and text queue one after the other; they are counted first, so that a third of all rows may be equal. Very long
+    texts count whole. A document at the end of a demand is taken in part, its first words. Other columns are ignored.
     """
     schedule = schedule or SCHEDULE
     spark = docs.sparkSession
+    sized = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("key"),
+    )
     rows = materialize(
-        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-        .withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
-        .withColumn("block", F.pmod(F.shiftrightunsigned("key", 20), F.lit(blocks)).cast("int")),
+        sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("times")).withColumn("block", F.pmod(F.shiftrightunsigned("key", 20), F.lit(blocks)).cast("int")),
         "mix-sizes",
     )
-    sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    words = F.col("size") * F.col("times")
+    sums = rows.groupBy("source", "block").agg(F.sum(words).alias("words"))
     queue = Window.partitionBy("source").orderBy("block")
     offsets = sums.withColumn("offset", F.sum("words").over(queue) - F.col("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, passes)
     rates = F.create_map(*[x for w, (a, b) in schedule.items() for x in (F.lit(w), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")))])
     goal = goal.withColumn("rate", F.coalesce(rates[F.col("weight")], F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))))
-    plan = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(offsets["source"].alias("s"), offsets["block"].alias("b"), "offset", "source_size", "weight", "target", "rate")
+    plan = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(
+        offsets["source"].alias("s"), offsets["block"].alias("b"), "offset", "source_size", "weight", "target", "rate"
+    )
     inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    placed = placed.join(plan, placed["source"].eqNullSafe(plan["s"]) & (placed["block"] == plan["b"])).withColumn("start", F.col("offset") + F.col("inside"))
+    placed = rows.withColumn("inside", F.sum(words).over(inside) - words)
+    placed = placed.join(plan, placed["source"].eqNullSafe(plan["s"]) & (placed["block"] == plan["b"]))
+    # Equal rows come out one by one, each with its own place in the queue.
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("start", F.col("offset") + F.col("inside") + F.col("nth") * F.col("size"))
     demand = F.floor("target").cast("long")
-    part = lambda at: F.greatest(F.lit(0), F.least(F.col("size"), demand - at)).cast("long")
-    again = F.col("start") + F.col("source_size")
-    out = placed.withColumn("taken_1", part(F.col("start"))).withColumn("taken_2", part(again))
-    at = lambda u, taken: F.when(taken > 0, position(u, F.col("target"), F.col("rate.a"), F.col("rate.b")))
-    out = out.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", (F.col("taken_1") + F.col("taken_2")).alias("taken"), "taken_1", "taken_2",
-        at(F.col("start"), F.col("taken_1")).alias("position"), at(again, F.col("taken_2")).alias("position_2"),
+    begins = [F.col("start") + i * F.col("source_size") for i in range(passes)]
+    took = [F.greatest(F.lit(0), F.least(F.col("size"), demand - at)).cast("long") for at in begins]
+    at = [F.when(n > 0, position(u, F.col("target"), F.col("rate.a"), F.col("rate.b"))) for u, n in zip(begins, took, strict=True)]
+    out = placed.select(
+        "doc_id", "source", "size", "source_size", "weight", "target", sum(took[1:], took[0]).alias("taken"), *[n.alias(f"taken_{i + 1}") for i, n in enumerate(took)],
+        *[x.alias(f"position_{i + 1}" if i else "position") for i, x in enumerate(at)],
     )
-    return materialize(out, "mix").repartitionByRange(shuffle_partitions(spark), F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    order = (F.col("position").asc_nulls_last(), "doc_id")
+    return materialize(out, "mix").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, *, passes: int = 2, **options) -> DataFrame:
     """``docs`` (with text and source) as the mix trains on them, same columns: a row for each pass that takes words of
     a row, its text cut after the words taken, in the order of the passes' training positions; rows of which nothing is
-    taken go. Equal rows each have their own."""
+    taken go. Equal rows each have their own; rows are told apart by 128 bits of hash over all their columns. Nulls,
+    empty and very long texts, and empty tables as in mix; columns may have any names."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.xxhash64(*cols).alias("key"), F.struct(*cols).alias("row"))
-    got = mix(keyed.select("key", "row.text", "row.source"), id_col="key", **options)
-    both = F.array(*[F.struct(F.col(n).alias("n"), F.col(at).alias("at")) for n, at in (("taken_1", "position"), ("taken_2", "position_2"))])
-    parts = F.filter(both, lambda x: x["n"] > 0)
-    got = got.where("taken > 0").groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list(parts)).alias("parts"), F.max("size").alias("size"))
-    rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key").select("key", "row", "size", F.explode("parts").alias("part")).select("key", "row", "size", "part.*")
+    key = F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols, F.lit(1)).alias("h2"))
+    keyed = docs.select(key.alias("key"), F.struct(*cols).alias("row"))
+    got = mix(keyed.select("key", "row.text", "row.source"), id_col="key", passes=passes, **options)
+    places = ["position", *[f"position_{i}" for i in range(2, passes + 1)]]
+    each = F.array(*[F.struct(F.col(f"taken_{i}").alias("n"), F.col(at).alias("at")) for i, at in enumerate(places, 1)])
+    parts = F.filter(each, lambda x: x["n"] > 0)
+    got = got.where("taken > 0").select(F.col("doc_id").alias("key"), F.explode(parts).alias("part"), "size").select("key", "size", "part.*")
+    rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key")
     text, n = F.col("row.text"), F.col("n").cast("int")
     length = lambda xs: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
     # A text is a gap and a word in turn; the first n of both make up its beginning.
