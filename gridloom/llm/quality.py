@@ -3,8 +3,10 @@
 Each line is good (1) or bad (0). Line scores are linear in features of the line and of its neighbours; pairs of
 neighbouring lines have scores of their own. Forward and backward sums give each line's marginal of being good; the
 document's quality is the mean of the marginals, weighted by the lines' length. Training takes the document's label for
-all its lines and climbs the conditional log-likelihood, on at most ``max_docs`` labelled documents (by hash of doc_id,
-so that the sample does not depend on the input's order); everything else covers all rows and whole texts.
+all its lines and climbs the conditional log-likelihood, with pair scores held within PAIR_BOUND at every step (labels of
+whole documents never change within one, so that unbounded pair scores would outweigh all lines). It uses at most
+``max_docs`` labelled documents with at most ``max_lines`` lines in all (by hash of doc_id, so that the sample does not
+depend on the input's order); everything else covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -15,10 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import table
 
 MAX_DOCS = 4000
+MAX_LINES = 400_000
+#: Largest score of a pair of neighbouring states, in training and after it.
+PAIR_BOUND = 2.0
 #: Lines of a chain in training; a longer document gives several chains.
 CHAIN = 128
 #: Bytes of text handled at once.
@@ -152,8 +159,11 @@ def forward_backward(emit: np.ndarray, pair: np.ndarray, first: np.ndarray, with
     return marginal, joint.sum(0), float(z[first[1:] - 1].sum())
 
 
-def train(x: np.ndarray, first: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.08, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Adam on the log-likelihood; documents of the rarer label weigh more, as whole chains. Returns line and pair weights."""
+def train(
+    x: np.ndarray, first: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.08, decay: float = 1e-4, pair_bound: float = PAIR_BOUND
+) -> tuple[np.ndarray, np.ndarray]:
+    """Adam on the log-likelihood, every document with the same weight; pair weights are projected back within
+    ``pair_bound`` after each step. Returns line and pair weights."""
     cut = np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True)] + [[first[-1]]])
     y = np.repeat(labels, np.diff(first)).astype(np.float64)
     per_doc = np.repeat(1 / np.diff(first), np.diff(first))
@@ -173,7 +183,8 @@ def train(x: np.ndarray, first: np.ndarray, labels: np.ndarray, *, rounds: int =
         g = np.concatenate([x.T @ ((y - p) * scale), ((seen - pairs) / max(1, len(i))).ravel()]) - decay * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta[:-4] / spread, np.clip(theta[-4:].reshape(2, 2), -2, 2)
+        theta[-4:] = np.clip(theta[-4:], -pair_bound, pair_bound)
+    return theta[:-4] / spread, theta[-4:].reshape(2, 2)
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +217,12 @@ def score_texts(texts: list[bytes], w: np.ndarray, pair: np.ndarray, adjust: tup
     return 1 / (1 + np.exp(-(adjust[0] + adjust[1] * logit))), p, first
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
+def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
     """Line weights, pair weights, and the (offset, slope) that set a document's mean marginal against its label.
 
     ``labels``: doc_id, quality (0 or 1). Rows with a null in either, and held-out ids, are not used. Without labels of
-    both kinds all scores are 0.5.
+    both kinds, or without documents, all scores are 0.5. What reaches the driver is max_lines rows of features at most:
+    documents whose lines would exceed it are passed over.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     each = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -227,6 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS) -> tupl
                 part = b.slice(at, len(rows))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "quality", "x", "length"])
 
+    # At most max_docs ids and their lines, in one window.
+    lines = texts.groupBy("id").agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1).alias("lines"))
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    short = lines.where(F.col("lines") <= max_lines // 8).withColumn("upto", upto).where(F.col("upto") <= max_lines).select("id")
+    texts = texts.join(F.broadcast(short), "id").select("quality", "text", "id")
     got = texts.mapInArrow(run, "id long, quality int, x binary, length binary").orderBy("id", "x").toArrow().to_pydict()
     y = np.array(got["quality"], np.float64)
     if len(set(got["quality"])) < 2:
@@ -258,7 +275,8 @@ def held_out(doc_id):
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, tuple[float, float]]) -> DataFrame:
     """All rows of ``docs`` with their columns in a struct ``row``, score and predicted; null texts count as empty, which
-    is one empty line. Repeated rows keep a row each; columns may have any names."""
+    is one empty line. Very long texts are one chain of all their lines. Repeated rows keep a row each, empty tables give
+    no rows, columns may have any names."""
     w, pair, adjust = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +286,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, tuple[float, flo
                 yield pa.RecordBatch.from_arrays([b.slice(at, len(rows)).column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+    schema = [T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return rows.mapInArrow(run, T.StructType(schema))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
