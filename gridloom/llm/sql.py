@@ -73,15 +73,16 @@ def _spans(rows: str) -> str:
 
 
 _VALUE = f"length(regexp_extract(m, {_quoted(secrets.ASSIGN)}, 1)) >= 8"
+_KINDS = " ".join(f"WHEN regexp_full_match(m, {_quoted(whole)}) THEN CASE WHEN regexp_matches(m, {_quoted(inside)}) THEN {i} END" for i, (_, whole, inside, _) in enumerate(secrets.CLASSES))
+_CLASSES = ", ".join(f"({i}, '{kind}', {limit})" for i, (kind, _, _, limit) in enumerate(secrets.CLASSES))
 SECRETS = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds(i, kind, least) AS (VALUES {_CLASSES}),
 base AS ({_matches(0, "assign", secrets.ASSIGN, _VALUE)} UNION ALL {_matches(1, "access", secrets.ACCESS, "length(m) >= 16")} UNION ALL {_matches(2, "hex", secrets.HEX, "true")}),
-c AS ({_matches(3, "candidate", secrets.CANDIDATE, f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_full_match(m, {_quoted('|'.join(secrets.ALLOW))})")}),
-free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = c.doc_id AND base.a < c.b AND base.b > c.a)),
-rated AS (SELECT *, regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') AS hex,
-  list_max(list_transform(range(1, length(m) - {secrets.WINDOW} + 2), lambda i: list_entropy(string_split(substr(m, i, {secrets.WINDOW}), '')))) AS h FROM free),
-every AS (SELECT doc_id, a, b, rank, kind FROM base UNION ALL SELECT doc_id, a, b, CASE WHEN hex THEN 3 ELSE 4 END, CASE WHEN hex THEN 'entropy_hex' ELSE 'entropy_base64' END FROM rated
-  WHERE h >= CASE WHEN hex THEN {secrets.LIMITS["entropy_hex"]} ELSE {secrets.LIMITS["entropy_base64"]} END),
+c AS ({_matches(3, "candidate", secrets.CANDIDATE, f"NOT regexp_full_match(m, {_quoted('|'.join(secrets.ALLOW))})")}),
+free AS (SELECT *, CASE {_KINDS} END AS i FROM c WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = c.doc_id AND base.a < c.b AND base.b > c.a)),
+rated AS (SELECT *, list_max(list_transform(range(1, length(m) - {secrets.WINDOW} + 2), lambda j: list_entropy(string_split(substr(m, j, {secrets.WINDOW}), '')))) AS h FROM free WHERE i IS NOT NULL),
+every AS (SELECT doc_id, a, b, rank, kind FROM base UNION ALL SELECT doc_id, a, b, 3 + i, kinds.kind FROM rated JOIN kinds USING (i) WHERE h >= least - 1e-12),
 n AS (SELECT doc_id, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex FROM base GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(x.spans, '')) AS base_sha256, coalesce(y.spans, '') AS spans
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN {_spans("base")} x USING (doc_id) LEFT JOIN {_spans("every")} y USING (doc_id)
@@ -97,6 +98,8 @@ def _class(inside: str) -> str:
     return f"length(regexp_replace(t, {_quoted(f'[^{inside}]+')}, '', 'g'))"
 
 
+#: One character of any class but the last.
+_KNOWN = r"^[\p{Ll}\p{Lu}0-9.,;:!?'\"()#*$%&|<>\x20\x09-\x0D-]$"
 RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{WS}]')) AS l FROM d),
@@ -105,11 +108,12 @@ twice AS (SELECT id, i FROM win QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
 rep AS (SELECT id, sum(least({_W}, coalesce(nx - i, {_W})))::BIGINT AS n FROM (SELECT *, lead(i) OVER (PARTITION BY id ORDER BY i) AS nx FROM twice) GROUP BY 1),
 b AS (SELECT id, doc_id, lang, len(w)::BIGINT AS n_words, length(t)::BIGINT AS n_chars, (length(t) - {_class(WS)})::BIGINT AS word_chars, {_class(r"#*$%&|<>")}::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-  [{_class(r"\p{Lu}")}, {_class("0-9")}, {_class(r".,;:!?'" + chr(34) + r"()\-")}, {_class(r"#*$%&|<>")}, {_class(WS)}, octet_length(encode(t)) - length(t)] AS k FROM w LEFT JOIN rep USING (id)),
+  [{_class(r"\p{Lu}")}, {_class("0-9")}, {_class(r".,;:!?'" + chr(34) + r"()\-")}, {_class(r"#*$%&|<>")}, {_class(WS)},
+    len(list_filter(string_split(t, ''), lambda x: NOT regexp_matches(x, {_quoted(_KNOWN)})))] AS k FROM w LEFT JOIN rep USING (id)),
 wc AS (SELECT id, lower(x) AS x, count(*) AS n FROM (SELECT id, unnest(w) AS x FROM w) WHERE lower(x) IN ({_EVERY}) GROUP BY ALL),
 lists(lang, i, x) AS {_COMMON},
 listed AS (SELECT b.id, b.lang, 'word' AS kind, lists.i, coalesce(wc.n, 0)::DOUBLE AS c FROM b JOIN lists USING (lang) LEFT JOIN wc ON wc.id = b.id AND wc.x = lists.x),
-hist AS (SELECT id, lang, 'class' AS kind, unnest(range(0, 7)) AS i, unnest([greatest(0, n_chars - list_sum(k))] || k)::DOUBLE AS c FROM b
+hist AS (SELECT id, lang, 'class' AS kind, unnest(range(0, 7)) AS i, unnest([n_chars - list_sum(k)] || k)::DOUBLE AS c FROM b
   UNION ALL SELECT * FROM listed
   UNION ALL SELECT b.id, b.lang, 'word', 1000, greatest(0, n_words - coalesce(u.n, 0))::DOUBLE FROM b LEFT JOIN (SELECT id, sum(c) AS n FROM listed GROUP BY 1) u USING (id)
     WHERE lang IN (SELECT lang FROM lists)),
