@@ -62,9 +62,64 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_of_odd_rows(spark, odd, empty):
     model = quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
-    got = quality.score(odd, model).collect()
-    assert len(got) == len(ODD) and all(r.score == 0.5 for r in got)
+    strange = odd.withColumnsRenamed({"n": "a b", "row": "c.d", "key": "select"})
+    for df in (odd, strange):
+        got = quality.score(df, model).collect()
+        assert len(got) == len(ODD) and all(r.score == 0.5 for r in got)
+    assert quality.score(strange, model).select("row.*").columns == strange.columns
     assert quality.score(empty, model).count() == 0
+    assert quality.fit(empty, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))[2] == (0.0, 1.0)
+
+
+def naive_features(t):
+    """The features of a text's lines, straight from their descriptions."""
+    import math
+
+    lines, out = t.encode().split(b"\n"), []
+    seen = set()
+    for raw in lines:
+        s = len(raw)
+        words = [w for w in re.split(rb"[ \t\r\x0b\x0c]", raw) if w]
+        blank = sum(c in b" \t\r\x0b\x0c" for c in raw)
+        share = lambda kind: sum(c in kind for c in raw) / max(s, 1)  # noqa: B023, E731
+        n = max(len(words), 1)
+        out.append([
+            math.log1p(s) / 6, share(bytes(range(65, 91))), share(bytes(range(48, 58))), share(b".,;:?'\"()-"), share(b"!"), share(b"#*$%&<>@~^"), share(b"|"), blank / max(s, 1), share(bytes(range(128, 256))),
+            (s - blank) / n / 8, float(raw[-1:] in (b".", b"?") and s > 0), float(raw[:1].isalpha() and raw[:1].isupper()), float(s > 0 and raw in seen), min(max(map(len, words), default=0), 60) / 30,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        ])
+        seen.add(raw)
+    zero = [0.0] * len(quality.OWN)
+    return [[1.0, *x, *(out[i - 1] if i else zero), *(out[i + 1] if i + 1 < len(out) else zero), float(i == 0), float(i + 1 == len(out))] for i, x in enumerate(out)], [len(x) for x in lines]
+
+
+def naive_marginals(emit, pair):
+    """Of state 1, by sums over all paths forward and backward in plain probabilities."""
+    import math
+
+    forward = [[1.0, math.exp(emit[0])]]
+    for e in emit[1:]:
+        a = [sum(forward[-1][i] * math.exp(pair[i][j]) for i in (0, 1)) * (math.exp(e) if j else 1.0) for j in (0, 1)]
+        forward.append([x / sum(a) for x in a])
+    backward = [[1.0, 1.0]]
+    for e in reversed(emit[1:]):
+        b = [sum(math.exp(pair[i][j]) * (math.exp(e) if j else 1.0) * backward[0][j] for j in (0, 1)) for i in (0, 1)]
+        backward.insert(0, [x / sum(b) for x in b])
+    return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
+
+
+def test_quality_scores_equal_a_naive_model(spark, docs):
+    """The whole query but the training: features, chain and weighted mean, by plain loops."""
+    import math
+
+    w, pair, (offset, slope) = model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"))
+    assert abs(pair).max() <= quality.PAIR_BOUND
+    for r in quality.score(docs.select("doc_id", "text"), model).select("row.*", "score", "predicted").collect():
+        x, length = naive_features(r.text or "")
+        p = naive_marginals([sum(a * b for a, b in zip(row, w, strict=True)) for row in x], pair)
+        mean = min(max(sum(a * (n + 1) for a, n in zip(p, length, strict=True)) / sum(n + 1 for n in length), 1e-9), 1 - 1e-9)
+        score = 1 / (1 + math.exp(-(offset + slope * math.log(mean / (1 - mean)))))
+        assert abs(score - r.score) < 1e-6 and r.predicted == int(r.score >= 0.5)
 
 
 def test_crf_marginals_equal_enumeration():
@@ -93,7 +148,14 @@ def test_bpe_equals_the_library(spark, docs, odd):
     for r in bpe.encode_documents(docs, bpe.word_model()).collect():
         ids = want[r.doc_id]
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        decoded = hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), decoded)
+        assert r.text_sha256 == hashlib.sha256(codec.text(ids).encode()).hexdigest()
+    for t in texts_of(docs).values():
+        assert "".join(codec.text(codec.encode(t)).split()) == "".join(codec.normalize(t).split())
+    assert bpe.encode_documents(docs.where("false"), bpe.word_model()).count() == 0
+    kept = bpe.encode_documents(docs.where("doc_id < 20"), bpe.word_model(), keep_ids=True).collect()
+    assert all(r.ids == want[r.doc_id] for r in kept)
     rng = random.Random(3)
     for _ in range(300):
         t = "".join(rng.choice("aeéİß  \n'sreΣ!?0٣漢🙂<|endoftext|>the") for _ in range(rng.randint(0, 60)))
@@ -106,6 +168,25 @@ def test_bpe_equals_the_library(spark, docs, odd):
     assert codec.text(codec.encode("Grüße an alle 🙂")).split() == ["grüße", "an", "alle", "🙂"]
 
 
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    codec, seen = bpe.Codec(bpe.word_model()), []
+    feed = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, symbols, last: seen.append(len(symbols)) or feed(self, symbols, last))
+    codec.encode("a few words " + "w" * 700)
+    assert seen == [1, 3, 5, 700]
+
+
+def test_decoding_by_pieces_equals_decoding_at_once():
+    codec = bpe.Codec(bpe.word_model())
+    ids = codec.encode("Gr\u00fc\u00dfe \U0001f642\u6f22\u5b57 \u0663 <|endoftext|> \u0939\u093f\u0928 end" * 3)
+    assert any(i in codec.partial for i in ids)
+    for size in (1, 2, 3, 7):
+        machine = bpe.Decoder(codec)
+        parts = [(machine.joined(ids[i : i + size]), machine.text(ids[i : i + size])) for i in range(0, len(ids), size)]
+        assert "".join(a for a, _ in parts) == codec.decode(ids)
+        assert "".join(b for _, b in parts) + machine.close() == codec.text(ids)
+
+
 def test_bpe_decodes_the_ids_it_emits():
     codec = bpe.Codec(bpe.word_model())
     (right,), (wrong,) = codec.encode("the"), codec.encode("and")
@@ -258,12 +339,13 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0
     taken = mixing.apply_mix(odd)
     assert taken.columns == odd.columns
-    assert sum(len(WORDS.findall(r.text or "")) for r in taken.collect()) == sum(r.taken for r in mixing.mix(odd.select(F.xxhash64(*odd.columns).alias("doc_id"), "text", "source")).collect())
+    key = F.struct(F.xxhash64(*odd.columns), F.xxhash64(F.lit(1), *odd.columns, F.lit(1)))
+    assert sum(len(WORDS.findall(r.text or "")) for r in taken.collect()) == sum(r.taken for r in mixing.mix(odd.select(key.alias("doc_id"), "text", "source")).collect())
     assert mixing.apply_mix(empty).count() == 0
 
 
 def test_applied_mix_is_in_training_order(docs):
-    keyed = docs.withColumn("key", F.xxhash64(*docs.columns))
+    keyed = docs.withColumn("key", F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns, F.lit(1))))
     ids = {r.key: r.doc_id for r in keyed.select("key", "doc_id").collect()}
     got = mixing.mix(keyed.select("key", "text", "source"), id_col="key").collect()
     passes = sorted((at, r.doc_id) for r in got for n, at in ((r.taken_1, r.position), (r.taken_2, r.position_2)) if n > 0)
@@ -271,6 +353,41 @@ def test_applied_mix_is_in_training_order(docs):
     assert [r.doc_id for r in mixing.apply_mix(docs).collect()] == [ids[key] for _, key in passes]
 
 
+@pytest.mark.parametrize(("passes", "share"), [(1, 0.7), (2, 1.5), (3, 2.9)])
+def test_mixing_against_a_queue(spark, docs, passes, share):
+    """taken and position of every row by a plain walk along each source's queue, ordered by the hash of the rows."""
+    again = docs.where("doc_id < 40").select("doc_id", "text", "source")
+    df = docs.select("doc_id", "text", "source").unionByName(again).unionByName(again)
+    keys = {(r.doc_id, r.source): r.key for r in df.select("doc_id", "source", F.xxhash64(F.lit(42), "doc_id", "text").alias("key")).collect()}
+    sizes = {i: len(WORDS.findall(t)) for i, t in texts_of(df).items()}
+    queues = defaultdict(list)
+    for r in df.collect():
+        queues[r.source].append((((keys[r.doc_id, r.source] & (1 << 64) - 1) >> 20) % 1024, keys[r.doc_id, r.source], r.doc_id))
+    got = mixing.mix(df, passes=passes, share=share).collect()
+    target = {r.source: r.target for r in got}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(queues))}
+    want = []
+    for s, queue in queues.items():
+        total, at = sum(sizes[i] for *_, i in queue), 0
+        a, b = mixing.SCHEDULE[weight[s]]
+        for *_, i in sorted(queue):
+            begins = [at + k * total for k in range(passes)]
+            took = [max(0, min(sizes[i], int(target[s]) - u)) for u in begins]
+            first = None
+            if took[0]:
+                # The first time t at which the integral of the rate, a + (b - a) t, reaches the words before this row.
+                low, high = 0.0, 1.0
+                for _ in range(60):
+                    t = (low + high) / 2
+                    low, high = (low, t) if (a * t + (b - a) * t * t / 2) / ((a + b) / 2) * target[s] >= begins[0] else (t, high)
+                first = round(high, 6)
+            want.append((i, sizes[i], sum(took), first))
+            at += sizes[i]
+    assert sorted((r.doc_id, r.size, r.taken, None if r.position is None else round(r.position, 6)) for r in got) == sorted(want)
+    for s, queue in queues.items():
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 1
+
+
 def base_counts(t):
     w = WORDS.findall(t)
     seen = defaultdict(list)
@@ -291,6 +408,25 @@ def test_quality_rules(spark, docs, odd, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def test_divergent_documents_are_rejected(spark):
+    rng = random.Random(8)
+    words = "the of and to in house tree water stone river runs over under green small great people time year light".split()
+    plain = [(i, " ".join(rng.choice(words) for _ in range(120)), "en") for i in range(60)]
+    strange = [(100, " ".join("".join(rng.choice("0123456789#*") for _ in range(6)) for _ in range(80)), "en"), (101, " ".join("zxq wvk jjp qqx".split()[rng.randrange(4)] + str(rng.randrange(9)) for _ in range(80)), "en")]
+    strange += [(102, " ".join("\u6f22\u5b57\u8a9e"[rng.randrange(3)] * 4 for _ in range(90)), "en")]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(plain + strange, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i, *_ in plain)
+    assert [got[i].kept for i in (100, 101, 102)] == [False] * 3
+    assert not got[101].base_failed and got[101].word_distance > quality_rules.MAX_WORD_DISTANCE
+    assert got[102].class_distance > quality_rules.MAX_CLASS_DISTANCE
+
+
+def test_character_classes_count_code_points(spark):
+    t = "aZ9 .#\u6f22\u6f22\u6f22\u00e9_" * 40
+    got = quality_rules.stats(spark.createDataFrame([(1, t, "en")], "doc_id long, text string, lang string"), id_col="doc_id", text="text", lang="lang").first()
+    assert list(got.classes) == [40, 40, 40, 40, 40, 160] and got.n_chars == len(t)
+
+
 def test_js_distance(spark):
     a = lambda *x: F.array(*[F.lit(float(v)) for v in x])
     got = spark.range(1).select(quality_rules.js_distance(a(1, 1), a(2, 2)), quality_rules.js_distance(a(1, 0), a(0, 3)), quality_rules.js_distance(a(0, 0), a(0, 3))).first()
@@ -326,11 +462,11 @@ def test_secrets(spark, docs, odd, empty):
     for r in got.collect():
         assert r.b == base_spans(r.text or "")
         if r.text == more[2]:
-            assert r.s == "entropy_base64:4:36"
+            assert r.s == "entropy_base62:4:36"
         if r.text == more[4]:
             assert r.s == ""
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
-    assert clean[5001] == "é [assign]' [access] x" and clean[5002] == "key [entropy_base64] end" and clean[1] is None or clean[1] == ""
+    assert clean[5001] == "é [assign]' [access] x" and clean[5002] == "key [entropy_base62] end" and clean[1] is None or clean[1] == ""
     assert secrets.scan(empty).count() == 0
 
 
@@ -343,6 +479,18 @@ def test_entropy_by_increments(spark):
     assert abs(spark.createDataFrame([(s,)], "s string").select(secrets.highest_entropy(F.col("s"))).first()[0] - want) < 1e-9
 
 
+def test_recall_of_random_secrets(spark):
+    rng = random.Random(11)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet, least in (("0123456789abcdef", 0.98), (low + digits, 0.96), (up + digits, 0.96), (low + up, 0.93), (low + up + digits, 0.96), (low + up + digits + "+/", 0.96)):
+        for size in (24, 31):
+            rows = [(i, "see " + "".join(rng.choice(alphabet) for _ in range(size)) + " here") for i in range(400)]
+            found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.exists("spans", lambda x: (x["start"] == 4) & (x["end"] == 4 + size))).count()
+            assert found >= least * 400, (alphabet, size, found)
+    plain = ["getUserAccount", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890123", "------------------------", "aaaaaaaaaaaaaaaaaaaaaaa1", "INTERNATIONALIZATIONOFTHINGS", "supercalifragilistic2024"]
+    assert secrets.scan(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).where(F.size("spans") > 0).count() == 0
+
+
 def removed(texts, length=100):
     seen, out = set(), {}
     for i in sorted(texts):
