@@ -100,21 +100,24 @@ class Transducer:
     def __init__(self, rules: Rules, block: int = BLOCK) -> None:
         self.rules, self.block, self.held = rules, block, []
 
-    def feed(self, symbols: list[str], last: bool) -> Iterator[str]:
-        """``last`` ends the word; its final symbol carries the suffix already."""
-        size = (lambda t: len(t.removesuffix(self.rules.suffix))) if self.rules.suffix else len
+    def feed(self, symbols: list[str], last: bool) -> list[str]:
+        """The tokens that are stable now. ``last`` ends the word; its final symbol carries the suffix already."""
+        suffix, out = self.rules.suffix, []
         for at in range(0, max(1, len(symbols)), self.block):
             self.held += symbols[at : at + self.block]
-            done = last and at + self.block >= len(symbols)
-            if len(self.held) <= self.block + self.rules.lookahead and not done:
-                continue
-            tokens, stable, used = merge(self.held, self.rules.ranks), len(self.held) - self.rules.lookahead, 0
-            for t in tokens:
-                if not done and used + size(t) > stable:
-                    break
-                used += size(t)
-                yield t
-            self.held = [] if done else self.held[used:]
+            if last and at + self.block >= len(symbols):
+                out += merge(self.held, self.rules.ranks)
+                self.held = []
+            elif (stable := len(self.held) - self.rules.lookahead) > self.block:
+                used = 0
+                for t in merge(self.held, self.rules.ranks):
+                    size = len(t.removesuffix(suffix)) if suffix else len(t)
+                    if used + size > stable:
+                        break
+                    used += size
+                    out.append(t)
+                self.held = self.held[used:]
+        return out
 
 
 class Memo(dict):
@@ -160,26 +163,14 @@ class Codec:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.rules.special, key=len, reverse=True))) + ")").split
         self.mark = commonprefix([*self.rules.special])
         self.ids = Memo(self.learn_ids)
-        #: The text of each id, and the ids whose bytes do not end where a UTF-8 sequence does.
-        self.special_ids = set(self.rules.special.values())
-        self.whole: dict[int, str] = {}
-        self.partial: set[int] = set()
-        for i, t in self.rules.surface.items():
-            if i in self.special_ids:
-                self.whole[i] = t
-                continue
-            try:
-                self.whole[i] = self.raw(i).decode()
-            except UnicodeDecodeError:
-                self.partial.add(i)
+        self.raw = {i: t.encode() if t in self.rules.special else self.spell(t) for i, t in self.rules.surface.items()}
 
-    def raw(self, i: int) -> bytes:
+    def spell(self, token: str) -> bytes:
         """The bytes that a token's letters stand for; the end of a word is a space."""
-        t = self.rules.surface[i]
-        end = bool(self.rules.suffix) and t.endswith(self.rules.suffix)
-        return bytes(self.bytes_of[c] for c in (t.removesuffix(self.rules.suffix) if end else t)) + b" " * end
+        end = bool(self.rules.suffix) and token.endswith(self.rules.suffix)
+        return bytes(self.bytes_of[c] for c in (token.removesuffix(self.rules.suffix) if end else token)) + b" " * end
 
-    def tokens(self, word: str) -> Iterator[str]:
+    def tokens(self, word: str) -> list[str]:
         symbols = list(word.encode().decode("latin-1").translate(self.table))
         symbols[-1] += self.rules.suffix
         return Transducer(self.rules).feed(symbols, True)
@@ -257,17 +248,7 @@ class Decoder:
         return out
 
     def text(self, ids: Sequence[int]) -> str:
-        whole = self.codec.whole
-        if not self.bytes.getstate()[0] and self.codec.partial.isdisjoint(ids):
-            return "".join([whole[i] for i in ids])
-        out = []
-        for i in ids:
-            if i in self.codec.special_ids:
-                out += self.bytes.decode(b"", True), whole[i]
-                self.bytes.reset()
-            else:
-                out.append(self.bytes.decode(self.codec.raw(i)))
-        return "".join(out)
+        return self.bytes.decode(b"".join([self.codec.raw[i] for i in ids]))
 
     def close(self) -> str:
         return self.bytes.decode(b"", True)

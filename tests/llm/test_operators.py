@@ -179,7 +179,7 @@ def test_every_word_goes_through_the_transducer(monkeypatch):
 def test_decoding_by_pieces_equals_decoding_at_once():
     codec = bpe.Codec(bpe.word_model())
     ids = codec.encode("Gr\u00fc\u00dfe \U0001f642\u6f22\u5b57 \u0663 <|endoftext|> \u0939\u093f\u0928 end" * 3)
-    assert any(i in codec.partial for i in ids)
+    assert any("\ufffd" in codec.raw[i].decode(errors="replace") for i in ids)
     for size in (1, 2, 3, 7):
         machine = bpe.Decoder(codec)
         parts = [(machine.joined(ids[i : i + size]), machine.text(ids[i : i + size])) for i in range(0, len(ids), size)]
