@@ -43,3 +43,16 @@ def local(df: DataFrame, tz: str = "UTC") -> DataFrame:
     """Adds local_date, hour and minute_of_day of the instant in ``tz`` (the session is in UTC)."""
     t = F.from_utc_timestamp(F.timestamp_seconds("ts_s"), tz)
     return df.withColumn("local_date", F.to_date(t)).withColumn("hour", F.hour(t)).withColumn("minute_of_day", F.hour(t) * 60 + F.minute(t))
+
+
+def iso_text(seconds: Column, tz: str = "UTC") -> Column:
+    """ISO 8601 text of an instant in ``tz``, with its offset."""
+    wall = F.from_utc_timestamp(F.timestamp_seconds(seconds), tz)
+    ahead = ((F.unix_timestamp(wall) - seconds) / 60).cast("int")
+    offset = F.concat(F.when(ahead < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(ahead) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(ahead) % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def near(c: Column | str, digits: int) -> Column:
+    """Rounded, halves up; a hair more, as binary fractions that just miss a half would go either way."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-7, digits)

@@ -37,23 +37,42 @@ def _sse(syy: Column, sy: Column, n: Column) -> Column:
 
 
 def moments(p: DataFrame) -> DataFrame:
-    """Per breakpoint: sums of the excesses below and above, their squares and products with y."""
-    j = p.join(breakpoints(p), "entity_id")
-    h, c = F.greatest(F.col("bp") - F.col("x"), F.lit(0.0)), F.greatest(F.col("x") - F.col("bp"), F.lit(0.0))
+    """Per breakpoint: sums of the excesses below and above, their squares and products with y.
+
+    Points are summed by whole degree first (a point between two breakpoints is on the same side of both); each
+    breakpoint then meets degrees, of which there are as few as breakpoints, and no points.
+    """
+    x, y = F.col("x"), F.col("y")
+    sums = {"n": F.count("*"), "x": F.sum("x"), "xx": F.sum(x * x), "y": F.sum("y"), "xy": F.sum(x * y)}
+    degrees = p.groupBy("entity_id", F.floor("x").cast("double").alias("deg")).agg(*[v.alias(f"s_{k}") for k, v in sums.items()])
+    j = breakpoints(p).join(degrees, "entity_id")
+    bp, n, sx, sxx, sy, sxy = (F.col(c) for c in ("bp", "s_n", "s_x", "s_xx", "s_y", "s_xy"))
+    below = F.col("deg") < bp
+    # Of points below: bp - x; above: x - bp. A point at bp itself adds nothing on either side.
+    gap, square, product = n * bp - sx, n * bp * bp - 2 * bp * sx + sxx, bp * sy - sxy
+    side = lambda is_side, v: F.sum(F.when(is_side, v).otherwise(0.0))
     return j.groupBy("entity_id", "bp").agg(
-        F.sum(h).alias("h"), F.sum(h * h).alias("hh"), F.sum(h * F.col("y")).alias("hy"), F.sum(c).alias("c"), F.sum(c * c).alias("cc"), F.sum(c * F.col("y")).alias("cy"),
+        side(below, gap).alias("h"), side(below, square).alias("hh"), side(below, product).alias("hy"), side(~below, -gap).alias("c"), side(~below, square).alias("cc"), side(~below, -product).alias("cy"),
     )
 
 
+def with_totals(p: DataFrame) -> DataFrame:
+    return moments(p).join(totals(p), "entity_id")
+
+
 def fit_2p(p: DataFrame) -> DataFrame:
-    got = p.groupBy("entity_id").agg(F.count("*").alias("n_points"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))
-    return _model(got.where("n_points >= 4 and slope is not null"), "2P", F.coalesce("r2", F.lit(0.0)), {"intercept": F.col("intercept"), "slope": F.col("slope")}, F.array().cast("array<double>"))
+    """A line; of constant x the one whose intercept and slope have the least squares."""
+    fits = [F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.avg("y").alias("my"), F.avg("x").alias("mx")]
+    got = p.groupBy("entity_id").agg(F.count("*").alias("n_points"), *fits).where("n_points >= 4")
+    flat = F.col("my") / (1 + F.col("mx") * F.col("mx"))
+    params = {"base": F.coalesce("intercept", flat), "slope": F.coalesce("slope", flat * F.col("mx"))}
+    return _model(got, "2P", F.when(F.col("slope").isNull(), 0.0).otherwise(F.coalesce("r2", F.lit(0.0))), params, F.array().cast("array<double>"))
 
 
-def fit_3p(p: DataFrame, side: str) -> DataFrame:
+def fit_3p(p: DataFrame, side: str, m: DataFrame | None = None) -> DataFrame:
     """One free slope beyond a breakpoint; side is cooling or heating."""
     k = "c" if side == "cooling" else "h"
-    m = moments(p).join(totals(p), "entity_id").where("n >= 5")
+    m = (with_totals(p) if m is None else m).where("n >= 5")
     s, ss, sy = F.col(k), F.col(k + k), F.col(k + "y")
     d = ss - s * s / F.col("n")
     slope = F.when(d > 1e-9, (sy - s * F.col("sy") / F.col("n")) / d).otherwise(0.0)
@@ -64,7 +83,7 @@ def fit_3p(p: DataFrame, side: str) -> DataFrame:
 
 
 def _least(m: DataFrame, ties: list[Column]) -> DataFrame:
-    return m.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.round("sse", 9), *ties))).where("_n = 1").drop("_n")
+    return m.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.round(F.col("sse") / F.nullif(F.col("sst"), F.lit(0.0)), 9), *ties))).where("_n = 1").drop("_n")
 
 
 def _r2() -> Column:
@@ -91,18 +110,18 @@ def _two_slopes(m: DataFrame) -> DataFrame:
     return m.withColumn("base", (y - F.col("sh") * F.col("h") - F.col("sc") * F.col("c")) / n)
 
 
-def fit_4p(p: DataFrame) -> DataFrame:
-    m = _two_slopes(moments(p).where("h > 0 and c > 0").join(totals(p), "entity_id").where("n >= 8"))
+def fit_4p(p: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    m = _two_slopes((with_totals(p) if m is None else m).where("h > 0 and c > 0 and n >= 8"))
     best = _least(m, [F.col("bp")])
     return _model(best.withColumn("n_points", F.col("n")), "4P", _r2(), {"baseline": F.col("base"), "heating_slope": F.col("sh"), "cooling_slope": F.col("sc")}, F.array("bp"))
 
 
-def fit_5p(p: DataFrame) -> DataFrame:
+def fit_5p(p: DataFrame, m: DataFrame | None = None) -> DataFrame:
     """Pairs of breakpoints are pairs of two rows of moments, a table of whole degrees, not of points."""
-    m = moments(p)
-    low = m.where("h > 0").select("entity_id", F.col("bp").alias("h_bp"), "h", "hh", "hy")
-    high = m.where("c > 0").select("entity_id", F.col("bp").alias("c_bp"), "c", "cc", "cy")
-    pairs = low.join(high, "entity_id").where("h_bp <= c_bp").join(totals(p), "entity_id").where("n >= 10")
+    m = with_totals(p) if m is None else m
+    low = m.where("h > 0 and n >= 10").select("entity_id", F.col("bp").alias("h_bp"), "h", "hh", "hy")
+    high = m.where("c > 0 and n >= 10").select("entity_id", F.col("bp").alias("c_bp"), "c", "cc", "cy", "n", "sy", "syy")
+    pairs = low.join(high, "entity_id").where("h_bp <= c_bp")
     many = pairs.withColumn("_pairs", F.count("*").over(Window.partitionBy("entity_id"))).where("_pairs >= 2")
     best = _least(_two_slopes(many), [F.col("h_bp"), F.col("c_bp")])
     return _model(best.withColumn("n_points", F.col("n")), "5P", _r2(), {"baseline": F.col("base"), "heating_slope": F.col("sh"), "cooling_slope": F.col("sc")}, F.array("h_bp", "c_bp"))
@@ -119,13 +138,14 @@ def _model(df: DataFrame, kind: str, r2: Column, params: dict[str, Column], bps:
 
 
 def select_model(p: DataFrame) -> DataFrame:
-    """The model of the best adjusted R-squared; of ties the one of fewer parameters, then as listed. The points are
-    written once, since five fits read them."""
+    """The model of the best adjusted R-squared; of ties the one of fewer parameters, then as listed. The points and their
+    moments are written once, since five fits read them."""
     p = stage(p, "points")
-    fits = [fit_2p(p), fit_3p(p, "cooling"), fit_3p(p, "heating"), fit_4p(p), fit_5p(p)]
+    m = stage(with_totals(p), "moments")
+    fits = [fit_2p(p), fit_3p(p, "cooling", m), fit_3p(p, "heating", m), fit_4p(p, m), fit_5p(p, m)]
     every = fits[0]
     for f in fits[1:]:
         every = every.unionByName(f)
     place = F.create_map(*[x for i, k in enumerate(PARAMS) for x in (F.lit(k), F.lit(i))])
-    order = Window.partitionBy("entity_id").orderBy(F.round("adjusted_r_squared", 12).desc(), place[F.col("model_type")])
+    order = Window.partitionBy("entity_id").orderBy(F.round("adjusted_r_squared", 9).desc(), place[F.col("model_type")])
     return every.where("adjusted_r_squared is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.windows import first_max
+from gridloom.operators.grid import detect_resolution
 
 ENTITY_DAY = ["entity_id", "local_date"]
+#: Seconds of a stretch of time within which ranks are taken first.
+STRETCH = 86_400 * 7
 #: Day segments, half-open hours; and seasons by month.
 SEGMENTS = {"morning": (6, 10), "midday": (10, 14), "afternoon": (14, 18), "evening": (18, 22)}
 SEASONS = {12: "winter", 1: "winter", 2: "winter", 3: "spring", 4: "spring", 5: "spring", 6: "summer", 7: "summer", 8: "summer", 9: "fall", 10: "fall", 11: "fall"}
@@ -16,13 +19,22 @@ SEASONS = {12: "winter", 1: "winter", 2: "winter", 3: "spring", 4: "spring", 5:
 SHAPE = {"flat_cv_max": 0.15, "highly_peaked_ratio_min": 2.0, "sharp_peak_width_frac_max": 0.10, "sustained_high_frac_min": 0.30, "sustained_high_pct_of_peak": 0.90, "overnight_heavy_ratio_min": 1.1, "multi_peak_min_count": 2, "near_peak_segment_fraction": 0.85}
 
 
+#: Rows of a membership table up to which it is broadcast; beyond it the join shuffles by meter.
+BROADCAST_ROWS = 500_000
+
+
+def _with_members(df: DataFrame, members: DataFrame) -> DataFrame:
+    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(members) if few else members, "meter_id")
+
+
 def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
 def entity_sum(df: DataFrame, members: DataFrame, *, min_count: int = 1) -> DataFrame:
-    """Sums of the members' demand. ``members``: entity_id, meter_id, a configured table of a few rows."""
-    j = df.join(F.broadcast(members), "meter_id")
+    """Sums of the members' demand. ``members``: entity_id, meter_id."""
+    j = _with_members(df, members)
     got = j.groupBy("entity_id", "ts_s").agg(F.sum("demand_kw").alias("total"), F.count("demand_kw").alias("n_meters_reporting"))
     total = F.coalesce("total", F.lit(0.0)) if min_count == 0 else F.when(F.col("n_meters_reporting") >= min_count, F.col("total"))
     return got.select("entity_id", "ts_s", total.alias("demand_kw"), "n_meters_reporting").withColumn("is_missing", F.col("demand_kw").isNull())
@@ -41,12 +53,12 @@ def calendar(df: DataFrame, *, holidays: tuple[str, ...] = (), tz: str = "UTC",
     )
 
 
-def tod_segments(df: DataFrame) -> DataFrame:
+def tod_segments(df: DataFrame, segments: dict[str, tuple[int, int]] = SEGMENTS) -> DataFrame:
     """Greatest demand of each segment, and means over the night (22-05) and the day (06-21)."""
     night = (F.col("hour") >= 22) | (F.col("hour") < 6)
     mean = F.avg(F.when(night, F.col("demand_kw")))
     return df.groupBy(*ENTITY_DAY).agg(
-        *[F.max(F.when((F.col("hour") >= a) & (F.col("hour") < b), F.col("demand_kw"))).alias(f"{k}_peak_kw") for k, (a, b) in SEGMENTS.items()],
+        *[F.max(F.when((F.col("hour") >= a) & (F.col("hour") < b), F.col("demand_kw"))).alias(f"{k}_peak_kw") for k, (a, b) in segments.items()],
         mean.alias("overnight_mean_kw"), mean.alias("nighttime_mean_kw"), F.avg(F.when(~night, F.col("demand_kw"))).alias("daytime_mean_kw"),
     )
 
@@ -67,16 +79,38 @@ def demand_families(df: DataFrame, *, thresholds: tuple[float, ...] = (), percen
         for p in percentiles:
             df = df.withColumn(f"top_pct_{name(p)}", yes(d >= F.col(f"_p{name(p)}"))).drop(f"_p{name(p)}")
     for n in ranks:
-        place = F.row_number().over(Window.partitionBy("entity_id").orderBy(d.desc_nulls_last(), "ts_s"))
-        df = df.withColumn(f"top_rank_{n}", (place <= n) & d.isNotNull())
+        # The n of an entity are among the n of each of its stretches of time, so that no sort holds a whole entity.
+        stretch = F.floor(F.col("ts_s") / STRETCH)
+        near = F.row_number().over(Window.partitionBy("entity_id", stretch).orderBy(d.desc_nulls_last(), "ts_s"))
+        some = df.select("entity_id", "ts_s", "demand_kw").where("demand_kw is not null").withColumn("_near", near).where(F.col("_near") <= n)
+        place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("demand_kw"), "ts_s"))
+        top = some.withColumn("_place", place).where(F.col("_place") <= n).select("entity_id", "ts_s", F.lit(True).alias(f"top_rank_{n}"))
+        df = df.join(top, ["entity_id", "ts_s"], "left").withColumn(f"top_rank_{n}", yes(F.col(f"top_rank_{n}")))
     return df
 
 
-def daily_summary(df: DataFrame, *, per_day: int, resolution_minutes: float) -> DataFrame:
-    got = df.groupBy(*ENTITY_DAY).agg(F.count("*").alias("n"), F.count("demand_kw").alias("seen"), F.sum("demand_kw").alias("total"), F.max("demand_kw").alias("maximum_demand_kw"), first_max("demand_kw").alias("at"))
-    at = F.timestamp_seconds("at")
+def with_resolution(df: DataFrame) -> DataFrame:
+    """Adds resolution_minutes of each entity: its commonest step, 60 where it has none."""
+    found = detect_resolution(df.select(F.col("entity_id").alias("meter_id"), "ts_s")).withColumnRenamed("meter_id", "entity_id")
+    return df.join(found, "entity_id", "left").withColumn("resolution_minutes", F.coalesce("resolution_minutes", F.lit(60.0)))
+
+
+def daily_summary(df: DataFrame, *, per_day: int | None = None, resolution_minutes: float | None = None, tz: str = "UTC") -> DataFrame:
+    """A row for each entity and day; peak_time_minutes counts from local midnight in ``tz``. Without ``per_day`` and
+    ``resolution_minutes`` each entity has those of its commonest step."""
+    if per_day is None or resolution_minutes is None:
+        df = with_resolution(df)
+        minutes = F.first("resolution_minutes")
+    else:
+        minutes = F.lit(float(resolution_minutes))
+    got = df.groupBy(*ENTITY_DAY).agg(
+        F.count("*").alias("n"), F.count("demand_kw").alias("seen"), F.sum("demand_kw").alias("total"), F.max("demand_kw").alias("maximum_demand_kw"), first_max("demand_kw").alias("at"), minutes.alias("minutes")
+    )
+    whole = F.round(1440 / F.col("minutes")) if per_day is None else F.lit(per_day)
+    at = F.from_utc_timestamp(F.timestamp_seconds("at"), tz)
     return got.select(
-        *ENTITY_DAY, ((F.col("n") == per_day) & (F.col("seen") == per_day)).alias("is_complete_day"), (F.col("total") * resolution_minutes / 60).alias("daily_energy_kwh"), "maximum_demand_kw", (F.hour(at) * 60 + F.minute(at)).alias("peak_time_minutes"),
+        *ENTITY_DAY, ((F.col("n") == whole) & (F.col("seen") == whole)).alias("is_complete_day"), (F.col("total") * F.col("minutes") / 60).alias("daily_energy_kwh"), "maximum_demand_kw",
+        (F.hour(at) * 60 + F.minute(at)).alias("peak_time_minutes"),
     )
 
 
@@ -130,15 +164,32 @@ def outlier_days(summary: DataFrame, *, limit: float = 2.5, min_days: int = 5) -
     return long.withColumn("n", F.count("*").over(w)).withColumn("z_score", z).where((F.col("n") >= min_days) & (F.abs("z_score") >= limit)).drop("n")
 
 
-def coincidence(df: DataFrame, members: DataFrame, *, daily: bool = False, min_meters: int = 2) -> DataFrame:
-    """Greatest sum of the meters over the sum of their own greatest demands, for the study or each day."""
+def coincidence(df: DataFrame, members: DataFrame, *, daily: bool = False, min_meters: int = 2, order: str | None = None) -> DataFrame:
+    """Greatest sum of the meters over the sum of their own greatest demands, for the study or each day. ``order``: a
+    column by which the first of several readings of a meter at one time counts; without it readings are unique."""
     keys = ["entity_id", *(["local_date"] if daily else [])]
-    j = df.where("demand_kw is not null").join(F.broadcast(members), "meter_id")
-    enough = j.select("entity_id", "meter_id").distinct().groupBy("entity_id").agg(F.count("*").alias("n_study"))
+    some = df.where("demand_kw is not null")
+    if order:
+        days = [c for c in ("local_date",) if c in df.columns]
+        some = some.groupBy("meter_id", "ts_s", *days).agg(F.min_by("demand_kw", order).alias("demand_kw"))
+    j = _with_members(some, members)
     own = j.groupBy(*keys, "meter_id").agg(F.max("demand_kw").alias("m"))
-    own = own.groupBy(*keys).agg(F.sum("m").alias("sum_of_individual_peaks_kw"), F.count("*").alias("n_meters"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("meter_id", "m")))).alias("meter_peak_kw"))
-    group = j.groupBy(*keys, "ts_s").agg(F.sum("demand_kw").alias("t")).groupBy(*keys).agg(F.max("t").alias("group_peak_kw"), F.min_by("ts_s", F.struct((-F.col("t")).alias("t"), "ts_s")).alias("coincident_peak_s"))
+    enough = j.groupBy("entity_id", "meter_id").agg(F.lit(1)).groupBy("entity_id").agg(F.count("*").alias("n_study"))
+    own = own.groupBy(*keys).agg(F.sum("m").alias("sum_of_individual_peaks_kw"), F.count("*").alias("n_meters"))
+    total = j.groupBy(*keys, "ts_s").agg(F.sum("demand_kw").alias("t"))
+    group = total.groupBy(*keys).agg(F.max("t").alias("group_peak_kw"), F.min_by("ts_s", F.struct((-F.col("t")).alias("t"), "ts_s")).alias("coincident_peak_s"))
     got = own.join(group, keys).join(enough, "entity_id")
     ok = (F.col("n_study") >= min_meters) & (F.col("sum_of_individual_peaks_kw") > 0)
-    got = got.withColumn("success", ok).withColumn("coincidence_factor", F.when(ok, F.col("group_peak_kw") / F.col("sum_of_individual_peaks_kw"))).drop("n_study")
-    return got.where("success") if daily else got
+    got = got.withColumn("success", ok).withColumn("coincidence_factor", F.when(ok, F.col("group_peak_kw") / F.col("sum_of_individual_peaks_kw")))
+    if daily:
+        return got.where(F.col("n_study") >= min_meters).drop("n_study")
+    # Of the study every entity has a row, with no figures where it has too few meters.
+    figures = ["sum_of_individual_peaks_kw", "group_peak_kw", "coincident_peak_s"]
+    got = members.select("entity_id").distinct().join(got.drop("n_study"), "entity_id", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+    return got.withColumns({c: F.when(F.col("success"), F.col(c)) for c in figures}).withColumn("n_meters", F.coalesce("n_meters", F.lit(0).cast("long")))
+
+
+def meter_peaks(df: DataFrame, members: DataFrame, *, daily: bool = False) -> DataFrame:
+    """meter_peak_kw of each entity's meters, a row for each."""
+    keys = ["entity_id", *(["local_date"] if daily else []), "meter_id"]
+    return _with_members(df.where("demand_kw is not null"), members).groupBy(*keys).agg(F.max("demand_kw").alias("meter_peak_kw"))

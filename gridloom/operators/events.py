@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.windows import DAY, ordered, whole
+from gridloom.functions.windows import DAY, near, ordered, whole
 
 POINTS = "array<struct<ts_s:bigint,v:double>>"
 
@@ -87,10 +87,10 @@ def best_event(candidates: DataFrame, cfg: dict, *, gradual_minutes: float = 60)
     best = passed.withColumn("_n", order).where("_n = 1")
     kw = "start_kw" if "start_kw" in candidates.columns else "end_kw"
     confidence = F.col("score") * (1 - 0.5 * F.coalesce("missing_near", F.lit(0.0)))
-    two, four = (lambda c: F.round(c, 2).alias(c)), (lambda c: F.round(c, 4).alias(c))
+    two, four = (lambda c: near(c, 2).alias(c)), (lambda c: near(c, 4).alias(c))
     return best.select(
-        *DAY, "transition_s", "crossing_s", two(kw), two("threshold_kw"), two("delta_kw"), four("duration_hours"), F.round("avg_rate", 2).alias("ramp_rate_kw_per_hr"), F.round("max_rate", 2).alias("max_ramp_rate_kw_per_hr"),
-        four("persistence_hours"), four("score"), F.round(confidence, 4).alias("confidence"), (F.col("duration_hours") > gradual_minutes / 60).alias("is_gradual"),
+        *DAY, "transition_s", "crossing_s", two(kw), two("threshold_kw"), two("delta_kw"), four("duration_hours"), near("avg_rate", 2).alias("ramp_rate_kw_per_hr"), near("max_rate", 2).alias("max_ramp_rate_kw_per_hr"),
+        four("persistence_hours"), four("score"), near(confidence, 4).alias("confidence"), (F.col("duration_hours") > gradual_minutes / 60).alias("is_gradual"),
     )
 
 
@@ -150,10 +150,10 @@ def ramp_events(df: DataFrame, *, value: str = "smooth_kw", cfg: dict) -> DataFr
     rate = F.col("delta") / F.col("hours")
     span = F.greatest(F.col("span"), F.lit(1e-6))
     return got.select(
-        *DAY, F.when(F.col("end_kw") > F.col("start_kw"), "UP").otherwise("DOWN").alias("event_type"), "start_s", "end_s", F.round("start_kw", 2).alias("start_kw"), F.round("end_kw", 2).alias("end_kw"), F.round("delta", 2).alias("delta_kw"),
-        F.round("hours", 4).alias("duration_hours"), F.round(rate, 2).alias("average_ramp_kw_per_hr"), F.round(F.array_max(F.transform("inside", lambda p: F.abs(p["ramp_kw_per_hr"]))), 2).alias("max_ramp_kw_per_hr"),
-        F.when(F.col("start_kw") != 0, F.round(F.col("delta") / F.abs("start_kw") * 100, 2)).alias("percent_change"), F.round(F.col("delta") / span / F.col("hours"), 4).alias("normalized_ramp_rate"),
-        F.round(F.least(F.lit(1.0), F.col("delta") / span * 0.5 + F.least(rate / 100, F.lit(0.5))), 4).alias("confidence"), F.exists("inside", lambda p: p["state"] == "OPERATING").alias("is_operating_transition"),
+        *DAY, F.when(F.col("end_kw") > F.col("start_kw"), "UP").otherwise("DOWN").alias("event_type"), "start_s", "end_s", near("start_kw", 2).alias("start_kw"), near("end_kw", 2).alias("end_kw"), near("delta", 2).alias("delta_kw"),
+        near("hours", 4).alias("duration_hours"), near(rate, 2).alias("average_ramp_kw_per_hr"), near(F.array_max(F.transform("inside", lambda p: F.abs(p["ramp_kw_per_hr"]))), 2).alias("max_ramp_kw_per_hr"),
+        F.when(F.col("start_kw") != 0, near(F.col("delta") / F.abs("start_kw") * 100, 2)).alias("percent_change"), near(F.col("delta") / span / F.col("hours"), 4).alias("normalized_ramp_rate"),
+        near(F.least(F.lit(1.0), F.col("delta") / span * 0.5 + F.least(rate / 100, F.lit(0.5))), 4).alias("confidence"), (F.exists("inside", lambda p: p["state"] == "OPERATING") & F.exists("inside", lambda p: p["state"] == "BASELINE")).alias("is_operating_transition"),
     )
 
 
@@ -196,9 +196,13 @@ def separated(peaks: DataFrame, *, min_minutes: float = 30) -> DataFrame:
 
 
 def peak_events(df: DataFrame, *, value: str = "demand_kw", cfg: dict, widths: tuple[float, ...] = (0.7, 0.8, 0.9)) -> DataFrame:
-    """Ranked peaks with widths (hours) of the stretch around them at or above each share of normalised demand."""
+    """Ranked peaks of days with a range, with widths (hours) of the stretch around them at or above each share of it."""
     maxima = local_maxima(df, value=value, tolerance=cfg["plateau_tolerance_fraction"])
-    day = df.groupBy(*DAY).agg(F.first("operating_range_kw").alias("span"), F.array_sort(F.collect_list(F.struct("ts_s", F.coalesce("normalized_demand", F.lit(-1.0)).alias("n")))).alias("norm"))
+    # Widths go by the operating range, whatever peak the normalised demand takes.
+    share = (F.col(value) - F.col("baseline_kw")) / F.col("operating_range_kw")
+    filled = F.col("is_interpolated") if "is_interpolated" in df.columns else F.lit(False)
+    point = F.struct("ts_s", F.coalesce(share, F.lit(-1.0)).alias("n"), filled.alias("filled"))
+    day = df.where("operating_range_kw > 0").groupBy(*DAY).agg(F.first("operating_range_kw").alias("span"), F.array_sort(F.collect_list(point)).alias("norm"))
     tall = prominence(maxima).join(day.select(*DAY, "span"), DAY).where(F.col("prominence_kw") >= cfg["min_prominence_fraction"] * F.col("span")).drop("span")
     kept = separated(tall, min_minutes=cfg["min_separation_minutes"]).join(day, DAY)
     rank = F.row_number().over(Window.partitionBy(*DAY).orderBy(F.desc("kw"), "ts_s"))
@@ -210,12 +214,12 @@ def peak_events(df: DataFrame, *, value: str = "demand_kw", cfg: dict, widths: t
         after = F.array_max(low(lambda a, b: a < b))
         before = F.array_min(low(lambda a, b: a > b))
         span = F.transform(F.filter("norm", lambda p: (p["ts_s"] > F.coalesce(after, F.lit(-(1 << 60)))) & (p["ts_s"] < F.coalesce(before, F.lit(1 << 60)))), lambda p: p["ts_s"])
-        return F.round(F.when(own >= share, (F.array_max(span) - F.array_min(span)) / 3600).otherwise(0.0), 4).alias(f"width_{int(share * 100)}_hours")
+        return near(F.when(own >= share, (F.array_max(span) - F.array_min(span)) / 3600).otherwise(0.0), 4).alias(f"width_{int(share * 100)}_hours")
 
     got = kept.withColumn("rank", rank).withColumn("first_s", first)
     return got.select(
-        *DAY, "rank", F.col("ts_s").alias("peak_s"), F.round("kw", 2).alias("peak_kw"), F.round("prominence_kw", 2).alias("prominence_kw"), F.round(F.col("prominence_kw") / F.greatest("span", F.lit(1e-6)), 4).alias("prominence_fraction"),
-        F.round(F.abs(F.col("ts_s") - F.col("first_s")) / 3600, 4).alias("separation_hours"), *[width(w) for w in widths], F.round(F.least(F.lit(1.0), 2 * F.col("prominence_kw") / F.greatest("span", F.lit(1e-6))), 4).alias("confidence"),
+        *DAY, "rank", F.col("ts_s").alias("peak_s"), near("kw", 2).alias("peak_kw"), F.exists("norm", lambda p: (p["ts_s"] == F.col("ts_s")) & p["filled"]).alias("peak_is_interpolated"), near("prominence_kw", 2).alias("prominence_kw"), near(F.col("prominence_kw") / F.greatest("span", F.lit(1e-6)), 4).alias("prominence_fraction"),
+        near(F.abs(F.col("ts_s") - F.col("first_s")) / 3600, 4).alias("separation_hours"), *[width(w) for w in widths], near(F.least(F.lit(1.0), 2 * F.col("prominence_kw") / F.greatest("span", F.lit(1e-6))), 4).alias("confidence"),
     )
 
 

@@ -8,13 +8,21 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.windows import DAY, label_runs, local, ordered, run_bounds
 
+#: Steps of a grid that are made from one row.
+LOT = 100_000
+
 
 def convert_units(df: DataFrame, unit: str, resolution: str = "resolution_minutes") -> DataFrame:
-    """kWh of an interval to kW; the input value is kept."""
+    """kWh of an interval to kW; the input value is kept. A resolution that is not positive raises as the plan runs."""
     if unit not in ("kW", "kWh"):
         raise ValueError(f"unit must be kW or kWh, not {unit}")
     kept = df.withColumn("demand_input_raw", F.col("demand_kw"))
-    return kept if unit == "kW" else kept.withColumn("demand_kw", F.col("demand_kw") * 60 / F.col(resolution))
+    if unit == "kW":
+        return kept
+    minutes = F.col(resolution)
+    known = F.when(F.coalesce(minutes > 0, F.lit(False)), minutes).otherwise(F.raise_error(F.lit("kWh needs a resolution of more than 0 minutes")).cast("double"))
+    out = kept.withColumn("demand_kw", F.col("demand_kw") * 60 / known)
+    return out.withColumn("demand_kw_raw", F.col("demand_kw_raw") * 60 / known) if "demand_kw_raw" in df.columns else out
 
 
 def dedup_first(df: DataFrame, seq: str) -> DataFrame:
@@ -51,7 +59,11 @@ def regularize(df: DataFrame, *, max_gap_minutes: float, tz: str = "UTC", resolu
     """Each meter on its own grid, from its first reading; bracketed gaps up to ``max_gap_minutes`` are interpolated."""
     steps = (resolution or detect_resolution(df)).select("meter_id", F.coalesce(F.round(F.col("resolution_minutes") * 60), F.lit(3600)).cast("long").alias("step"))
     span = df.groupBy("meter_id").agg(F.min("ts_s").alias("a"), F.max("ts_s").alias("b")).join(steps, "meter_id")
-    grid = span.select("meter_id", F.explode(F.sequence("a", "b", "step")).alias("ts_s"))
+    # Steps by the hundred thousand first, so that no row holds a meter's whole life.
+    last = F.floor((F.col("b") - F.col("a")) / F.col("step"))
+    lots = span.withColumn("last", last).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / LOT))))
+    grid = lots.select("meter_id", "a", "step", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("last"), F.col("lot") * LOT + LOT - 1))).alias("i"))
+    grid = grid.select("meter_id", (F.col("a") + F.col("i") * F.col("step")).alias("ts_s"))
     joined = grid.join(df.select("meter_id", "ts_s", F.col("demand_kw").alias("read_kw")), ["meter_id", "ts_s"], "left").withColumn("v", F.expr("if(read_kw >= 0, read_kw, null)"))
     w = ordered(["meter_id"])
     point = F.when(F.col("v").isNotNull(), F.struct("ts_s", "v"))
@@ -95,11 +107,27 @@ def complete_days(df: DataFrame, per_day: int) -> DataFrame:
     return df.groupBy(*DAY).agg(F.count("*").alias("n"), F.count("demand_kw").alias("seen")).where((F.col("n") == per_day) & (F.col("seen") == per_day)).select(*DAY)
 
 
-def smooth(df: DataFrame, *, method: str = "rolling_median", window_minutes: float = 60, resolution_minutes: float = 60) -> DataFrame:
-    """Adds smooth_kw: a centred median or mean within the day, of an odd number of intervals."""
+def smooth(df: DataFrame, *, method: str = "rolling_median", window_minutes: float = 60, resolution_minutes: float = 60, resolution: DataFrame | None = None) -> DataFrame:
+    """Adds smooth_kw: a centred median or mean within the day, of an odd number of intervals. ``resolution`` (meter_id,
+    resolution_minutes) gives each meter its own window; a meter that it does not know has ``resolution_minutes``."""
     if method == "none":
         return df.withColumn("smooth_kw", F.col("demand_kw"))
-    n = max(1, round(window_minutes / resolution_minutes))
-    half = (n + (n % 2 == 0)) // 2
-    w = ordered(DAY).rowsBetween(-half, half)
-    return df.withColumn("smooth_kw", (F.expr("percentile(demand_kw, 0.5D)") if method == "rolling_median" else F.avg("demand_kw")).over(w))
+    if resolution is None:
+        n = max(1, round(window_minutes / resolution_minutes))
+        half = (n + (n % 2 == 0)) // 2
+        w = ordered(DAY).rowsBetween(-half, half)
+        return df.withColumn("smooth_kw", (F.expr("percentile(demand_kw, 0.5D)") if method == "rolling_median" else F.avg("demand_kw")).over(w))
+    # Windows of several lengths in one plan: the day as an array, and each point's slice of it.
+    own = resolution.select("meter_id", F.coalesce("resolution_minutes", F.lit(float(resolution_minutes))).alias("_minutes"))
+    n = F.greatest(F.lit(1), F.bround(window_minutes / F.col("_minutes")).cast("int"))
+    half = F.floor((n + (n % 2 == 0).cast("int")) / 2).cast("int")
+    days = df.groupBy(*DAY).agg(F.array_sort(F.collect_list(F.struct("ts_s", F.struct(*[F.col(c) for c in df.columns if c not in (*DAY, "ts_s")]).alias("row")))).alias("points"))
+    days = days.join(own, "meter_id", "left").withColumn("_minutes", F.coalesce("_minutes", F.lit(float(resolution_minutes)))).withColumn("_half", half)
+    values = F.transform("points", lambda p: p["row"]["demand_kw"])
+    near = lambda i: F.filter(F.slice(F.col("values"), F.greatest(F.lit(1), i + 1 - F.col("_half")), F.least(F.size("values"), i + 1 + F.col("_half")) - F.greatest(F.lit(0), i - F.col("_half"))), lambda v: v.isNotNull())
+    mid = lambda xs: (F.get(xs, F.floor((F.size(xs) - 1) / 2).cast("int")) + F.get(xs, F.floor(F.size(xs) / 2).cast("int"))) / 2
+    mean = lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda a, v: a + v) / F.size(xs))
+    days = days.withColumn("values", values)
+    days = days.withColumn("smooth", F.transform("points", lambda p, i: mid(F.array_sort(near(i))) if method == "rolling_median" else mean(near(i))))
+    each = days.select(*DAY, F.explode(F.arrays_zip("points", "smooth")).alias("x"))
+    return each.select(*[F.col(c) if c in DAY else F.col("x.points.ts_s").alias(c) if c == "ts_s" else F.col(f"x.points.row.`{c}`").alias(c) for c in df.columns], F.col("x.smooth").alias("smooth_kw"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.windows import DAY, label_runs, ordered, run_bounds, so_far, whole
+from gridloom.functions.windows import DAY, label_runs, near, ordered, run_bounds, so_far, whole
 
 
 def sustained_region(df: DataFrame, *, value: str = "smooth_kw", low_percentile: float = 10, min_minutes: float = 60) -> DataFrame:
@@ -30,17 +30,18 @@ def baseline(df: DataFrame, *, value: str = "smooth_kw", low_percentile: float =
     cents = lambda c: F.round((F.col(c) if isinstance(c, str) else c) + 1e-7, 2)
     return got.select(
         *DAY, cents(base).alias("baseline_kw"), cents("peak").alias("peak_kw"), cents(F.col("peak") - base).alias("operating_range_kw"),
-        F.round(F.coalesce(F.col("region_minutes") / 60, F.lit(0.0)), 3).alias("baseline_hours"), F.when(F.col("held").isNotNull(), "sustained").otherwise("percentile").alias("baseline_method"),
+        F.round(F.coalesce(F.col("region_minutes") / 60, F.lit(0.0)), 3).alias("baseline_hours"), F.when(F.col("held").isNotNull(), "hybrid_sustained").otherwise("fallback_percentile").alias("baseline_method"),
         F.coalesce((F.col("mean") > 0) & ((F.col("peak") - base) / F.col("mean") < range_fraction), F.lit(False)).alias("is_continuous"),
     ).where("peak_kw is not null")
 
 
 def normalize_demand(df: DataFrame, base: DataFrame, *, value: str = "demand_kw", peak: str = "observed_max") -> DataFrame:
-    """Adds baseline columns and normalized_demand: (value - baseline) / (peak - baseline), null without a range."""
-    top = (F.max(value) if peak == "observed_max" else F.expr(f"percentile({value}, 0.99D)")).over(whole(DAY))
-    j = df.join(base, DAY, "left").withColumn("_top", top)
-    span = F.col("_top") - F.col("baseline_kw")
-    return j.withColumn("normalized_demand", F.when(span > 0, (F.col(value) - F.col("baseline_kw")) / span)).drop("_top")
+    """Adds baseline columns and normalized_demand: (value - baseline) / (peak - baseline), null without a range. The peak
+    is that of the baseline, the rounded greatest smoothed value (values may exceed 1), or the 99th percentile of value."""
+    j = df.join(base, DAY, "left")
+    top = F.col("peak_kw") if peak == "observed_max" else F.expr(f"percentile({value}, 0.99D)").over(whole(DAY))
+    span = top - F.col("baseline_kw")
+    return j.withColumn("_span", span).withColumn("normalized_demand", F.when(F.col("_span") > 0, (F.col(value) - F.col("baseline_kw")) / F.col("_span"))).drop("_span")
 
 
 def hysteresis(df: DataFrame, *, value: str = "smooth_kw", entry: float = 0.20, exit: float = 0.15) -> DataFrame:
@@ -73,4 +74,4 @@ def operating_periods(df: DataFrame, *, min_minutes: float = 30, gap_minutes: fl
     grouped = runs.withColumn("fresh", fresh).withColumn("grp", F.sum("fresh").over(w)).groupBy(*DAY, "grp").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
     hours = (F.col("end_s") - F.col("start_s")) / 3600
     rank = F.row_number().over(Window.partitionBy(*DAY).orderBy(hours.desc(), "start_s"))
-    return grouped.select(*DAY, "start_s", "end_s", F.round(hours, 4).alias("duration_hours"), rank.alias("rank"))
+    return grouped.select(*DAY, "start_s", "end_s", near(hours, 4).alias("duration_hours"), rank.alias("rank"))

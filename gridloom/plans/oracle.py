@@ -20,9 +20,8 @@ region AS (SELECT meter_id, local_date, a AS region_start_s, b AS region_end_s,
 BASE = """bs AS (SELECT s.meter_id, s.local_date, quantile_cont(CASE WHEN ts_s BETWEEN region_start_s AND region_end_s THEN v END, 0.5) AS held, quantile_cont(v, 0.1) AS fb, max(v) AS pk, avg(v) AS mean, max(region_minutes) AS rm
   FROM s LEFT JOIN region r ON r.meter_id = s.meter_id AND r.local_date = s.local_date GROUP BY ALL),
 base AS (SELECT meter_id, local_date, round(coalesce(held, fb) + 1e-7, 2) AS baseline_kw, round(pk + 1e-7, 2) AS peak_kw, round(pk - coalesce(held, fb) + 1e-7, 2) AS operating_range_kw, round(coalesce(rm / 60, 0), 3) AS baseline_hours,
-  CASE WHEN held IS NOT NULL THEN 'sustained' ELSE 'percentile' END AS baseline_method, coalesce(mean > 0 AND (pk - coalesce(held, fb)) / mean < 0.15, false) AS is_continuous FROM bs WHERE pk IS NOT NULL)"""
-STATE = """sb AS (SELECT s.*, baseline_kw, peak_kw, baseline_kw + 0.20 * (peak_kw - baseline_kw) AS up, baseline_kw + 0.15 * (peak_kw - baseline_kw) AS down,
-  max(demand_kw) OVER (PARTITION BY s.meter_id, s.local_date) AS top FROM s LEFT JOIN base b ON b.meter_id = s.meter_id AND b.local_date = s.local_date),
+  CASE WHEN held IS NOT NULL THEN 'hybrid_sustained' ELSE 'fallback_percentile' END AS baseline_method, coalesce(mean > 0 AND (pk - coalesce(held, fb)) / mean < 0.15, false) AS is_continuous FROM bs WHERE pk IS NOT NULL)"""
+STATE = """sb AS (SELECT s.*, baseline_kw, peak_kw, operating_range_kw, is_continuous, baseline_kw + 0.20 * (peak_kw - baseline_kw) AS up, baseline_kw + 0.15 * (peak_kw - baseline_kw) AS down FROM s LEFT JOIN base b ON b.meter_id = s.meter_id AND b.local_date = s.local_date),
 hy AS (SELECT *, coalesce(last_value(CASE WHEN v >= up THEN 1 WHEN v <= down THEN 0 END IGNORE NULLS) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s), 0) AS latent FROM sb),
 st AS (SELECT *, CASE WHEN baseline_kw IS NULL OR v IS NULL THEN 'UNKNOWN' WHEN peak_kw - baseline_kw <= 0 THEN 'BASELINE' WHEN latent = 1 THEN 'OPERATING' ELSE 'BASELINE' END AS raw_state FROM hy),
 sr AS (SELECT *, sum(CASE WHEN raw_state IS DISTINCT FROM ps THEN 1 ELSE 0 END) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS run FROM (SELECT *, lag(raw_state) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS ps FROM st)),
@@ -30,10 +29,10 @@ sk AS (SELECT *, run = 1 OR raw_state = 'UNKNOWN' OR max(ts_s) OVER w - min(ts_s
 sf AS (SELECT *, last_value(CASE WHEN keep THEN raw_state END IGNORE NULLS) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS state FROM sk)"""
 PERIOD = """pr AS (SELECT *, sum(CASE WHEN state IS DISTINCT FROM pst THEN 1 ELSE 0 END) OVER w2 AS srun FROM (SELECT *, lag(state) OVER w AS pst, lead(ts_s) OVER w AS nx FROM sf WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s)) WINDOW w2 AS (PARTITION BY meter_id, local_date ORDER BY ts_s)),
 pb AS (SELECT meter_id, local_date, srun, min(ts_s) AS a, arg_max(coalesce(nx, ts_s), ts_s) AS b FROM pr WHERE state = 'OPERATING' GROUP BY ALL HAVING b - a >= 1800),
-pm AS (SELECT *, sum(fresh) OVER (PARTITION BY meter_id, local_date ORDER BY a) AS grp FROM (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY meter_id, local_date ORDER BY a) < 3600 THEN 0 ELSE 1 END AS fresh FROM pb)),
-pg AS (SELECT meter_id, local_date, min(a) AS start_s, max(b) AS end_s FROM pm GROUP BY meter_id, local_date, grp)"""
+pf AS (SELECT *, sum(fresh) OVER (PARTITION BY meter_id, local_date ORDER BY a) AS grp FROM (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY meter_id, local_date ORDER BY a) < 3600 THEN 0 ELSE 1 END AS fresh FROM pb)),
+pg AS (SELECT meter_id, local_date, min(a) AS start_s, max(b) AS end_s FROM pf GROUP BY meter_id, local_date, grp)"""
 CAND = """ca AS (SELECT *, lag(state) OVER w AS before, max(ts_s) OVER (PARTITION BY meter_id, local_date) AS day_end FROM sf WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s)),
-cu AS (SELECT c.meter_id, c.local_date, c.ts_s, c.v, c.up, c.day_end,
+cu AS (SELECT c.meter_id, c.local_date, c.ts_s, c.v, c.up, c.day_end, c.peak_kw - c.baseline_kw AS span,
   (SELECT min(x.v) FROM s x WHERE x.meter_id = c.meter_id AND x.local_date = c.local_date AND x.ts_s BETWEEN c.ts_s - 7200 AND c.ts_s) AS lv,
   (SELECT arg_min(x.ts_s, row(x.v, x.ts_s)) FROM s x WHERE x.meter_id = c.meter_id AND x.local_date = c.local_date AND x.v IS NOT NULL AND x.ts_s BETWEEN c.ts_s - 7200 AND c.ts_s) AS lt,
   coalesce((SELECT min(x.ts_s) FROM s x WHERE x.meter_id = c.meter_id AND x.local_date = c.local_date AND x.ts_s >= c.ts_s AND x.v < c.up), c.day_end) AS til
@@ -57,7 +56,7 @@ XY = """dd AS (SELECT entity_id, (to_timestamp(ts_s) AT TIME ZONE 'UTC')::DATE A
 p AS (SELECT entity_id, x, y FROM dd WHERE x IS NOT NULL AND y IS NOT NULL),
 bps AS (SELECT entity_id, unnest(range((floor(min(x)) + 1)::BIGINT, ceil(max(x))::BIGINT))::DOUBLE AS bp FROM p GROUP BY 1)"""
 DIRTY = "di AS (SELECT meter_id, ts_s, CASE WHEN ts_s % 72000 = 0 THEN -demand_kw ELSE demand_kw END AS demand_kw, 1 AS seq FROM h UNION ALL SELECT meter_id, ts_s, demand_kw + 1, 2 FROM h WHERE ts_s % 50400 = 0)"
-NORM = "nd AS (SELECT *, CASE WHEN top - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (top - baseline_kw) END AS nv, ts_s - lag(ts_s) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS step FROM sf)"
+NORM = "nd AS (SELECT *, CASE WHEN peak_kw - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (peak_kw - baseline_kw) END AS nv, ts_s - lag(ts_s) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS step FROM sf)"
 GAPS = """mg AS (SELECT *, sum(CASE WHEN m IS DISTINCT FROM pm THEN 1 ELSE 0 END) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s) AS run
   FROM (SELECT *, demand_kw IS NULL AS m, lag(demand_kw IS NULL) OVER w AS pm, lead(ts_s) OVER w AS nx FROM g WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s))),
 mq AS (SELECT meter_id, local_date, max(s) / 60 AS gap FROM (SELECT meter_id, local_date, run, arg_max(coalesce(nx, ts_s), ts_s) - min(ts_s) AS s FROM mg WHERE m GROUP BY ALL) GROUP BY ALL)"""
@@ -117,7 +116,7 @@ SQL: dict[str, str] = {
     "smooth_mean": q(G, "SELECT meter_id, ts_s, round(avg(demand_kw) OVER (PARTITION BY meter_id, local_date ORDER BY ts_s ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS smooth_kw FROM g"),
     "sustained_region": q(R, f"SELECT meter_id, {day}, region_start_s, region_end_s, round(region_minutes, 4) AS region_minutes FROM region"),
     "baseline": q(B, f"SELECT meter_id, {day}, baseline_kw, peak_kw, operating_range_kw, baseline_hours, baseline_method, is_continuous FROM base"),
-    "normalize_demand": q(T, "SELECT meter_id, ts_s, round(CASE WHEN top - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (top - baseline_kw) END, 4) AS normalized_demand FROM sf"),
+    "normalize_demand": q(T, "SELECT meter_id, ts_s, round(CASE WHEN peak_kw - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (peak_kw - baseline_kw) END, 4) AS normalized_demand FROM sf"),
     "hysteresis": q(T, "SELECT meter_id, ts_s, raw_state FROM st"),
     "persistence": q(T, "SELECT meter_id, ts_s, state FROM sf"),
     "operating_periods": q((*T, PERIOD), f"SELECT meter_id, {day}, start_s, end_s, round((end_s - start_s) / 3600, 4) AS duration_hours, row_number() OVER (PARTITION BY meter_id, pg.local_date ORDER BY end_s - start_s DESC, start_s)::INT AS rank FROM pg"),
@@ -154,7 +153,7 @@ SQL: dict[str, str] = {
     "cp_3p_cool": _fit3("cooling"),
     "cp_3p_heat": _fit3("heating"),
     "daily_stats": q(G, f"SELECT meter_id, {day}, round(avg(demand_kw), 4) AS average_kw, round(quantile_cont(demand_kw, 0.5), 4) AS median_kw, round(min(demand_kw), 4) AS minimum_kw, round(max(demand_kw), 4) AS maximum_kw, round(stddev_samp(demand_kw), 4) AS std_kw, round(stddev_samp(demand_kw) / nullif(avg(demand_kw), 0), 4) AS cv FROM g GROUP BY meter_id, g.local_date"),
-    "peak_concentration": q((*G, "pk AS (SELECT meter_id, local_date, arg_min(ts_s, row(-demand_kw, ts_s)) AS pt FROM g WHERE demand_kw IS NOT NULL GROUP BY ALL)"), "SELECT g.meter_id, CAST(g.local_date AS VARCHAR) AS local_date, round(sum(CASE WHEN abs(ts_s - pt) <= 1800 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_30min, round(sum(CASE WHEN abs(ts_s - pt) <= 3600 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_1hr FROM g LEFT JOIN pk ON pk.meter_id = g.meter_id AND pk.local_date = g.local_date GROUP BY g.meter_id, g.local_date"),
+    "peak_concentration": q((*G, "pk AS (SELECT meter_id, local_date, arg_min(ts_s, row(-demand_kw, ts_s)) AS pt FROM g WHERE demand_kw IS NOT NULL GROUP BY ALL)"), "SELECT g.meter_id, CAST(g.local_date AS VARCHAR) AS local_date, round(sum(CASE WHEN abs(ts_s - pt) <= 1800 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_1hr, round(sum(CASE WHEN abs(ts_s - pt) <= 3600 THEN demand_kw END) / nullif(sum(demand_kw), 0), 4) AS peak_concentration_2hr FROM g LEFT JOIN pk ON pk.meter_id = g.meter_id AND pk.local_date = g.local_date GROUP BY g.meter_id, g.local_date"),
     "mean_abs_ramp": q((*G, "mr AS (SELECT meter_id, local_date, abs((demand_kw - lag(demand_kw) OVER w) / ((ts_s - lag(ts_s) OVER w) / 3600)) AS r FROM g WINDOW w AS (PARTITION BY meter_id, local_date ORDER BY ts_s))"), f"SELECT meter_id, {day}, round(avg(r), 4) AS mean_absolute_ramp_kw_per_hr FROM mr GROUP BY meter_id, mr.local_date"),
     "profile_matrix": q(E, f"SELECT entity_id, {day}, count(*)::INT AS n, round(sum(demand_kw) + 1e-7, 2) AS total FROM f GROUP BY entity_id, f.local_date HAVING count(*) = 24 AND count(demand_kw) = 24"),
     "end_candidates": q((*T, FALL), f"SELECT meter_id, {day}, ts_s AS transition_s, cross_s AS crossing_s, round(delta, 4) AS delta_kw, round((cross_s - from_s) / 3600, 4) AS duration_hours, round(idle * med / 3600, 4) AS persistence_hours, round(CASE WHEN cross_s > from_s THEN delta / ((cross_s - from_s) / 3600) ELSE 0 END, 4) AS avg_rate FROM ec"),
@@ -163,17 +162,22 @@ SQL: dict[str, str] = {
     "scan_temperature": q(W, "SELECT ts_s, round(temperature_f, 4) AS temperature_f FROM tp"),
     "states": q(T, "SELECT meter_id, ts_s, round(up, 4) AS entry_kw, round(down, 4) AS exit_kw, raw_state, state FROM sf"),
     "entity_frame": q(E, f"SELECT entity_id, ts_s, {day}, hour::INT AS hour, round(demand_kw, 4) AS demand_kw, n_meters_reporting, demand_kw IS NULL AS is_missing FROM f"),
-    "peakiness": q((*B, "pe AS (SELECT meter_id, local_date, max(demand_kw) AS mx, avg(demand_kw) AS av FROM g GROUP BY ALL)"), "SELECT pe.meter_id, CAST(pe.local_date AS VARCHAR) AS local_date, round(CASE WHEN av > 0 THEN mx / av END, 4) AS peak_to_average, round(CASE WHEN baseline_kw > 0 THEN mx / baseline_kw END, 4) AS peak_to_baseline, round(CASE WHEN mx > 0 THEN av / mx END, 4) AS load_factor FROM pe LEFT JOIN base ON base.meter_id = pe.meter_id AND base.local_date = pe.local_date"),
+    "peakiness": q((*B, "pe AS (SELECT meter_id, local_date, max(demand_kw) AS mx, avg(demand_kw) AS av FROM g GROUP BY ALL)"), "SELECT pe.meter_id, CAST(pe.local_date AS VARCHAR) AS local_date, round(CASE WHEN av > 0 AND baseline_kw IS NOT NULL THEN mx / av END, 4) AS peak_to_average_ratio, round(CASE WHEN baseline_kw > 0 THEN mx / baseline_kw END, 4) AS peak_to_baseline_ratio, round(CASE WHEN mx > 0 AND baseline_kw IS NOT NULL THEN av / mx END, 4) AS load_factor FROM pe LEFT JOIN base ON base.meter_id = pe.meter_id AND base.local_date = pe.local_date"),
     "longest_gap": q((*G, GAPS), f"SELECT meter_id, {day}, round(gap, 4) AS longest_missing_gap_minutes FROM mq"),
     "daily_quality": q((*G, GAPS, "dc AS (SELECT meter_id, local_date, count(*) AS n, count(read_kw) AS o, count(demand_kw) - count(read_kw) AS i, count(*) - count(demand_kw) AS m FROM g GROUP BY ALL)", "dq AS (SELECT dc.*, coalesce(gap, 0) AS gap, o / n AS share FROM dc LEFT JOIN mq ON mq.meter_id = dc.meter_id AND mq.local_date = dc.local_date)"),
         f"SELECT meter_id, {day}, n AS expected_intervals, o AS observed_intervals, i AS interpolated_intervals, m AS missing_intervals, round(share, 4) AS completeness_fraction, round(i / n, 4) AS interpolation_fraction, round(gap, 1) AS longest_missing_gap_minutes, CASE WHEN share >= 0.75 AND gap <= 60 THEN 'GOOD' WHEN share >= 0.5 THEN 'ACCEPTABLE' WHEN share >= 0.25 THEN 'POOR' ELSE 'UNUSABLE' END AS quality_status FROM dq"),
     "primary_shape": q((*E, SHAPE), f"SELECT entity_id, {day}, der_primary_shape FROM sp"),
-    "meter_interval": q(T, f"SELECT meter_id, ts_s, {day}, hour(t)::INT AS hour, round(demand_kw, 4) AS demand_kw, round(read_kw, 4) AS demand_kw_raw, read_kw IS NOT NULL AS is_observed, read_kw IS NULL AND demand_kw IS NOT NULL AS is_interpolated, demand_kw IS NULL AS is_missing, CASE WHEN read_kw IS NOT NULL THEN 'observed' WHEN demand_kw IS NOT NULL THEN 'interpolated' ELSE 'missing' END AS data_quality_flag, round(v, 4) AS analysis_demand_kw, round(CASE WHEN top - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (top - baseline_kw) END, 4) AS normalized_demand, round(baseline_kw, 4) AS baseline_kw, state FROM sf"),
+    "meter_interval": q(T, f"SELECT meter_id, ts_s, {day}, hour(t)::INT AS hour, round(demand_kw, 4) AS demand_kw, round(read_kw, 4) AS demand_kw_raw, read_kw IS NOT NULL AS is_observed, read_kw IS NULL AND demand_kw IS NOT NULL AS is_interpolated, demand_kw IS NULL AS is_missing, CASE WHEN read_kw IS NOT NULL THEN 'observed' WHEN demand_kw IS NOT NULL THEN 'interpolated' ELSE 'missing' END AS data_quality_flag, round(v, 4) AS analysis_demand_kw, round(CASE WHEN peak_kw - baseline_kw > 0 THEN (demand_kw - baseline_kw) / (peak_kw - baseline_kw) END, 4) AS normalized_demand, round(baseline_kw, 4) AS baseline_kw, state FROM sf"),
     "entity_interval": q(E, f"SELECT entity_id, ts_s, round(demand_kw, 4) AS demand_kw, n_meters_reporting, demand_kw IS NULL AS is_missing, {day}, year(t)::INT AS year, month(t)::INT AS month, day(t)::INT AS day, dayofyear(t)::INT AS day_of_year, hour::INT AS hour, minute(t)::INT AS minute, (isodow(t) - 1)::INT AS day_of_week, dayname(t) AS day_name, isodow(t) < 6 AS is_weekday, isodow(t) >= 6 AS is_weekend, 'winter' AS season, CASE WHEN isodow(t) < 6 THEN 'weekday' ELSE 'weekend' END AS day_type FROM f"),
     "entity_daily": q((*E, SUMMARY, SHAPE), "SELECT su.entity_id, CAST(su.local_date AS VARCHAR) AS local_date, is_complete_day, round(daily_energy_kwh, 4) AS daily_energy_kwh, round(maximum_demand_kw, 4) AS maximum_demand_kw, peak_time_minutes::INT AS peak_time_minutes, round(mo, 4) AS morning_peak_kw, round(mi, 4) AS midday_peak_kw, round(af, 4) AS afternoon_peak_kw, round(ev, 4) AS evening_peak_kw, round(night, 4) AS overnight_mean_kw, round(night, 4) AS nighttime_mean_kw, round(sh.day, 4) AS daytime_mean_kw FROM su JOIN sh ON sh.entity_id = su.entity_id AND sh.local_date = su.local_date"),
 }
 _hours = [f"round(count(*) FILTER (nv >= {t / 100}) * quantile_cont(step, 0.5) / 3600, 4) AS duration_above_{t}pct_hours" for t in (20, 50, 80)]
-_energy = [f"round(sum(CASE WHEN nv >= {t / 100} THEN demand_kw ELSE 0 END) / nullif(sum(demand_kw), 0), 4) AS energy_frac_above_{t}pct" for t in (20, 50, 80)]
+_energy = [f"round(CASE WHEN max(operating_range_kw) > 0 THEN sum(CASE WHEN nv >= {t / 100} THEN demand_kw ELSE 0 END) / nullif(sum(demand_kw), 0) END, 4) AS energy_frac_above_{t}pct" for t in (20, 50, 80)]
 for _name, _columns in (("breadth", _hours + _energy), ("breadth_hours", _hours), ("breadth_energy", _energy)):
     SQL[_name] = q((*T, NORM), f"SELECT meter_id, {day}, {', '.join(_columns)} FROM nd GROUP BY meter_id, nd.local_date")
 SQL |= {"study_coincidence": SQL["coincidence_study"], "daily_coincidence": SQL["coincidence_daily"]}
+
+
+from gridloom.plans import oracle_events  # noqa: E402
+
+SQL |= oracle_events.SQL

@@ -6,16 +6,18 @@ Times come out as epoch seconds, dates as text, and floats rounded to four place
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.functions.windows import DAY, local
+from gridloom.functions.windows import DAY, iso_text, local
 from gridloom.operators import changepoint, clustering, entities, events, features, grid, states, weather
 from gridloom.plans import pipeline
+from gridloom.sources import synthetic
 from gridloom.sources.config import with_defaults
 from gridloom.sources.demand import hourly_events, instant, project_demand
+from gridloom.sources.tables import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Hourly data: gaps of two hours are filled, and three points smoothed.
@@ -102,6 +104,32 @@ def dirty(spark: SparkSession, d: str) -> DataFrame:
     return low.withColumn("ingest_seq", F.lit(1)).unionByName(again)
 
 
+SHAPE_FLAGS = [*[f"has_{k}_peak" for k in entities.SEGMENTS], "is_unusual", "is_highly_peaked", "is_overnight_heavy", "has_peak_valley_pattern", "has_sharp_peak", "has_sustained_high_load"]
+
+
+def quarter(spark: SparkSession, d: str) -> pipeline.MeterTables:
+    """The same demand by quarter hours for two meters and by hours for the others, in one plan."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "value")
+    step = F.when(F.col("event_type").isin("click", "view"), 900).otherwise(3600)
+    fine = e.groupBy(F.col("event_type").alias("meter_id"), (F.col("at") - F.col("at") % step).alias("ts_s")).agg(F.round(F.sum("value"), 2).alias("demand_kw"))
+    return pipeline.run_meters(fine, {"smoothing": {"window_minutes": 60}, "data_quality": {"max_interpolation_gap_minutes": 120}}, order=None, check=False)
+
+
+def repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Local texts of the hours around an autumn change, without offsets, in the order of the readings."""
+    hours = hourly_events(spark, d).where("meter_id = 'click'").select("ts_s", "demand_kw", F.row_number().over(Window.partitionBy("meter_id").orderBy("ts_s")).alias("ingest_seq"))
+    first = hours.groupBy().agg(F.min("ts_s").alias("a"))
+    moved = hours.join(F.broadcast(first)).withColumn("true_s", F.col("ts_s") - F.col("a") + 1730505600).drop("a", "ts_s")
+    wall = moved.withColumn("wall", F.date_format(F.from_utc_timestamp(F.timestamp_seconds("true_s"), "America/Chicago"), "yyyy-MM-dd HH:mm:ss"))
+    return project_demand(wall, ts="wall", demand="demand_kw", tz="America/Chicago", seq="ingest_seq").select("ts_s", four("demand_kw"))
+
+
+def local_summary(spark: SparkSession, d: str) -> DataFrame:
+    tz = "America/Chicago"
+    f = entities.calendar(entities.entity_sum(regular(spark, d), members(spark)), tz=tz)
+    return entities.daily_summary(f, tz=tz)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Portfolio demand by hour, its daily peak and when it is."""
     s = entities.entity_sum(hourly_events(spark, d), members(spark).where("entity_id = 'all'"))
@@ -109,7 +137,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, d: str) -> pipeline.MeterTables:
-    return pipeline.run_meters(hourly_events(spark, d), CFG, check=False)
+    return pipeline.run_meters(hourly_events(spark, d), CFG, order=None, check=False)
 
 
 def written(spark: SparkSession, d: str) -> DataFrame:
@@ -121,30 +149,24 @@ def daily(*columns: str) -> Query:
     return lambda s, d: show(tables(s, d).daily.select(*DAY, *columns))
 
 
-def _kmeans(spark: SparkSession, d: str) -> list[tuple[str, str, clustering.Clusters]]:
-    """(entity, kind of profile, clusters) of every entity, by absolute and by peak-normalized days."""
-    f = entities.peak_normalize(frame(spark, d))
-    out = []
-    for kind, value in (("absolute", "demand_kw"), ("normalized", "peak_normalized")):
-        m = clustering.profile_matrix(f, per_day=24, value=value).cache()
-        ids = sorted(r.entity_id for r in m.select("entity_id").distinct().collect())
-        out += [(e, kind, clustering.cluster_profiles(m.where(F.col("entity_id") == e))) for e in ids]
-    return [x for x in out if x[2].success]
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Absolute and peak-normalized days of all entities, and their clusters, written once."""
+    m = stage(clustering.profiles(frame(spark, d), per_day=24), "profiles")
+    return m, stage(clustering.cluster_profiles(m), "clusters")
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    got = [c.labels.select("entity_id", F.lit(kind).alias("profile_kind"), F.col("local_date").cast("string").alias("local_date"), "cluster_id") for _, kind, c in _kmeans(spark, d)]
-    return reduce(DataFrame.unionByName, got)
+    return show(clustering.labels(_clusters(spark, d)[1]))
 
 
 def _cluster_stats(spark: SparkSession, d: str) -> DataFrame:
-    got = [c.clusters.drop("center").select(F.lit(e).alias("entity_id"), F.lit(kind).alias("profile_kind"), "*") for e, kind, c in _kmeans(spark, d)]
-    return show(reduce(DataFrame.unionByName, got))
+    m, c = _clusters(spark, d)
+    return show(clustering.cluster_stats(c, m).drop("center"))
 
 
 def _select_k(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(e, kind, i, i == c.k, float(x)) for e, kind, c in _kmeans(spark, d) for i, x in (c.scores or {c.k: 0.0}).items()]
-    return spark.createDataFrame(rows, "entity_id string, profile_kind string, k int, chosen boolean, silhouette double")
+    c = _clusters(spark, d)[1].where("success")
+    return show(c.select("entity_id", "profile_kind", F.col("k").alias("chosen_k"), F.explode("scores").alias("s")).select("entity_id", "profile_kind", "s.k", (F.col("s.k") == F.col("chosen_k")).alias("chosen"), "s.silhouette"))
 
 
 def _ext(column: str) -> Query:
@@ -200,8 +222,8 @@ QUERIES: dict[str, Query] = {
     "recurring_timing": lambda s, d: entities.recurring_timing(summary(s, d)).select("entity_id", "window_start_minutes", "n_days", four("statistical_support"), F.array_join(F.transform("dates", lambda x: x.cast("string")), ",").alias("dates")),
     "recurring_shape": lambda s, d: entities.recurring_shape(summary(s, d), shapes(s, d)).select("entity_id", "primary_shape", "n_days", four("statistical_support")),
     "outlier_days": lambda s, d: show(entities.outlier_days(summary(s, d), limit=1.5)),
-    "coincidence_study": lambda s, d: show(entities.coincidence(regular(s, d), members(s)).drop("meter_peak_kw")),
-    "coincidence_daily": lambda s, d: show(entities.coincidence(regular(s, d), members(s), daily=True).drop("meter_peak_kw")),
+    "coincidence_study": lambda s, d: show(entities.coincidence(regular(s, d), members(s))),
+    "coincidence_daily": lambda s, d: show(entities.coincidence(regular(s, d), members(s), daily=True)),
     "asof_nearest": lambda s, d: show(weathered(s, d)),
     "temp_policy": lambda s, d: show(weather.temp_policy(weathered(s, d).withColumn("temperature_f", F.when(F.col("ts_s") % 7200 == 0, 50.0)))),
     "temp_band": lambda s, d: show(weathered(s, d).select("entity_id", "ts_s", weather.band(F.col("external_temperature_f")).alias("temperature_band"))),
@@ -216,8 +238,8 @@ QUERIES: dict[str, Query] = {
     "breadth": lambda s, d: show(features.breadth(stated(s, d), (0.2, 0.5, 0.8))),
     "peak_concentration": lambda s, d: show(features.peak_concentration(regular(s, d))),
     "mean_abs_ramp": lambda s, d: show(features.mean_abs_ramp(regular(s, d))),
-    "daily_features": lambda s, d: show(tables(s, d).daily.drop("attributes", "primary_class", "classification_confidence")),
-    "classify_day": lambda s, d: tables(s, d).daily.select(*DAY[:1], F.col("local_date").cast("string").alias("local_date"), "primary_class", F.array_join("attributes", ",").alias("attributes"), "classification_confidence"),
+    "daily_features": lambda s, d: show(tables(s, d).daily.drop("attributes", "primary_class", "classification_confidence", "classification_notes")),
+    "classify_day": lambda s, d: tables(s, d).daily.select(*DAY[:1], F.col("local_date").cast("string").alias("local_date"), "primary_class", F.array_join("attributes", ",").alias("attributes"), "classification_confidence", "classification_notes"),
     "class_distribution": lambda s, d: features.class_distribution(tables(s, d).daily),
     "profile_matrix": lambda s, d: clustering.profile_matrix(frame(s, d), per_day=24).select("entity_id", F.col("local_date").cast("string").alias("local_date"), F.size("profile").alias("n"), F.round(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x) + 1e-7, 2).alias("total")),
     "kmeans_labels": _labels,
@@ -225,8 +247,8 @@ QUERIES: dict[str, Query] = {
     "meter_interval": lambda s, d: show(tables(s, d).interval),
     "entity_interval": _ext("entity_interval"),
     "entity_daily": _ext("entity_daily"),
-    "study_coincidence": lambda s, d: show(pipeline.run_entities(tables(s, d).interval, members(s)).study_coincidence.drop("meter_peak_kw")),
-    "daily_coincidence": lambda s, d: show(pipeline.run_entities(tables(s, d).interval, members(s)).daily_coincidence.drop("meter_peak_kw")),
+    "study_coincidence": lambda s, d: show(pipeline.run_entities(tables(s, d).interval, members(s)).study_coincidence),
+    "daily_coincidence": lambda s, d: show(pipeline.run_entities(tables(s, d).interval, members(s)).daily_coincidence),
     "project_demand": lambda s, d: show(project_demand(written(s, d), ts="wall", demand="kw", meter="m").drop("building_id")),
     "parse_ts": lambda s, d: (lambda w: w.select("wall", instant(w, "wall", "America/Chicago").alias("ts_s")))(written(s, d).select("wall").distinct()),
     "scan_temperature": lambda s, d: show(temperature(s, d)),
@@ -234,11 +256,20 @@ QUERIES: dict[str, Query] = {
     "entity_frame": lambda s, d: show(frame(s, d).select("entity_id", "ts_s", "local_date", "hour", "demand_kw", "n_meters_reporting", "is_missing")),
     "breadth_hours": lambda s, d: show(features.breadth(stated(s, d), (0.2, 0.5, 0.8)).select(*DAY, *[f"duration_above_{t}pct_hours" for t in (20, 50, 80)])),
     "breadth_energy": lambda s, d: show(features.breadth(stated(s, d), (0.2, 0.5, 0.8)).select(*DAY, *[f"energy_frac_above_{t}pct" for t in (20, 50, 80)])),
-    "peakiness": daily("peak_to_average", "peak_to_baseline", "load_factor"),
+    "peakiness": daily("peak_to_average_ratio", "peak_to_baseline_ratio", "load_factor"),
     "event_counts": daily("operating_period_count", "total_operating_duration_hours", "ramp_event_count", "up_ramp_count", "down_ramp_count", "secondary_peak_count"),
     "class_confidence": daily("primary_class", "classification_confidence"),
     "day_attributes": lambda s, d: show(tables(s, d).daily.select(*DAY, F.array_join("attributes", ",").alias("attributes"))),
     "peak_width": lambda s, d: (lambda p: show(p.select(*DAY, "peak_s", *[c for c in p.columns if c.startswith("width_")])))(events.peak_events(stated(s, d), cfg=cfg["peak_detection"])),
     "primary_shape": lambda s, d: show(shapes(s, d).select("entity_id", "local_date", "der_primary_shape")),
     "select_k": _select_k,
+    "quarter_smooth": lambda s, d: show(quarter(s, d).interval.select(*G, "demand_kw", "analysis_demand_kw")),
+    "asof_unlimited": lambda s, d: show(weather.asof_nearest(frame(s, d).select("entity_id", "ts_s", "demand_kw"), temperature(s, d).where("ts_s % 864000 < 259200"))),
+    "repeated_hour": lambda s, d: repeated(s, d),
+    "iso_times": lambda s, d: hourly_events(s, d).select("ts_s", iso_text(F.col("ts_s"), "America/Chicago").alias("iso")).distinct(),
+    "meter_peaks": lambda s, d: show(entities.meter_peaks(regular(s, d), members(s))),
+    "population_summary": lambda s, d: show(features.population_summary(tables(s, d).daily)),
+    "load_shape_flags": lambda s, d: show(shapes(s, d).select("entity_id", "local_date", *SHAPE_FLAGS)),
+    "synthetic_days": lambda s, d: show(pipeline.run_meters(synthetic.days(s), tz="America/Chicago").daily.drop("attributes")),
+    "local_peak_time": lambda s, d: show(local_summary(s, d)),
 }

@@ -11,8 +11,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset, as in local runs."""
+    """spark.checkpoint.dir of the session. Where that is unset, a folder of this machine, but only if driver and executors
+    are one process; on a cluster without a shared folder this raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/") if found else _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gridloom-"))
 
 

@@ -128,7 +128,7 @@ def test_ramps_start_at_the_second_sample(spark):
 
 def test_config_checks_and_groups():
     cfg = config.with_defaults({"meters": [{"meter_id": m} for m in ("M1", "M2", "M3")], "meter_groups": [{"name": "a", "meters": ["M1", "M2"]}, {"name": "b", "meters": ["M3"], "child_groups": ["a"]}], "portfolio": {"excluded_meters": ["M3"]}})
-    assert not config.validate(cfg).errors
+    assert not config.validate(cfg).issues
     assert set(config.entity_members(cfg)) == {("a", "M1"), ("a", "M2"), ("b", "M1"), ("b", "M2"), ("b", "M3"), ("Portfolio", "M1"), ("Portfolio", "M2")}
     assert config.find_cycle({"a": ["b"], "b": ["a"]}) == ["a", "b", "a"]
     cfg["meter_groups"][0]["child_groups"] = ["b"]
@@ -136,6 +136,172 @@ def test_config_checks_and_groups():
         config.entity_members(cfg)
 
 
+@pytest.mark.parametrize(
+    ("cfg", "path", "severity"),
+    [
+        ([], "<root>", "ERROR"), ({"input": {"unit": "MW"}}, "input.unit", "ERROR"), ({"data_quality": {"max_interpolation_gap_minutes": "x"}}, "data_quality.max_interpolation_gap_minutes", "ERROR"),
+        ({"data_quality": {"max_interpolation_gap_minutes": -1}}, "data_quality.max_interpolation_gap_minutes", "ERROR"), ({"data_quality": {"min_completeness_fraction": None}}, "data_quality.min_completeness_fraction", "ERROR"),
+        ({"data_quality": {"min_completeness_fraction": 1.2}}, "data_quality.min_completeness_fraction", "ERROR"), ({"data_quality": {"negative_demand_severity": "LOUD"}}, "data_quality.negative_demand_severity", "ERROR"),
+        ({"start_detection": {"weight_a": 0.4}}, "start_detection.weight_*", "WARNING"), ({"meters": []}, "meters", "WARNING"), ({"meters": [{}]}, "meters[0]", "ERROR"), ({"meters": [{"meter_id": "A"}] * 2}, "meters[1].meter_id", "ERROR"),
+        ({"meter_groups": [{}]}, "meter_groups[0]", "ERROR"), ({"meter_groups": [{"name": "g"}] * 2}, "meter_groups[1].name", "ERROR"), ({"meter_groups": [{"name": "g", "meters": ["Z"]}]}, "meter_groups[0].meters", "ERROR"),
+        ({"meter_groups": [{"name": "g", "child_groups": ["g"]}]}, "meter_groups[0].child_groups", "ERROR"), ({"meter_groups": [{"name": "g", "child_groups": ["h"]}]}, "meter_groups[0].child_groups", "ERROR"),
+        ({"meter_groups": [{"name": "g", "child_groups": ["h"]}, {"name": "h", "child_groups": ["g"]}]}, "meter_groups", "ERROR"), ({"portfolio": {"excluded_meters": ["Z"]}}, "portfolio.excluded_meters", "ERROR"),
+    ],
+)
+def test_config_findings(cfg, path, severity):
+    assert (severity, path) in {(i.severity, i.path) for i in config.validate(cfg).issues}
+
+
+def test_settings_of_a_file(tmp_path):
+    f = tmp_path / "own.toml"
+    f.write_text('[timezone]\ndefault_tz = "America/Chicago"\n[classification]\nearly_start_before_hour = 5\n[der.load_shape]\nflat_cv_max = 0.2\n[der.calendar.season_map]\n1 = "cold"\n[smoothing]\nwindow = 3\n')
+    with pytest.warns(UserWarning, match="smoothing.window is read by nothing"):
+        cfg = config.load(f)
+    assert cfg["classification"]["early_start_before_hour"] == 5 and cfg["classification"]["long_operation_hours"] == 10.0
+    assert cfg["der"]["load_shape"] == config.DEFAULTS["der"]["load_shape"] | {"flat_cv_max": 0.2} and config.get(cfg, "der", "nothing", default=7) == 7
+    f.write_text("[data_quality]\nmin_completeness_fraction = 3\n")
+    with pytest.raises(config.ConfigError, match="min_completeness_fraction"):
+        config.load(f)
+    with pytest.raises(FileNotFoundError):
+        config.load(tmp_path / "none.toml")
+
+
+def test_configured_run_from_files(spark, tmp_path):
+    """Two meters of different resolution from CSV, a group, the portfolio and temperature; tables as CSV where a path is set."""
+    from gridloom.plans import pipeline
+
+    for name, step, n in (("a", 15, 96), ("b", 60, 24)):
+        rows = "\n".join(f"2024-01-15 {i * step // 60:02}:{i * step % 60:02}:00,{50 + 300 * (8 <= i * step // 60 < 18) + 1000 * (name == 'a' and i == 20)}" for i in range(n))
+        (tmp_path / f"{name}.csv").write_text(f"datetime,demand_kw\n{rows}\n")
+    (tmp_path / "w.csv").write_text("when,f\n2024-01-14 00:00:00,20.5\n2024-01-15 12:00:00,40.0\n")
+    cfg = {
+        "timezone": {"default_tz": "America/Chicago"},
+        "meters": [{"meter_id": "A", "building_id": "B1", "source": str(tmp_path / "a.csv")}, {"meter_id": "B", "source": str(tmp_path / "b.csv")}],
+        "meter_groups": [{"name": "g", "meters": ["A"]}],
+        "der": {"temperature": {"source": str(tmp_path / "w.csv"), "column_mapping": {"timestamp": "when", "temperature_f": "f"}}, "output": {"entity_daily_csv": "out/entity_daily"}},
+        "output": {"daily_features_csv": "out/daily"},
+    }
+    meters, entities_ = pipeline.run_configured(spark, cfg)
+    daily = {r.meter_id: r for r in meters.daily.collect()}
+    assert (daily["A"].resolution_minutes, daily["A"].building_id, daily["B"].resolution_minutes) == (15.0, "B1", 60.0)
+    assert daily["A"].probable_start_time == "2024-01-15T07:45:00-06:00" or daily["A"].probable_start_time.startswith("2024-01-15T0")
+    spike = meters.interval.where("meter_id = 'A' and demand_kw > 1000").first()
+    assert spike.analysis_demand_kw == 50.0
+    frame = entities_.entity_interval.where("entity_id = 'Portfolio'").orderBy("ts_s").collect()
+    assert len(frame) == 96 and frame[0].temperature_f == 40.0 or frame[0].temperature_f == 20.5
+    assert frame[-1].temperature_band == "32-50"
+    assert {r.entity_id: (r.success, r.n_meters) for r in entities_.study_coincidence.collect()} == {"g": (False, 1), "Portfolio": (True, 2)}
+    assert {r.entity_id for r in entities_.daily_coincidence.collect()} == {"Portfolio"}
+    written = pipeline.export_configured(meters, cfg, str(tmp_path)) | pipeline.export_configured(entities_, cfg, str(tmp_path))
+    assert set(written) == {"daily", "entity_daily"} and spark.read.option("header", True).csv(written["daily"]).count() == 2
+
+
+def test_keep_first_needs_an_order(spark):
+    from gridloom.plans import pipeline
+
+    df = spark.createDataFrame([("M", DAY0, 9.0, 1), ("M", DAY0, 2.0, 2), ("M", DAY0 + 900, 3.0, 3), ("M", DAY0 + 1800, 3.0, 4)], "meter_id string, ts_s long, demand_kw double, ingest_seq long")
+    with pytest.raises(ValueError, match="ingest_seq"):
+        pipeline.run_meters(df.drop("ingest_seq"))
+    got = pipeline.run_meters(df).interval.orderBy("ts_s").collect()
+    assert [r.demand_kw for r in got] == [9.0, 3.0, 3.0]
+    both = df.withColumn("local_date", F.lit("2024-01-01").cast("date"))
+    members = spark.createDataFrame([("E", "M")], "entity_id string, meter_id string")
+    assert entities.coincidence(both, members, min_meters=1, order="ingest_seq").first().group_peak_kw == 9.0
+    with pytest.raises(ValueError, match="negative"):
+        pipeline.run_meters(df.withColumn("demand_kw", -F.col("demand_kw")))
+
+
+def test_kwh_needs_a_positive_resolution(spark):
+    df = readings(spark, [1.0, 2.0]).withColumn("resolution_minutes", F.lit(15.0))
+    assert [r.demand_kw for r in grid.convert_units(df, "kWh").orderBy("ts_s").collect()] == [4.0, 8.0]
+    with pytest.raises(Exception, match="more than 0 minutes"):
+        grid.convert_units(df.withColumn("resolution_minutes", F.lit(0.0)), "kWh").collect()
+
+
+def dayed(spark, values, step=900, **options):
+    df = readings(spark, values, step=step, **options).withColumn("local_date", F.to_date(F.timestamp_seconds("ts_s"))).withColumn("is_interpolated", F.lit(False))
+    return grid.smooth(df, window_minutes=60, resolution_minutes=step / 60)
+
+
+def test_normalised_demand_goes_by_the_smoothed_peak(spark):
+    values = [50.0] * 8 + [350.0] * 5 + [900.0] + [350.0] * 4 + [50.0] * 6
+    s = dayed(spark, values, step=HOUR)
+    s = grid.smooth(s.drop("smooth_kw"), window_minutes=180, resolution_minutes=60)
+    n = states.normalize_demand(s, states.baseline(s))
+    top = n.agg(F.max("normalized_demand")).first()[0]
+    assert abs(top - 850 / 300) < 1e-9
+    cfg = config.with_defaults()["peak_detection"]
+    widths = events.peak_events(states.persistence(states.hysteresis(n)), cfg=cfg).where("rank = 1").first()
+    assert (widths.width_70_hours, widths.width_80_hours, widths.width_90_hours, widths.peak_is_interpolated) == (9.0, 9.0, 9.0, False)
+    flat = dayed(spark, [100.0] * 96)
+    f = states.normalize_demand(flat, states.baseline(flat))
+    assert events.peak_events(f, cfg=cfg).count() == 0 and f.where("normalized_demand is not null").count() == 0
+
+
+def test_ramps_within_one_state_are_no_transitions(spark):
+    values = [50.0] * 8 + [300.0, 400.0, 500.0, 500.0, 450.0, 400.0, 500.0] + [500.0] * 4 + [50.0] * 5
+    s = dayed(spark, values, step=HOUR).withColumn("smooth_kw", F.col("demand_kw"))
+    st = states.persistence(states.hysteresis(states.normalize_demand(s, states.baseline(s))))
+    got = events.ramp_events(st, cfg=config.with_defaults()["ramp_detection"]).orderBy("start_s").collect()
+    assert [(r.start_kw, r.end_kw, r.is_operating_transition) for r in got][:2] == [(50.0, 500.0, True), (500.0, 400.0, False)]
+
+
+def test_peak_concentration_and_local_peak_time(spark):
+    from gridloom.operators import features
+
+    values = [100.0] * 40 + [200.0, 400.0, 200.0] + [100.0] * 53
+    got = features.peak_concentration(dayed(spark, values)).first()
+    total = sum(values)
+    assert abs(got.peak_concentration_1hr - 1000 / total) < 1e-12 and abs(got.peak_concentration_2hr - 1400 / total) < 1e-12
+    tz = "America/Chicago"
+    df = readings(spark, [1.0] * 10 + [5.0] + [1.0] * 13, step=HOUR, start=DAY0 + 6 * HOUR).withColumnRenamed("meter_id", "entity_id")
+    assert entities.daily_summary(entities.calendar(df, tz=tz), tz=tz).first().peak_time_minutes == 600
+
+
+def test_autumn_hour_by_order(spark):
+    wall = ["00:30", "01:00", "01:30", "01:00", "01:30", "02:00"]
+    df = spark.createDataFrame([(f"2024-11-03 {t}:00", float(i), i) for i, t in enumerate(wall)], "datetime string, demand_kw double, ingest_seq long")
+    got = project_demand(df, ts="datetime", demand="demand_kw", tz="America/Chicago", seq="ingest_seq").orderBy("ingest_seq").collect()
+    assert [b.ts_s - a.ts_s for a, b in zip(got, got[1:], strict=False)] == [1800] * 5
+
+
+def test_asof_without_a_limit(spark):
+    left = spark.createDataFrame([(DAY0 - 90 * 86400,), (DAY0 + 40 * 86400,), (DAY0 + 400 * 86400,)], "ts_s long")
+    right = spark.createDataFrame([(DAY0, 40.0), (DAY0 + 100 * 86400, 70.0)], "ts_s long, temperature_f double")
+    assert [r.external_temperature_f for r in weather.asof_nearest(left, right).orderBy("ts_s").collect()] == [40.0, 40.0, 70.0]
+
+
+def test_two_parameter_fit_of_constant_x(spark):
+    df = spark.createDataFrame([("E", 2.0, float(y)) for y in (1, 3, 5, 7)], "entity_id string, x double, y double")
+    got = changepoint.fit_2p(df).first()
+    assert got.success and abs(got.params["base"] - 0.8) < 1e-12 and abs(got.params["slope"] - 1.6) < 1e-12 and got.r_squared == 0.0
+
+
+def test_clusters_of_plain_shapes(spark):
+    import numpy as np
+
+    from gridloom.operators import clustering
+
+    rng = np.random.default_rng(1)
+    shapes = [np.r_[np.ones(8), 9 * np.ones(8), np.ones(8)], np.r_[9 * np.ones(8), np.ones(16)], np.r_[np.ones(16), 9 * np.ones(8)]]
+    rows = [("E", "absolute", f"2024-01-{i + 1:02}", (shapes[i % 3] + rng.normal(0, 0.1, 24)).tolist()) for i in range(18)] + [("F", "absolute", f"2024-01-0{i}", [float(i)] * 24) for i in (1, 2, 3)] + [("G", "absolute", "2024-01-01", [1.0] * 24)]
+    m = spark.createDataFrame(rows, "entity_id string, profile_kind string, local_date string, profile array<double>").withColumn("local_date", F.to_date("local_date"))
+    c = clustering.cluster_profiles(m).cache()
+    got = {r.entity_id: r for r in c.collect()}
+    assert [x.cluster_id for x in got["E"].labels] == [i % 3 for i in range(18)] and got["E"].k == 3 and [s.k for s in got["E"].scores] == list(range(2, 9))
+    assert (got["F"].k, got["F"].success, len(got["F"].scores), got["G"].success) == (1, True, 0, False)
+    x, label = np.array([r[3] for r in rows[:18]]), np.array([i % 3 for i in range(18)])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    plain = []
+    for i in range(18):
+        a = d[i][(label == label[i]) & (np.arange(18) != i)].mean()
+        b = min(d[i][label == k].mean() for k in range(3) if k != label[i])
+        plain.append((b - a) / max(a, b))
+    assert abs(got["E"].scores[1].silhouette - np.mean(plain)) < 1e-9 and abs(clustering.silhouette(x, label, block=5) - np.mean(plain)) < 1e-9
+    stats = {(r.entity_id, r.cluster_id): r for r in clustering.cluster_stats(c, m).collect()}
+    assert stats["E", 0].cluster_size == 6 and abs(stats["E", 0].percentage_of_days - 100 / 3) < 1e-9 and abs(stats["E", 0].representative_peak - x[label == 0].mean(0).max()) < 1e-9
+
+
 def test_projection_and_spring_gap(spark):
     with pytest.raises(ValueError, match="missing"):
         project_demand(spark.range(1), ts="t", demand="d")
@@ -159,18 +325,21 @@ def test_dst_days_have_92_and_100_intervals(spark):
         assert got["count"] == n
 
 
-def test_kmeans_queries_cluster_all_entities_by_both_profiles(spark, monkeypatch):
-    from gridloom.operators import clustering
+def test_kmeans_queries_cluster_all_entities_by_both_profiles(spark):
     from gridloom.plans import queries
 
-    asked = []
-
-    def instead(matrix, **options):
-        asked.append((options, matrix.agg(F.max(F.array_max("profile"))).first()[0]))
-        return clustering.Clusters(True, 1, matrix.withColumn("cluster_id", F.lit(0)))
-
-    monkeypatch.setattr(clustering, "cluster_profiles", instead)
     got = queries.QUERIES["select_k"](spark, "/root/testdata/sf0.01").collect()
     want = {(e, kind) for e in ("all", "interest", "sales") for kind in ("absolute", "normalized")}
-    assert {(r.entity_id, r.profile_kind) for r in got} == want
-    assert all(options == {} for options, _ in asked) and [round(top, 9) for _, top in asked[3:]] == [1.0] * 3
+    assert {(r.entity_id, r.profile_kind) for r in got} == want and {r.k for r in got} == set(range(2, 9))
+
+
+def test_refreshed_days(spark, tmp_path):
+    """A stream of readings: each batch hands on all readings of the days that it touches."""
+    from gridloom.streaming.refresh import refresh_days
+
+    schema, source, out = "meter_id string, ts_s long, demand_kw double", str(tmp_path / "in"), []
+    for i, rows in enumerate(([("M", DAY0, 1.0), ("M", DAY0 + 900, 2.0)], [("M", DAY0 + 1800, 3.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        refresh_days(stream, str(tmp_path / "store"), lambda df, _: out.append(sorted(r.demand_kw for r in df.collect())), checkpoint=str(tmp_path / "checkpoint")).awaitTermination()
+    assert [x for x in out if x][0] == [1.0, 2.0] and [1.0, 2.0, 3.0] in out
