@@ -1,14 +1,16 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative per group.
 
-Every vector has its nearest centre's cell as home. A partner at an angle of at most a = acos(threshold) may live in
-another cell only if the plane between the two centres is within a of the vector; so a vector is also sent, as a guest,
-to each cell with x.(c - c') <= sin(a) |c - c'|. Each home then sees all partners of its vectors: no link is lost
+Only vectors of one label and length can link, so each label and length has cells of its own: one for every ``per_cell``
+vectors. Every vector has its nearest centre's cell as home. A partner at an angle of at most a = acos(threshold) may
+live in another cell only if the plane between the two centres is within a of the vector; so a vector is also sent, as a
+guest, to each cell with x.(c - c') <= sin(a) |c - c'|. Each home then sees all partners of its vectors: no link is lost
 (recall is 1 by the bound), and each vector's links are counted in its own home only. How many guests there are depends
-on how well the data cluster.
+on how well the data cluster; labels of one cell have none.
 
 Vectors of one label with equal components are one class with a weight. Homes and guests of a large cell are dealt into
-blocks; pairs of blocks are compared as matrix products, from which only counts and the edges of a spanning forest come
-out, never the pairs.
+blocks; pairs of blocks are compared as matrix products, of vectors in order of their angle to the centre: partners have
+angles that differ by at most a, so the product of a run of vectors spans only those near it. Only counts and the edges
+of a spanning forest come out, never the pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from .common import join_counted, materialize, table
 from .components import components, roots
 
 THRESHOLD = 0.93
-#: The centres are fitted on this many classes at most, by hash; all vectors are then assigned.
+#: The centres of all labels are fitted on about this many classes, by hash; all vectors are then assigned.
 SAMPLE = 8192
+#: Vectors for which a label gets one cell; and the cells of all labels that the driver fits and sends along at most.
+#: Beyond that cells get larger and cost more, with the same result.
 PER_CELL, MAX_CELLS = 4096, 4096
 BLOCK = 2048
 
@@ -75,21 +79,11 @@ def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, per_cell: in
     kind = np.float64 if double else np.float32
     rows = vectors.select("vec_id", "label", e.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("ok"))
     keys = ["label", "dim", "k1", "k2"]
-    rows = rows.withColumn("dim", F.size("embedding")).withColumn("k1", F.xxhash64(F.lit(1), "embedding")).withColumn("k2", F.xxhash64("embedding", F.lit(2)))
+    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("dim", F.size("embedding")).withColumn("k1", F.xxhash64(F.lit(1), "embedding")).withColumn("k2", F.xxhash64("embedding", F.lit(2)))
     good = rows.where("ok")
     classes = materialize(good.groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "vec-classes")
-    total = classes.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").limit(1).collect()
-    empty = "id long, links long, root long"
-    if not total:
-        links = vectors.sparkSession.createDataFrame([], empty)
-    else:
-        dim, n = total[0]["dim"], total[0]["count"]
-        some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow().column(0)
-        x = np.array(some.to_pylist(), np.float64)
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        centers = spherical_kmeans(x, int(min(MAX_CELLS, -(-n // per_cell), len(x))))
-        links = _compare(classes, centers, dim, kind, threshold, block)
+    centers = _centers(classes, per_cell, sample)
+    links = _compare(classes, centers, kind, threshold, block)
     links = materialize(links, "vec-links")
     found = links.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -101,45 +95,77 @@ def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, per_cell: in
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _compare(classes: DataFrame, centers: np.ndarray, dim: int, kind: type, threshold: float, block: int) -> DataFrame:
+def _centers(classes: DataFrame, per_cell: int, sample: int) -> dict[tuple[str, int], np.ndarray]:
+    """Centres by (label, length), for those with more vectors than one cell takes; MAX_CELLS of them at most."""
+    counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_cell)
+    big = counts.orderBy(F.desc("n"), "label", "dim").limit(MAX_CELLS).collect()
+    if not big:
+        return {}
+    cells = {(r["label"], r["dim"]): -(-r["n"] // per_cell) for r in big}
+    scale = min(1.0, MAX_CELLS / sum(cells.values()))
+    share = min(1.0, sample / sum(r["n"] for r in big))
+    # A row for each of these labels, MAX_CELLS at most.
+    wanted = F.broadcast(classes.sparkSession.createDataFrame(list(cells), "label string, dim int"))
+    some = classes.join(wanted, ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(2 * sample).select("label", "dim", "embedding").toArrow().to_pylist()
+    by: dict[tuple[str, int], list] = {}
+    for r in rows:
+        by.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
+    out = {}
+    for key, vectors in by.items():
+        x = np.array(vectors, np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        if (k := min(len(x), int(cells[key] * scale))) > 1:
+            out[key] = spherical_kmeans(x, k)
+    return out
+
+
+def _compare(classes: DataFrame, centers: dict[tuple[str, int], np.ndarray], kind: type, threshold: float, block: int) -> DataFrame:
     sine = float(np.sqrt(max(0.0, 1 - threshold**2))) + 1e-9
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T))
+    widest = float(np.arccos(min(1.0, threshold))) + 1e-6
+    apart = {key: np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T)) for key, c in centers.items()}
+    types = {"label": pa.string(), "dim": pa.int32(), "cell": pa.int32(), "home": pa.bool_(), "angle": pa.float64(), "id": pa.int64(), "weight": pa.int64(), "v": pa.binary()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 d = b.slice(at, 2048).to_pydict()
                 blobs = [np.array(v, kind).tobytes() for v in d["embedding"]]
-                out: dict[str, list] = {k: [] for k in ("label", "dim", "cell", "home", "id", "weight", "v")}
-                own = [i for i, n in enumerate(d["dim"]) if n == dim]
-                cells: list[list[tuple[int, bool]]] = [[(0, True)] for _ in blobs]
-                if own:
-                    dots = _unit([blobs[i] for i in own], kind) @ centers.T
+                cells: list[list[tuple[int, bool, float]]] = [[(0, True, 0.0)] for _ in blobs]
+                own: dict[tuple[str, int], list[int]] = {}
+                for i, key in enumerate(zip(d["label"], d["dim"], strict=True)):
+                    if key in centers:
+                        own.setdefault(key, []).append(i)
+                for key, rows in own.items():
+                    dots = _unit([blobs[i] for i in rows], kind) @ centers[key].T
                     home = dots.argmax(1)
-                    near = dots.max(1)[:, None] - dots <= sine * apart[home]
-                    for i, h, cs in zip(own, home, near, strict=True):
-                        cells[i] = [(int(c), c == h) for c in np.flatnonzero(cs)]
+                    near = dots.max(1)[:, None] - dots <= sine * apart[key][home]
+                    angle = np.arccos(np.clip(dots, -1, 1))
+                    for n, i in enumerate(rows):
+                        cells[i] = [(int(c), bool(c == home[n]), float(angle[n, c])) for c in np.flatnonzero(near[n])]
+                out: dict[str, list] = {k: [] for k in types}
                 for i, cs in enumerate(cells):
-                    for c, at_home in cs:
-                        for k, v in (("label", d["label"][i]), ("dim", d["dim"][i]), ("cell", c), ("home", bool(at_home)), ("id", d["id"][i]), ("weight", d["weight"][i]), ("v", blobs[i])):
+                    for c, at_home, angle in cs:
+                        for k, v in zip(types, (d["label"][i], d["dim"][i], c, at_home, angle, d["id"][i], d["weight"][i], blobs[i]), strict=True):
                             out[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, (label_type, pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], names=list(types))
 
-    label = dict(classes.dtypes)["label"]
-    label_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}[label]
-    sent = materialize(classes.select("label", "dim", "id", "weight", "embedding").mapInArrow(assign, f"label {label}, dim int, cell int, home boolean, id long, weight long, v binary"), "vec-cells")
+    shape = "label string, dim int, cell int, home boolean, angle double, id long, weight long, v binary"
+    sent = materialize(classes.select("label", "dim", "id", "weight", "embedding").mapInArrow(assign, shape), "vec-cells")
     cell = ["label", "dim", "cell"]
     sizes = sent.groupBy(*cell).agg(F.ceil(F.count_if("home") / block).cast("int").alias("nq"), F.ceil(F.count("*") / block).cast("int").alias("nt"), F.count("*").alias("rows")).where("nq > 0")
     placed = join_counted(sent, sizes, cell, "rows", sent.count(), "id")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = placed.where("home").select(*cell, part("nq").alias("q"), every("nt").alias("t"), F.lit(True).alias("ask"), "id", "weight", "v")
-    answer = placed.select(*cell, every("nq").alias("q"), part("nt").alias("t"), F.lit(False).alias("ask"), "id", "weight", "v")
+    ask = placed.where("home").select(*cell, part("nq").alias("q"), every("nt").alias("t"), F.lit(True).alias("ask"), "angle", "id", "weight", "v")
+    answer = placed.select(*cell, every("nq").alias("q"), part("nt").alias("t"), F.lit(False).alias("ask"), "angle", "id", "weight", "v")
 
     def compare(t: pa.Table) -> pa.Table:
         ask = np.array(t["ask"].to_pylist(), bool)
-        ids, weight, v = np.array(t["id"]), np.array(t["weight"]), t["v"].to_pylist()
+        ids, weight, v, angle = np.array(t["id"]), np.array(t["weight"]), t["v"].to_pylist(), np.array(t["angle"])
         qi, ti = np.flatnonzero(ask), np.flatnonzero(~ask)
+        qi, ti = qi[np.argsort(angle[qi], kind="stable")], ti[np.argsort(angle[ti], kind="stable")]
         none = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not len(qi) or not len(ti):
             return none
@@ -148,8 +174,9 @@ def _compare(classes: DataFrame, centers: np.ndarray, dim: int, kind: type, thre
         links, left, right = np.zeros(len(all_ids), np.int64), [], []
         for k in range(0, len(qi), 256):
             some = qi[k : k + 256]
-            a, b = np.nonzero(_unit([v[i] for i in some], kind) @ target.T >= threshold)
-            a, b = some[a], ti[b]
+            low, high = np.searchsorted(angle[ti], [angle[some[0]] - widest, angle[some[-1]] + widest])
+            a, b = np.nonzero(_unit([v[i] for i in some], kind) @ target[low:high].T >= threshold)
+            a, b = some[a], ti[low:high][b]
             other = ids[a] != ids[b]
             a, b = a[other], b[other]
             np.add.at(links, at[a], weight[b])

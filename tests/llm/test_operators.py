@@ -309,8 +309,19 @@ def test_embeddings(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (n, ids[r], ids[r] == i)
     assert all(got[i].n_links == 0 and got[i].kept for i in range(2000, 2005))
     assert embeddings.near_dedup(df.where("false")).count() == 0
+    named = embeddings.near_dedup(df.withColumn("label", F.col("label").cast("double")), per_cell=60, block=50).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in named} == {(r.vec_id, r.n_links, r.component_id) for r in got.values()}
 
 
+def test_labels_of_one_cell_have_no_guests(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist(), 0 if i < 500 else 1 + i % 6, 1) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label int, weight long").withColumns({"label": F.col("label").cast("string"), "dim": F.size("embedding")})
+    centers = embeddings._centers(df, 200, 1000)
+    assert {k: len(c) for k, c in centers.items()} == {("0", 8): 3}
+
 def test_mixing(spark, docs, odd, empty):
     got = mixing.mix(docs).collect()
     sizes = {i: len(WORDS.findall(t)) for i, t in texts_of(docs).items()}
