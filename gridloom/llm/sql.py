@@ -109,7 +109,7 @@ rep AS (SELECT id, sum(least({_W}, coalesce(nx - i, {_W})))::BIGINT AS n FROM (S
 b AS (SELECT id, doc_id, lang, len(w)::BIGINT AS n_words, length(t)::BIGINT AS n_chars, (length(t) - {_class(WS)})::BIGINT AS word_chars, {_class(r"#*$%&|<>")}::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
   [{_class(r"\p{Lu}")}, {_class("0-9")}, {_class(r".,;:!?'" + chr(34) + r"()\-")}, {_class(r"#*$%&|<>")}, {_class(WS)},
-    len(list_filter(string_split(t, ''), lambda x: NOT regexp_matches(x, {_quoted(_KNOWN)})))] AS k FROM w LEFT JOIN rep USING (id)),
+    len(list_filter(string_split(t, ''), lambda x: x <> '' AND NOT regexp_matches(x, {_quoted(_KNOWN)})))] AS k FROM w LEFT JOIN rep USING (id)),
 wc AS (SELECT id, lower(x) AS x, count(*) AS n FROM (SELECT id, unnest(w) AS x FROM w) WHERE lower(x) IN ({_EVERY}) GROUP BY ALL),
 lists(lang, i, x) AS {_COMMON},
 listed AS (SELECT b.id, b.lang, 'word' AS kind, lists.i, coalesce(wc.n, 0)::DOUBLE AS c FROM b JOIN lists USING (lang) LEFT JOIN wc ON wc.id = b.id AND wc.x = lists.x),
