@@ -184,11 +184,11 @@ def test_configured_run_from_files(spark, tmp_path):
     meters, entities_ = pipeline.run_configured(spark, cfg)
     daily = {r.meter_id: r for r in meters.daily.collect()}
     assert (daily["A"].resolution_minutes, daily["A"].building_id, daily["B"].resolution_minutes) == (15.0, "B1", 60.0)
-    assert daily["A"].probable_start_time == "2024-01-15T07:45:00-06:00" or daily["A"].probable_start_time.startswith("2024-01-15T0")
+    assert daily["A"].probable_start_time.startswith("2024-01-15T0") and daily["A"].probable_start_time.endswith("-06:00")
     spike = meters.interval.where("meter_id = 'A' and demand_kw > 1000").first()
     assert spike.analysis_demand_kw == 50.0
     frame = entities_.entity_interval.where("entity_id = 'Portfolio'").orderBy("ts_s").collect()
-    assert len(frame) == 96 and frame[0].temperature_f == 40.0 or frame[0].temperature_f == 20.5
+    assert len(frame) == 96 and frame[0].temperature_f == 40.0
     assert frame[-1].temperature_band == "32-50"
     assert {r.entity_id: (r.success, r.n_meters) for r in entities_.study_coincidence.collect()} == {"g": (False, 1), "Portfolio": (True, 2)}
     assert {r.entity_id for r in entities_.daily_coincidence.collect()} == {"Portfolio"}
