@@ -38,11 +38,14 @@ def _count(text: Column, inside: str) -> Column:
 def stats(docs: DataFrame, *, id_col: str, text: str, lang: str) -> DataFrame:
     t = F.coalesce(F.col("t"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t")).select("doc_id", "lang", t.alias("t"))
-    symbol, space = _count(F.col("t"), r"#*$%&|<>"), _count(F.col("t"), WS)
+    # a to z, most of a text, go first and white space next, so that the other classes are counted in the little that is left.
+    d = d.withColumn("marks", F.regexp_replace("t", "[a-z]+", "")).withColumn("rest", F.regexp_replace("marks", f"[{WS}]+", ""))
+    rest = F.col("rest")
     d = d.select(
         "doc_id", "lang",
-        F.length("t").alias("n_chars"), space.alias("space"), symbol.alias("symbol"), _count(F.col("t"), r"\p{Lu}").alias("upper"), _count(F.col("t"), "0-9").alias("digit"),
-        _count(F.col("t"), r".,;:!?'\"()\-").alias("punct"), F.length(F.regexp_replace("t", rf"[\p{{Ll}}\p{{Lu}}0-9.,;:!?'\"()\-#*$%&|<>{WS}]+", "")).alias("other"),
+        F.length("t").alias("n_chars"), (F.length("marks") - F.length("rest")).alias("space"), _count(rest, r"#*$%&|<>").alias("symbol"), _count(rest, r"\p{Lu}").alias("upper"),
+        _count(rest, "0-9").alias("digit"), _count(rest, r".,;:!?'\"()\-").alias("punct"),
+        F.length(F.regexp_replace("rest", r"[\p{Ll}\p{Lu}0-9.,;:!?'\"()\-#*$%&|<>]+", "")).alias("other"),
         F.filter(F.split("t", rf"[{WS}]+"), lambda w: w != "").alias("words"),
         F.filter(F.split("t", "\n", -1), lambda x: F.rlike(x, F.lit(rf"[^{WS}]"))).alias("lines"),
     )
