@@ -55,8 +55,13 @@ def stats(docs: DataFrame, *, id_col: str, text: str, lang: str) -> DataFrame:
     h = F.transform("words", lambda w: F.xxhash64(w))
     d = d.withColumn("h", h).withColumn("common", F.filter(F.transform("words", F.lower), lambda w: w.isin(every)))
     n = F.size("words")
-    grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(WINDOW)])))
-    d = d.withColumn("grams", F.coalesce(grams, F.array().cast("array<bigint>")))
+    # Hashes of 2, 4 and 8 words, each of two of the step before; those that would reach past the end are cut off.
+    grams, span = F.col("h"), 1
+    while span < WINDOW:
+        grams, span = F.zip_with(grams, F.slice(grams, span + 1, n), lambda a, b: F.xxhash64(a, b)), 2 * span
+        d = d.withColumn(f"h{span}", grams)
+        grams = F.col(f"h{span}")
+    d = d.withColumn("grams", F.slice(grams, 1, F.greatest(F.lit(0), n - WINDOW + 1)))
     hist = F.transform(F.coalesce(F.try_element_at(by_lang, F.col("lang")), F.array().cast("array<string>")), lambda w: F.size(F.filter("common", lambda x: x == w)))
     return d.select(
         "doc_id", "lang", n.cast("long").alias("n_words"), (F.col("n_chars") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"),
@@ -66,13 +71,20 @@ def stats(docs: DataFrame, *, id_col: str, text: str, lang: str) -> DataFrame:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repeated(grams: Column) -> Column:
     """Words under windows whose hash occurs twice or more; linear steps after one sort."""
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    after = lambda xs: F.slice(xs, 2, F.greatest(F.size(xs), F.lit(1)))
     # Each window as an array of at most two: whether the next equal one follows, told to both.
-    twin = F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(grams), F.lit(1))), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    at = F.array_sort(F.array_distinct(F.flatten(twin)))
-    return F.aggregate(F.zip_with(at, F.slice(at, 2, F.greatest(F.size(grams), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
+    twin = lambda xs: F.zip_with(xs, after(xs), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+    steps = lambda at: F.zip_with(at, after(at), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    at = _let(placed, lambda xs: F.sort_array(F.array_distinct(F.flatten(twin(xs)))))
+    return _let(at, lambda xs: F.aggregate(steps(xs), F.lit(0), lambda s, x: s + x))
 
 
 def js_distance(p: Column, q: Column) -> Column:
