@@ -23,6 +23,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -254,6 +255,12 @@ class Decoder:
         return self.bytes.decode(b"", True)
 
 
+@lru_cache(maxsize=2)
+def codec_of(model: str) -> Codec:
+    """One codec, with its memo, for all tasks that a Python worker runs."""
+    return Codec(model)
+
+
 def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256 (of the text that the ids stand for, words
     followed by a space), and ids where ``keep_ids``.
@@ -264,10 +271,9 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
     ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept: dict[str, Codec] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept.get("codec") or kept.setdefault("codec", Codec(shared.value))
+        codec = codec_of(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
