@@ -15,6 +15,11 @@ follows from two prefix sums; equal names meet in one bucket and are sorted ther
 Copies of whole documents are set aside first. What a task holds is one bucket of names; names within one piece of the
 input that repeat in it are settled there, so that a passage in a third of all documents reaches its bucket once a
 piece. Bytes to remove come back as merged intervals.
+
+A name may also begin many different runs (32 bytes that a third of all documents have, each in other surroundings).
+Where one piece holds more than HOT_RUNS different runs of a name, they go round the bucket of that name, which learns
+only that the name is hot and lets its own runs pass too. The 100-byte strings of all runs of hot names are named by 128
+bits and dealt by these, not by the run's name. Step 2 only spares step 3 work, so the threshold affects cost alone.
 """
 
 from __future__ import annotations
@@ -34,7 +39,13 @@ LENGTH = 100
 SEED = 32
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0xA0761D6478BD642F
+#: Another code for each byte, for a second name of strings that are compared by names alone.
+OTHER_BYTES = mix(BYTES ^ np.uint64(0xD6E8FEB86659FD93))
 PIECE = 2 << 20
+#: Different runs of one name in one piece (of about 60,000 runs) beyond which the name is hot.
+HOT_RUNS = 32
+#: Runs of hot names that are cut into strings at once (168 bytes each at most).
+HOT_BATCH = 8_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -48,10 +59,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def prefix_sums(buffer: np.ndarray) -> np.ndarray:
+def prefix_sums(buffer: np.ndarray, codes: np.ndarray = BYTES) -> np.ndarray:
     up, _ = _power(len(buffer) + 1)
     out = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(BYTES[buffer] * up[:-1], out=out[1:])
+    np.cumsum(codes[buffer] * up[:-1], out=out[1:])
     return out
 
 
@@ -105,8 +116,21 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _batches(cols: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    yield from pa.table(cols).to_batches(max_chunksize=20_000)
+def _starts(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs laid end to end, every string in them: its run, its start within the run, its place in the buffer."""
+    many = size - length + 1
+    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(np.arange(len(size)), many), inner, np.repeat(np.cumsum(size) - size, many) + inner
+
+
+def _intervals(doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    """Strings as intervals of their documents; strings that begin one byte after another make one interval."""
+    order = np.lexsort((start, doc))
+    d, s = doc[order], start[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
+    first = np.flatnonzero(new)
+    return [d[first], s[first], s[np.append(first[1:], len(d))[: len(first)] - 1] + length]
 
 
 def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
@@ -126,67 +150,115 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
                 own, lo, hi = ids[at + doc], lo - first, hi - first
                 # Runs that repeat in this piece are settled here.
                 order, new = _first_of(name, run, own, lo)
-                bucket = np.where(new, (name[order] % np.uint64(buckets)).astype(np.int64), -1 - own[order] % buckets)
-                for i in np.unique(bucket):
-                    take = order[bucket == i] if i < 0 else None
-                    if take is not None:
-                        yield _row(i, name[take], run[take], own[take], lo[take], hi[take])
-                keep = np.flatnonzero(new)
-                by = keep[np.argsort(bucket[keep], kind="stable")]
-                cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                for i in range(buckets):
-                    if cut[i] < cut[i + 1]:
-                        take = order[by[cut[i] : cut[i + 1]]]
-                        yield _row(i, name[take], run[take], own[take], lo[take], hi[take])
-
-    def _row(bucket: int, name: np.ndarray, run: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+                begun, different = np.unique(name[order[new]], return_counts=True)
+                hot = begun[different > HOT_RUNS]
+                aside = own[order] % buckets
+                bucket = np.where(new, (name[order] % np.uint64(buckets)).astype(np.int64), -1 - aside)
+                bucket = np.where(new & np.isin(name[order], hot), -1 - buckets - aside, bucket)
+                by = np.argsort(bucket, kind="stable")
+                tell = (hot % np.uint64(buckets)).astype(np.int64)
+                which = np.union1d(bucket, tell)
+                cut = np.searchsorted(bucket[by], np.append(which, buckets))
+                for i, x, y in zip(which.tolist(), cut[:-1], cut[1:], strict=True):
+                    take = order[by[x:y]]
+                    yield _row(i, name[take], run[take], own[take], lo[take], hi[take], hot[tell == i])
+
+    def _row(bucket: int, name: np.ndarray, run: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
         if bucket < 0:
             name, run = name[:0], run[:0]
-        blobs = [name.tobytes(), run.tobytes(), own.tobytes(), lo.astype(np.uint32).tobytes(), (hi - lo).astype(np.uint8).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["bucket", "name", "run", "own", "lo", "more"])
+        blobs = [name.tobytes(), run.tobytes(), own.tobytes(), lo.astype(np.uint32).tobytes(), (hi - lo).astype(np.uint8).tobytes(), hot.tobytes()]
+        columns = ["bucket", "name", "run", "own", "lo", "more", "hot"]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=columns)
 
     def settle(t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
         own, lo, more = read("own", np.int64), read("lo", np.uint32).astype(np.int64), read("more", np.uint8).astype(np.int64)
-        if t["bucket"][0].as_py() < 0:
-            return pa.table({"id": own, "lo": lo, "hi": lo + more, "name": np.zeros(len(own), np.int64), "again": np.ones(len(own), bool)})
+        bucket = t["bucket"][0].as_py()
+        if bucket < 0:
+            again = np.full(len(own), bucket >= -buckets)
+            return pa.table({"id": own, "lo": lo, "hi": lo + more, "name": np.zeros(len(own), np.int64), "again": again, "hot": ~again})
         name, run = read("name", np.uint64), read("run", np.uint64)
         order, new = _first_of(name, run, own, lo)
         sorted_name = name[order]
+        hot = np.isin(sorted_name, read("hot", np.uint64))
         kinds = np.unique(sorted_name[new], return_counts=True)
-        cut = new & np.isin(sorted_name, kinds[0][kinds[1] > 1])
+        cut = new & (hot | np.isin(sorted_name, kinds[0][kinds[1] > 1]))
         take = np.flatnonzero(~new | cut)
         at = order[take]
-        return pa.table({"id": own[at], "lo": lo[at], "hi": lo[at] + more[at], "name": name[at].astype(np.int64), "again": ~new[take]})
+        cols = {"id": own[at], "lo": lo[at], "hi": lo[at] + more[at], "name": name[at].astype(np.int64)}
+        return pa.table({**cols, "again": ~new[take], "hot": hot[take]})
 
-    shape = "bucket int, name binary, run binary, own binary, lo binary, more binary"
-    settled = materialize(docs.mapInArrow(deal, shape).groupBy("bucket").applyInArrow(settle, "id long, lo long, hi long, name long, again boolean"), "substring-runs")
+    shape = "bucket int, name binary, run binary, own binary, lo binary, more binary, hot binary"
+    dealt = docs.mapInArrow(deal, shape).groupBy("bucket")
+    settled = materialize(dealt.applyInArrow(settle, "id long, lo long, hi long, name long, again boolean, hot boolean"), "substring-runs")
     whole = settled.where("again").select("id", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    ask = settled.where("not again").groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "name")).alias("runs"))
+    ask = settled.where("not again").groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "name", "hot")).alias("runs"))
     ids = ask.select("id")
     n = ids.count()
     some = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), "id", "left_semi")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[tuple[int, int, bytes]] = []
         for b in batches:
             out: dict[str, list] = {"bucket": [], "name": [], "id": [], "lo": [], "bytes": []}
             for i, t, rs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = t.as_py().encode()
                 for r in rs:
+                    string = raw[r["lo"] : r["hi"] + length]
+                    if r["hot"]:
+                        hot.append((i, r["lo"], string))
+                        if len(hot) >= HOT_BATCH:
+                            yield from strings_of(hot)
+                            hot = []
+                        continue
                     out["bucket"].append(r["name"] % buckets)
                     out["name"].append(r["name"])
                     out["id"].append(i)
                     out["lo"].append(r["lo"])
-                    out["bytes"].append(raw[r["lo"] : r["hi"] + length])
+                    out["bytes"].append(string)
                 if len(out["id"]) > 20_000:
                     yield pa.RecordBatch.from_pydict(out, schema=cut_schema)
                     out = {k: [] for k in out}
             if out["id"]:
                 yield pa.RecordBatch.from_pydict(out, schema=cut_schema)
+        if hot:
+            yield from strings_of(hot)
+
+    def strings_of(hot: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        """The strings of runs of hot names, as (two names, id, start) in one blob for each bucket; those that repeat
+        among these runs are settled here."""
+        own, lo = np.array([x[0] for x in hot], np.int64), np.array([x[1] for x in hot], np.int64)
+        size = np.array([len(x[2]) for x in hot])
+        buffer = np.frombuffer(b"".join([x[2] for x in hot]), np.uint8)
+        of, inner, place = _starts(size, length)
+        code, other = (names(prefix_sums(buffer, codes), place, place + length) for codes in (BYTES, OTHER_BYTES))
+        doc, start = own[of], lo[of] + inner
+        order, new = _first_of(code, other, doc, start)
+        packed = np.stack([code, other, doc.view(np.uint64), start.view(np.uint64)], 1)[order]
+        bucket = np.where(new, buckets + (code[order] % np.uint64(buckets)).astype(np.int64), -1 - doc[order] % buckets)
+        by = np.argsort(bucket, kind="stable")
+        which, first = np.unique(bucket[by], return_index=True)
+        for i, x, y in zip(which.tolist(), first, np.append(first[1:], len(by)), strict=True):
+            row = {"bucket": [i], "name": [0], "id": [0], "lo": [0], "bytes": [packed[by[x:y]].tobytes()]}
+            yield pa.RecordBatch.from_pydict(row, schema=cut_schema)
 
     cut_schema = pa.schema([("bucket", pa.int32()), ("name", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
 
     def compare(t: pa.Table) -> pa.Table:
+        bucket = t["bucket"][0].as_py()
+        found = same_names(t, bucket) if bucket < 0 or bucket >= buckets else same_runs(t)
+        d, a, b = (np.concatenate(x) for x in zip([np.zeros(0, np.int64)] * 3, *found, strict=True))
+        return pa.table({"id": d, "a": a, "b": b})
+
+    def same_names(t: pa.Table, bucket: int) -> list[list[np.ndarray]]:
+        packed = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint64).reshape(-1, 4)
+        code, other, doc, start = packed[:, 0], packed[:, 1], packed[:, 2].astype(np.int64), packed[:, 3].astype(np.int64)
+        if bucket >= 0:
+            order, new = _first_of(code, other, doc, start)
+            doc, start = doc[order[~new]], start[order[~new]]
+        return [_intervals(doc, start, length)]
+
+    def same_runs(t: pa.Table) -> list[list[np.ndarray]]:
         name, own, lo = np.array(t["name"], np.int64), np.array(t["id"], np.int64), np.array(t["lo"], np.int64)
         blobs = t["bytes"].to_pylist()
         size = np.array([len(x) for x in blobs])
@@ -202,22 +274,12 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             rows = order[edge[at] : edge[stop]]
             at = stop
             buffer = np.frombuffer(b"".join([blobs[i] for i in rows]), np.uint8)
-            begin = np.cumsum(size[rows]) - size[rows]
-            many = size[rows] - length + 1
-            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            place = np.repeat(begin, many) + inner
-            code = names(prefix_sums(buffer), place, place + length)
-            doc, start = np.repeat(own[rows], many), np.repeat(lo[rows], many) + inner
-            by, new = _first_of(code, doc, start)
+            of, inner, place = _starts(size[rows], length)
+            doc, start = own[rows][of], lo[rows][of] + inner
+            by, new = _first_of(names(prefix_sums(buffer), place, place + length), doc, start)
             again = by[~new]
-            again = again[np.lexsort((start[again], doc[again]))]
-            d, s = doc[again], start[again]
-            if len(d):
-                run = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))))
-                parts.append([d[run], s[run], s[np.append(run[1:], len(d)) - 1] + length])
-        none = [np.zeros(0, np.int64)] * 3
-        d, a, b = (np.concatenate(x) for x in zip(none, *parts, strict=True))
-        return pa.table({"id": d, "a": a, "b": b})
+            parts.append(_intervals(doc[again], start[again], length))
+        return parts
 
     strings = some.join(ask, "id").select("id", "text", "runs").mapInArrow(cut_out, "bucket int, name long, id long, lo long, bytes binary")
     found = strings.groupBy("bucket").applyInArrow(compare, "id long, a long, b long")

@@ -530,6 +530,25 @@ def test_substrings(spark, docs, odd, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_hot_names(spark):
+    """The same 40 bytes in many surroundings, some of which meet in other pieces: hot in one piece, rare in another."""
+    rng = random.Random(9)
+    common = "The quick brown fox jumps over lazy dogs"
+    some = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(12)]
+    rows = []
+    for i in range(500):
+        before = rng.choice(some)[rng.randint(0, 60) :] if rng.random() < 0.5 else "".join(rng.choice("ijklmnop") for _ in range(100))
+        after = rng.choice(some)[: rng.randint(20, 120)] if rng.random() < 0.5 else "".join(rng.choice("qrstuvwx") for _ in range(100))
+        rows.append((i, before + common + after + (common + before if i % 7 == 0 else "")))
+    rng.shuffle(rows)
+    shape = "doc_id long, text string"
+    most, few, none = rows[:450], rows[450:495], rows[495:]
+    df = spark.createDataFrame(most, shape).coalesce(1).unionByName(spark.createDataFrame(few, shape).repartition(9)).unionByName(spark.createDataFrame(none, shape))
+    hot = substrings.remove_repeats(df)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in hot.collect()}
+    assert got == removed(dict(rows))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
