@@ -161,7 +161,9 @@ class Codec:
         letters, numbers = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
         self.plain = re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers)).findall
         self.wide = re.compile("[^\x00-\u024f]").search
-        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.rules.special, key=len, reverse=True))) + ")").split
+        self.specials = re.compile(
+            "(" + "|".join(map(re.escape, sorted(self.rules.special, key=len, reverse=True))) + ")"
+        ).split
         self.mark = commonprefix([*self.rules.special])
         self.ids = Memo(self.learn_ids)
         self.raw = {i: t.encode() if t in self.rules.special else self.spell(t) for i, t in self.rules.surface.items()}
@@ -261,7 +263,9 @@ def codec_of(model: str) -> Codec:
     return Codec(model)
 
 
-def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model: str, *, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False
+) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256 (of the text that the ids stand for, words
     followed by a space), and ids where ``keep_ids``.
 
@@ -278,7 +282,10 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 ids: list[list[int]] = [[] for _ in range(part.num_rows)]
-                got = [codec.digest(t or "", i if keep_ids else None) for t, i in zip(part.column(1).to_pylist(), ids, strict=True)]
+                got = [
+                    codec.digest(t or "", i if keep_ids else None)
+                    for t, i in zip(part.column(1).to_pylist(), ids, strict=True)
+                ]
                 n, *digests = zip(*got, strict=True)
                 cols = [part.column(0), pa.array(n, pa.int64()), *[pa.array(d, pa.string()) for d in digests]]
                 if keep_ids:

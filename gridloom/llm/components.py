@@ -37,9 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
         met = join_small(both, least, "a", "inner", many).where("b > a")
         large = once(met.select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         least = once(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = join_small(large, least, "a", "inner", many).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = join_small(large, least, "a", "inner", many).where("b <> m").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        )
         then, old = now, e
-        e, now = materialize_with(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges", **totals)
+        e, now = materialize_with(
+            small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges", **totals
+        )
         for df in (old, *held):
             drop(df)
         if now == then:

@@ -64,7 +64,14 @@ def _unit(blobs: list[bytes], kind: type) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, per_cell: int = PER_CELL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def near_dedup(
+    vectors: DataFrame,
+    *,
+    threshold: float = THRESHOLD,
+    per_cell: int = PER_CELL,
+    block: int = BLOCK,
+    sample: int = SAMPLE,
+) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept, for ``vectors`` of vec_id, embedding, label.
 
     Rows whose label, vec_id or vector is null, whose vector is empty, zero or has a null or non-finite component, link
@@ -73,25 +80,47 @@ def near_dedup(vectors: DataFrame, *, threshold: float = THRESHOLD, per_cell: in
     """
     e = F.col("embedding")
     usable = (
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
+        F.col("vec_id").isNotNull()
+        & F.col("label").isNotNull()
+        & e.isNotNull()
+        & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        & F.exists(e, lambda x: x != 0)
     )
     double = "double" in dict(vectors.dtypes)["embedding"]
     kind = np.float64 if double else np.float32
     rows = vectors.select("vec_id", "label", e.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("ok"))
     keys = ["label", "dim", "k1", "k2"]
-    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("dim", F.size("embedding")).withColumn("k1", F.xxhash64(F.lit(1), "embedding")).withColumn("k2", F.xxhash64("embedding", F.lit(2)))
+    rows = rows.withColumn("label", F.col("label").cast("string")).withColumn("dim", F.size("embedding")).withColumn(
+        "k1", F.xxhash64(F.lit(1), "embedding")
+    ).withColumn("k2", F.xxhash64("embedding", F.lit(2)))
     good = rows.where("ok")
-    classes = materialize(good.groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "vec-classes")
+    classes = materialize(
+        good.groupBy(*keys).agg(
+            F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")
+        ),
+        "vec-classes",
+    )
     centers = _centers(classes, per_cell, sample)
     links = _compare(classes, centers, kind, threshold, block)
     links = materialize(links, "vec-links")
     found = links.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    per_class = classes.drop("embedding").join(found, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    per_class = per_class.select(*keys, "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    per_class = classes.drop("embedding").join(found, "id", "left").join(
+        comp.withColumnRenamed("node", "id"), "id", "left"
+    )
+    per_class = per_class.select(
+        *keys,
+        "weight",
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("component", "id").alias("component_id"),
+    )
     n_good = classes.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    out = join_counted(rows.where("ok"), per_class, keys, "weight", n_good, "vec_id").select("vec_id", "n_links", "component_id")
-    rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_counted(
+        rows.where("ok"), per_class, keys, "weight", n_good, "vec_id"
+    ).select("vec_id", "n_links", "component_id")
+    rest = rows.where("not ok").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
+    )
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -106,8 +135,12 @@ def _centers(classes: DataFrame, per_cell: int, sample: int) -> dict[tuple[str,
     share = min(1.0, sample / sum(r["n"] for r in big))
     # A row for each of these labels, MAX_CELLS at most.
     wanted = F.broadcast(classes.sparkSession.createDataFrame(list(cells), "label string, dim int"))
-    some = classes.join(wanted, ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = some.orderBy(F.xxhash64("id"), "id").limit(2 * sample).select("label", "dim", "embedding").toArrow().to_pylist()
+    some = classes.join(wanted, ["label", "dim"]).where(
+        F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < share * 1_000_000
+    )
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(2 * sample).select(
+        "label", "dim", "embedding"
+    ).toArrow().to_pylist()
     by: dict[tuple[str, int], list] = {}
     for r in rows:
         by.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
@@ -121,11 +154,16 @@ def _centers(classes: DataFrame, per_cell: int, sample: int) -> dict[tuple[str,
     return out
 
 
-def _compare(classes: DataFrame, centers: dict[tuple[str, int], np.ndarray], kind: type, threshold: float, block: int) -> DataFrame:
+def _compare(
+    classes: DataFrame, centers: dict[tuple[str, int], np.ndarray], kind: type, threshold: float, block: int
+) -> DataFrame:
     sine = float(np.sqrt(max(0.0, 1 - threshold**2))) + 1e-9
     widest = float(np.arccos(min(1.0, threshold))) + 1e-6
     apart = {key: np.sqrt(np.maximum(0.0, 2 - 2 * c @ c.T)) for key, c in centers.items()}
-    types = {"label": pa.string(), "dim": pa.int32(), "cell": pa.int32(), "home": pa.bool_(), "angle": pa.float64(), "id": pa.int64(), "weight": pa.int64(), "v": pa.binary()}
+    types = {
+        "label": pa.string(), "dim": pa.int32(), "cell": pa.int32(), "home": pa.bool_(), "angle": pa.float64(),
+        "id": pa.int64(), "weight": pa.int64(), "v": pa.binary(),
+    }
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,26 +185,42 @@ def _compare(classes: DataFrame, centers: dict[tuple[str, int], np.ndarray], kin
                 out: dict[str, list] = {k: [] for k in types}
                 for i, cs in enumerate(cells):
                     for c, at_home, angle in cs:
-                        for k, v in zip(types, (d["label"][i], d["dim"][i], c, at_home, angle, d["id"][i], d["weight"][i], blobs[i]), strict=True):
+                        for k, v in zip(
+                            types,
+                            (d["label"][i], d["dim"][i], c, at_home, angle, d["id"][i], d["weight"][i], blobs[i]),
+                            strict=True,
+                        ):
                             out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], names=list(types))
 
     shape = "label string, dim int, cell int, home boolean, angle double, id long, weight long, v binary"
-    sent = materialize(classes.select("label", "dim", "id", "weight", "embedding").mapInArrow(assign, shape), "vec-cells")
+    sent = materialize(
+        classes.select("label", "dim", "id", "weight", "embedding").mapInArrow(assign, shape), "vec-cells"
+    )
     cell = ["label", "dim", "cell"]
-    sizes = sent.groupBy(*cell).agg(F.ceil(F.count_if("home") / block).cast("int").alias("nq"), F.ceil(F.count("*") / block).cast("int").alias("nt"), F.count("*").alias("rows")).where("nq > 0")
+    sizes = sent.groupBy(*cell).agg(
+        F.ceil(F.count_if("home") / block).cast("int").alias("nq"),
+        F.ceil(F.count("*") / block).cast("int").alias("nt"),
+        F.count("*").alias("rows"),
+    ).where("nq > 0")
     placed = join_counted(sent, sizes, cell, "rows", sent.count(), "id")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = placed.where("home").select(*cell, part("nq").alias("q"), every("nt").alias("t"), F.lit(True).alias("ask"), "angle", "id", "weight", "v")
-    answer = placed.select(*cell, every("nq").alias("q"), part("nt").alias("t"), F.lit(False).alias("ask"), "angle", "id", "weight", "v")
+    ask = placed.where("home").select(
+        *cell, part("nq").alias("q"), every("nt").alias("t"), F.lit(True).alias("ask"), "angle", "id", "weight", "v"
+    )
+    answer = placed.select(
+        *cell, every("nq").alias("q"), part("nt").alias("t"), F.lit(False).alias("ask"), "angle", "id", "weight", "v"
+    )
 
     def compare(t: pa.Table) -> pa.Table:
         ask = np.array(t["ask"].to_pylist(), bool)
         ids, weight, v, angle = np.array(t["id"]), np.array(t["weight"]), t["v"].to_pylist(), np.array(t["angle"])
         qi, ti = np.flatnonzero(ask), np.flatnonzero(~ask)
         qi, ti = qi[np.argsort(angle[qi], kind="stable")], ti[np.argsort(angle[ti], kind="stable")]
-        none = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        none = pa.table(
+            {"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())}
+        )
         if not len(qi) or not len(ti):
             return none
         target = _unit([v[i] for i in ti], kind)
@@ -181,7 +235,9 @@ def _compare(classes: DataFrame, centers: dict[tuple[str, int], np.ndarray], kin
             a, b = a[other], b[other]
             np.add.at(links, at[a], weight[b])
             # A spanning forest of what was found so far replaces the pairs.
-            root = roots(len(all_ids), np.concatenate([*left, at[a]]).astype(int), np.concatenate([*right, at[b]]).astype(int))
+            root = roots(
+                len(all_ids), np.concatenate([*left, at[a]]).astype(int), np.concatenate([*right, at[b]]).astype(int)
+            )
             moved = np.flatnonzero(root != np.arange(len(root)))
             left, right = [moved], [root[moved]]
         root = roots(len(all_ids), left[0], right[0])

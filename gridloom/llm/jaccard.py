@@ -97,7 +97,9 @@ def _gathered(items: Iterator, share: int) -> Iterator[list]:
 def _batches(rows: list[tuple], types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
     for r in range(0, len(rows), 64):
         columns = zip(*rows[r : r + 64], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types.values(), strict=True)], names=list(types))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(columns, types.values(), strict=True)], names=list(types)
+        )
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -110,7 +112,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 n = pa.array([len(s) for s in sets], pa.int64())
                 s1 = pa.array([int(s.sum().astype(np.int64)) for s in sets], pa.int64())
                 s2 = pa.array([int(mix(s).sum().astype(np.int64)) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), n, s1, s2], names=["id", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(texts)), n, s1, s2], names=["id", "n", "s1", "s2"]
+                )
 
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long")
 
@@ -119,7 +123,9 @@ def frequencies(docs: DataFrame, k: int, buckets: int, limit: int) -> tuple[np.n
     """The codes (with their bucket) counted in more than SHORT sets and their counts, the most frequent ``limit``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = (s[: len(s) // 2 + 1] for b in batches for _, texts in pieces(b.column(1)) for s in shingle_sets(texts, k))
+        lists = (
+            s[: len(s) // 2 + 1] for b in batches for _, texts in pieces(b.column(1)) for s in shingle_sets(texts, k)
+        )
         for held in _gathered(lists, 2):
             codes, n = np.unique(_combined(np.concatenate(held), buckets), return_counts=True)
             tail = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -137,7 +143,9 @@ def frequencies(docs: DataFrame, k: int, buckets: int, limit: int) -> tuple[np.n
         high = np.int64(t["bucket"][0].as_py()) << np.int64(32)
         return pa.table({"code": codes[at][keep].astype(np.int64) | high, "n": n[keep]})
 
-    counted = docs.mapInArrow(count, "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(total, "code long, n long")
+    counted = docs.mapInArrow(
+        count, "bucket int, codes binary, counts binary"
+    ).groupBy("bucket").applyInArrow(total, "code long, n long")
     top = counted.orderBy(F.col("n").desc(), "code").limit(limit).toArrow()
     code, n = np.array(top["code"], np.uint64), np.array(top["n"], np.int64)
     order = np.argsort(code)
@@ -148,7 +156,9 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
     """a, b, c, t: pairs with the number c of shared codes in short lists and the t they must reach; links of long lists
     have c = t."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    types = {"bucket": pa.int32(), "ids": pa.binary(), "sizes": pa.binary(), "counts": pa.binary(), "codes": pa.binary()}
+    types = {
+        "bucket": pa.int32(), "ids": pa.binary(), "sizes": pa.binary(), "counts": pa.binary(), "codes": pa.binary()
+    }
 
     def prefix(s: np.ndarray) -> np.ndarray:
         often, count = shared.value
@@ -188,7 +198,9 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
     def merge(t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
         times = read("counts", np.int32)
-        ids, n, codes = np.repeat(read("ids", np.int64), times), np.repeat(read("sizes", np.int32), times), read("codes", np.uint32)
+        ids, n, codes = np.repeat(read("ids", np.int64), times), np.repeat(
+            read("sizes", np.int32), times
+        ), read("codes", np.uint32)
         order = np.argsort(codes, kind="stable")
         codes = codes[order]
         start = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
@@ -208,7 +220,9 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
         a, b = np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
         by = np.lexsort((b, a))
         a, b, asked = a[by], b[by], asked[by]
-        new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, int)
+        new = np.flatnonzero(
+            np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        ) if len(a) else np.zeros(0, int)
         out = [(a[new], b[new], np.diff(np.append(new, len(a))), asked[new])]
         for s, m in zip(start[length > SHORT], length[length > SHORT], strict=True):
             own = order[s : s + m]
@@ -231,7 +245,9 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
     return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("t").alias("t")).where("c >= t")
 
 
-def divide_skip(index: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, query: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def divide_skip(
+    index: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, query: np.ndarray, percent: int = PERCENT
+) -> np.ndarray:
     """Sets of the index with a Jaccard similarity of percent or more to the query.
 
     ``index``: codes in order, the start of each code's list (with the end), and the lists' sets in order; ``sizes`` of
@@ -318,7 +334,10 @@ def _search(t: pa.Table, percent: int) -> pa.Table:
         all_ids, place = np.unique(ids[rows], return_inverse=True)
         at = dict(zip(rows.tolist(), place.tolist(), strict=True))
         own = np.array([at[x] for x in index.tolist()])
-        found = ((at[x], own[divide_skip(lists, size, s, percent)]) for x, s in zip(query.tolist(), _sets_of(t, query), strict=True))
+        found = (
+            (at[x], own[divide_skip(lists, size, s, percent)])
+            for x, s in zip(query.tolist(), _sets_of(t, query), strict=True)
+        )
         root = _forest(len(all_ids), found)
         moved = np.flatnonzero(root != np.arange(len(root)))
         out.append((all_ids[moved], all_ids[root[moved]]))
@@ -331,8 +350,12 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     spark = docs.sparkSession
     members, total = materialize_with(members, "jaccard-members", n=F.count(F.lit(1)))
     n = total["n"]
-    blocks = materialize(members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-blocks")
-    placed, total = materialize_with(join_small(members, blocks, "grp", "inner", n), "jaccard-placed", large=F.count_if(F.col("blocks") > 1))
+    blocks = materialize(
+        members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "jaccard-blocks"
+    )
+    placed, total = materialize_with(
+        join_small(members, blocks, "grp", "inner", n), "jaccard-placed", large=F.count_if(F.col("blocks") > 1)
+    )
     drop(members)
     texts = _only(docs, placed, n, "inner").select("id", "text", "grp", "blocks")
 
@@ -341,7 +364,12 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
             for at, some in pieces(b.column(1)):
                 made = shingle_sets(some, k)
                 part = b.slice(at, len(some))
-                cols = [part.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array([len(s) for s in made], pa.int64()), *part.columns[2:]]
+                cols = [
+                    part.column(0),
+                    pa.array([s.tobytes() for s in made], pa.binary()),
+                    pa.array([len(s) for s in made], pa.int64()),
+                    *part.columns[2:],
+                ]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "codes", "n", "grp", "blocks"])
 
     shape = "id long, codes binary, n long, grp long, blocks int"
@@ -349,7 +377,9 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     found = lambda t: _search(t, percent)
     # Small groups share a task.
     task = F.pmod(F.xxhash64("grp"), F.lit(8 * shuffle_partitions(spark)))
-    small = texts.where("blocks = 1").mapInArrow(sets, shape).select("id", "codes", "grp", yes.alias("asks"), yes.alias("answers"), task.alias("task"))
+    small = texts.where("blocks = 1").mapInArrow(sets, shape).select(
+        "id", "codes", "grp", yes.alias("asks"), yes.alias("answers"), task.alias("task")
+    )
     edges = small.groupBy("task").applyInArrow(found, "a long, b long")
     if not total["large"]:
         return edges
@@ -364,25 +394,39 @@ def links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFram
     everything = large.withColumn("band", b)
     ask = join_small(everything, asking, "id", "inner", n_asking).drop("blocks")
     count = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
-    ask_blocks = ask.select("grp", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")).groupBy("grp", "band").agg(count.alias("nq"))
+    ask_blocks = ask.select(
+        "grp", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")
+    ).groupBy("grp", "band").agg(count.alias("nq"))
     answer_blocks = everything.groupBy("grp", "band").agg(count.alias("nt"))
     plan = materialize(ask_blocks.join(answer_blocks, ["grp", "band"]), "jaccard-plan")
     rows = plan.count()
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     ask = ask.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
-    ask = join_small(ask, plan, ["grp", "band"], "inner", rows).select("id", "codes", "grp", "band", part("nq").alias("q"), every("nt").alias("t"), yes.alias("asks"), (~yes).alias("answers"))
-    answer = join_small(everything, plan, ["grp", "band"], "inner", rows).select("id", "codes", "grp", "band", every("nq").alias("q"), part("nt").alias("t"), (~yes).alias("asks"), yes.alias("answers"))
-    return edges.unionByName(ask.unionByName(answer).groupBy("grp", "band", "q", "t").applyInArrow(found, "a long, b long"))
+    ask = join_small(ask, plan, ["grp", "band"], "inner", rows).select(
+        "id", "codes", "grp", "band", part("nq").alias("q"), every("nt").alias("t"), yes.alias("asks"),
+        (~yes).alias("answers"),
+    )
+    answer = join_small(everything, plan, ["grp", "band"], "inner", rows).select(
+        "id", "codes", "grp", "band", every("nq").alias("q"), part("nt").alias("t"), (~yes).alias("asks"),
+        yes.alias("answers"),
+    )
+    return edges.unionByName(
+        ask.unionByName(answer).groupBy("grp", "band", "q", "t").applyInArrow(found, "a long, b long")
+    )
 
 
 def _by_pivots(large: DataFrame, n: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, int] | None]:
     """Links of all sets of large groups with up to PIVOTS sets of their own group; and the ids (with their number) of
     the sets outside each group's largest class of pivots and sets linked to them, None if there are none."""
     block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
-    chosen = large.groupBy("grp", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PIVOTS)).cast("int").alias("bit")).agg(F.min("id").alias("id")).select("id", "bit")
+    chosen = large.groupBy(
+        "grp", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(PIVOTS)).cast("int").alias("bit")
+    ).agg(F.min("id").alias("id")).select("id", "bit")
     chosen, total = materialize_with(chosen, "jaccard-pivots", n=F.count(F.lit(1)))
-    pivots = join_small(large, chosen, "id", "inner", total["n"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pivots = join_small(large, chosen, "id", "inner", total["n"]).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
     rows = large.withColumn("bit", F.lit(-1)).withColumn("block", block)
     columns = ["id", "codes", "grp", "block", "bit"]
 
@@ -394,9 +438,18 @@ def _by_pivots(large: DataFrame, n: int, percent: int) -> tuple[DataFrame, tuple
         met = [divide_skip(lists, size, s, percent) for s in _sets_of(t, own)]
         mask = [int(sum(1 << int(bit[hub[x]]) for x in m)) for m in met]
         kind = pa.list_(pa.int64())
-        return pa.table({"id": ids[own], "grp": pa.repeat(t["grp"][0], len(own)), "mask": pa.array(mask, pa.int64()), "hubs": pa.array([ids[hub[m]].tolist() for m in met], kind)})
-
-    met = pivots.select(*columns).unionByName(rows.select(*columns)).groupBy("grp", "block").applyInArrow(hold, "id long, grp long, mask long, hubs array<long>")
+        return pa.table(
+            {
+                "id": ids[own],
+                "grp": pa.repeat(t["grp"][0], len(own)),
+                "mask": pa.array(mask, pa.int64()),
+                "hubs": pa.array([ids[hub[m]].tolist() for m in met], kind),
+            }
+        )
+
+    met = pivots.select(*columns).unionByName(rows.select(*columns)).groupBy("grp", "block").applyInArrow(
+        hold, "id long, grp long, mask long, hubs array<long>"
+    )
     met = materialize(met, "jaccard-met")
     masks = met.groupBy("grp", "mask").agg(F.count(F.lit(1)).alias("n"))
 
@@ -411,15 +464,25 @@ def _by_pivots(large: DataFrame, n: int, percent: int) -> tuple[DataFrame, tuple
         ask = own != size.argmax()
         return pa.table({"grp": pa.repeat(t["grp"][0], int(ask.sum())), "mask": mask[ask]})
 
-    apart, total = materialize_with(masks.groupBy("grp").applyInArrow(classes, "grp long, mask long"), "jaccard-apart", n=F.count(F.lit(1)))
+    apart, total = materialize_with(
+        masks.groupBy("grp").applyInArrow(classes, "grp long, mask long"), "jaccard-apart", n=F.count(F.lit(1))
+    )
     edges = met.select("id", F.explode("hubs").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     if not total["n"]:
         return edges, None
-    asking, total = materialize_with(join_small(met.select("id", "grp", "mask"), apart, ["grp", "mask"], "inner", total["n"]).select("id").distinct(), "jaccard-asking", n=F.count(F.lit(1)))
+    asking, total = materialize_with(
+        join_small(
+            met.select("id", "grp", "mask"), apart, ["grp", "mask"], "inner", total["n"]
+        ).select("id").distinct(),
+        "jaccard-asking",
+        n=F.count(F.lit(1)),
+    )
     return edges, (asking, total["n"])
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that share a doc_id are one node with
@@ -433,10 +496,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
     classes = real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     first, total = materialize_with(classes.where("copies > 1"), "jaccard-classes", n=F.count(F.lit(1)))
     # All that is no representative stays out of the search; ids of several texts stay in.
-    copies = join_small(real, first, ["n", "s1", "s2"], "inner", total["n"]).where("id <> rep").select("id", "rep").distinct()
+    copies = join_small(
+        real, first, ["n", "s1", "s2"], "inner", total["n"]
+    ).where("id <> rep").select("id", "rep").distinct()
     copies, total = materialize_with(copies, "jaccard-copies", n=F.count(F.lit(1)))
     drop(first)
-    several = base.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("id")
+    several = base.where("id is not null").groupBy("id").agg(
+        F.count(F.lit(1)).alias("texts")
+    ).where("texts > 1").select("id")
     aside = copies.select("id").distinct().join(several, "id", "left_anti")
     texts = _only(rows.where("id is not null"), aside, total["n"], "left_anti")
     buckets = max(16, shuffle_partitions(spark))
@@ -444,16 +511,24 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
     groups = components(pairs)
     drop(pairs)
     members = groups.select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    members = members.unionByName(groups.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct())
-    edges = links(texts, members, k, percent).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    members = members.unionByName(
+        groups.select(F.col("component").alias("id"), F.col("component").alias("grp")).distinct()
+    )
+    edges = links(texts, members, k, percent).unionByName(
+        copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    )
     found = components(edges)
     got = base.join(found, base["id"] == found["node"], "left")
-    return got.select(base["id"].alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return got.select(
+        base["id"].alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    )
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest doc_id; same columns."""
-    found = jaccard_components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = jaccard_components(docs, **options).where("doc_id <> component_id").select(
+        F.col("doc_id").alias("_gone")
+    ).distinct()
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
 
 

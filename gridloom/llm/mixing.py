@@ -34,30 +34,54 @@ def word_count(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, passes: int) -> DataFrame:
     """sizes: source, source_size, one row per source. Adds weight and target."""
     everything = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(everything) - 1) % len(weights)) + 1))
+    ranked = sizes.withColumn(
+        "weight",
+        F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(everything) - 1) % len(weights)) + 1),
+    )
     ratio = F.col("source_size") / F.col("weight")
     before = Window.orderBy(ratio.asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy(ratio.asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = Window.orderBy(
+        ratio.asc(), F.col("source").asc_nulls_last()
+    ).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     all_rows = Window.orderBy(ratio.asc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (share * F.sum("source_size").over(all_rows) - passes * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(rest)
+    level = (
+        share * F.sum("source_size").over(all_rows) - passes * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    ) / F.sum("weight").over(rest)
     # The level that holds is the one at the first source that does not reach its stop.
-    tried = ranked.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") >= passes * F.col("source_size"))
+    tried = ranked.withColumn("level", level).withColumn(
+        "stops", F.col("level") * F.col("weight") >= passes * F.col("source_size")
+    )
     first = F.min(F.when(~F.col("stops"), F.struct(ratio.alias("ratio"), F.col("level")))).over(all_rows)
     return tried.withColumn("held", first).select(
-        "source", "source_size", "weight",
-        F.when(F.col("held").isNull() | F.col("stops"), (passes * F.col("source_size")).cast("double")).otherwise(F.col("held.level") * F.col("weight")).alias("target"),
+        "source",
+        "source_size",
+        "weight",
+        F.when(
+            F.col("held").isNull() | F.col("stops"), (passes * F.col("source_size")).cast("double")
+        ).otherwise(F.col("held.level") * F.col("weight")).alias("target"),
     )
 
 
 def position(u: Column, target: Column, a: Column, b: Column) -> Column:
     """Training time at which the cumulative demand of a source, with a rate from a to b, reaches u words."""
     q = u / target * (a + b) / 2
-    return F.when(target <= 0, F.lit(None).cast("double")).when(a == b, u / target).otherwise((F.sqrt(F.greatest(a * a + 2 * (b - a) * q, F.lit(0.0))) - a) / (b - a))
+    return F.when(target <= 0, F.lit(None).cast("double")).when(a == b, u / target).otherwise(
+        (F.sqrt(F.greatest(a * a + 2 * (b - a) * q, F.lit(0.0))) - a) / (b - a)
+    )
 
 
 def mix(
-    docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, schedule: dict[int, tuple[float, float]] | None = None, share: float = 1.5, passes: int = 2,
-    seed: int = 42, blocks: int = 1024, id_col: str = "doc_id", text: str = "text", source: str = "source",
+    docs: DataFrame,
+    *,
+    weights: tuple[int, ...] = WEIGHTS,
+    schedule: dict[int, tuple[float, float]] | None = None,
+    share: float = 1.5,
+    passes: int = 2,
+    seed: int = 42,
+    blocks: int = 1024,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, weight, target, taken, taken_1 to taken_n (words taken in
     each of ``passes`` passes), and position (of the first word; null if none is taken), position_2 to position_n.
@@ -69,11 +93,15 @@ def mix(
     schedule = schedule or SCHEDULE
     spark = docs.sparkSession
     sized = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source}`").alias("source"),
+        word_count(F.col(f"`{text}`")).alias("size"),
         F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("key"),
     )
     rows = materialize(
-        sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("times")).withColumn("block", F.pmod(F.shiftrightunsigned("key", 20), F.lit(blocks)).cast("int")),
+        sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("times")).withColumn(
+            "block", F.pmod(F.shiftrightunsigned("key", 20), F.lit(blocks)).cast("int")
+        ),
         "mix-sizes",
     )
     words = F.col("size") * F.col("times")
@@ -81,22 +109,44 @@ def mix(
     queue = Window.partitionBy("source").orderBy("block")
     offsets = sums.withColumn("offset", F.sum("words").over(queue) - F.col("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, passes)
-    rates = F.create_map(*[x for w, (a, b) in schedule.items() for x in (F.lit(w), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")))])
-    goal = goal.withColumn("rate", F.coalesce(rates[F.col("weight")], F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))))
+    rates = F.create_map(
+        *[
+            x
+            for w, (a, b) in schedule.items()
+            for x in (F.lit(w), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")))
+        ]
+    )
+    goal = goal.withColumn(
+        "rate", F.coalesce(rates[F.col("weight")], F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("b")))
+    )
     plan = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(
         offsets["source"].alias("s"), offsets["block"].alias("b"), "offset", "source_size", "weight", "target", "rate"
     )
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     placed = rows.withColumn("inside", F.sum(words).over(inside) - words)
     placed = placed.join(plan, placed["source"].eqNullSafe(plan["s"]) & (placed["block"] == plan["b"]))
     # Equal rows come out one by one, each with its own place in the queue.
-    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("start", F.col("offset") + F.col("inside") + F.col("nth") * F.col("size"))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn(
+        "start", F.col("offset") + F.col("inside") + F.col("nth") * F.col("size")
+    )
     demand = F.floor("target").cast("long")
     begins = [F.col("start") + i * F.col("source_size") for i in range(passes)]
     took = [F.greatest(F.lit(0), F.least(F.col("size"), demand - at)).cast("long") for at in begins]
-    at = [F.when(n > 0, position(u, F.col("target"), F.col("rate.a"), F.col("rate.b"))) for u, n in zip(begins, took, strict=True)]
+    at = [
+        F.when(n > 0, position(u, F.col("target"), F.col("rate.a"), F.col("rate.b")))
+        for u, n in zip(begins, took, strict=True)
+    ]
     out = placed.select(
-        "doc_id", "source", "size", "source_size", "weight", "target", sum(took[1:], took[0]).alias("taken"), *[n.alias(f"taken_{i + 1}") for i, n in enumerate(took)],
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "weight",
+        "target",
+        sum(took[1:], took[0]).alias("taken"),
+        *[n.alias(f"taken_{i + 1}") for i, n in enumerate(took)],
         *[x.alias(f"position_{i + 1}" if i else "position") for i, x in enumerate(at)],
     )
     order = (F.col("position").asc_nulls_last(), "doc_id")
@@ -115,18 +165,28 @@ def apply_mix(docs: DataFrame, *, passes: int = 2, **options) -> DataFrame:
     places = ["position", *[f"position_{i}" for i in range(2, passes + 1)]]
     each = F.array(*[F.struct(F.col(f"taken_{i}").alias("n"), F.col(at).alias("at")) for i, at in enumerate(places, 1)])
     parts = F.filter(each, lambda x: x["n"] > 0)
-    got = got.where("taken > 0").select(F.col("doc_id").alias("key"), F.explode(parts).alias("part"), "size").select("key", "size", "part.*")
+    got = got.where("taken > 0").select(
+        F.col("doc_id").alias("key"), F.explode(parts).alias("part"), "size"
+    ).select("key", "size", "part.*")
     rows = keyed.groupBy("key").agg(F.first("row").alias("row")).join(got, "key")
     text, n = F.col("row.text"), F.col("n").cast("int")
     length = lambda xs: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
     # A text is a gap and a word in turn; the first n of both make up its beginning.
-    first = F.substring(text, F.lit(1), length(F.split(text, WORD, -1)) + length(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
+    first = F.substring(
+        text, F.lit(1), length(F.split(text, WORD, -1)) + length(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    )
     cut = F.when(F.col("n") >= F.col("size"), text).otherwise(first)
     order = (F.col("at").asc_nulls_last(), "key")
-    made = rows.select("key", "at", F.struct(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"))
+    made = rows.select(
+        "key",
+        "at",
+        F.struct(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"),
+    )
     made = made.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return made.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "weight", "position")
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "weight", "position"
+    )

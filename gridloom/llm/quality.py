@@ -30,7 +30,10 @@ PAIR_BOUND = 2.0
 CHAIN = 128
 #: Bytes of text handled at once.
 PIECE = 2 << 20
-OWN = ("length", "upper", "digit", "mark", "bang", "symbol", "bar", "space", "other", "word_length", "ends", "capital", "repeat", "long_word", "echo")
+OWN = (
+    "length", "upper", "digit", "mark", "bang", "symbol", "bar", "space", "other", "word_length", "ends", "capital",
+    "repeat", "long_word", "echo",
+)
 NAMES = ("bias", *OWN, *(f"before_{x}" for x in OWN), *(f"after_{x}" for x in OWN), "first", "last")
 
 
@@ -40,7 +43,9 @@ def _class(chars: bytes) -> np.ndarray:
     return out
 
 
-UPPER, DIGIT, MARK, BANG, SYMBOL, BAR = (_class(c) for c in (bytes(range(65, 91)), bytes(range(48, 58)), b".,;:?'\"()-", b"!", b"#*$%&<>@~^", b"|"))
+UPPER, DIGIT, MARK, BANG, SYMBOL, BAR = (
+    _class(c) for c in (bytes(range(65, 91)), bytes(range(48, 58)), b".,;:?'\"()-", b"!", b"#*$%&<>@~^", b"|")
+)
 BLANK = _class(b" \t\r\x0b\x0c")
 OTHER = (np.arange(256) >= 128).astype(np.uint8)
 
@@ -79,13 +84,26 @@ def features(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     echo = np.bincount(line_of[twice], minlength=len(breaks)) / n_words
     tail = buffer[np.maximum(breaks - 1, starts)]
     head = buffer[starts]
-    own = np.stack(
+    own = np.stack(
         [
-            np.log1p(length) / 6, share(UPPER), share(DIGIT), share(MARK), share(BANG), share(SYMBOL), share(BAR), space / np.maximum(length, 1), share(OTHER),
-            (length - space) / n_words / 8, np.isin(tail, np.frombuffer(b".?", np.uint8)), UPPER[head], again, np.minimum(np.maximum.reduceat(words, at), 60) / 30, echo,
+            np.log1p(length) / 6,
+            share(UPPER),
+            share(DIGIT),
+            share(MARK),
+            share(BANG),
+            share(SYMBOL),
+            share(BAR),
+            space / np.maximum(length, 1),
+            share(OTHER),
+            (length - space) / n_words / 8,
+            np.isin(tail, np.frombuffer(b".?", np.uint8)),
+            UPPER[head],
+            again,
+            np.minimum(np.maximum.reduceat(words, at), 60) / 30,
+            echo,
         ],
         axis=1,
-    ).astype(np.float64)
+    ).astype(np.float64)
     is_first = np.zeros(len(breaks), bool)
     is_first[first[:-1]] = True
     is_last = np.zeros(len(breaks), bool)
@@ -117,7 +135,9 @@ def _scatter(n: int, starts: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return z | np.uint64(1)
 
 
-def forward_backward(emit: np.ndarray, pair: np.ndarray, first: np.ndarray, with_pairs: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(
+    emit: np.ndarray, pair: np.ndarray, first: np.ndarray, with_pairs: bool = False
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of state 1 for chains laid end to end; expected pair counts and the log-sum of all chains where asked.
 
     ``emit``: score of state 1 against 0 by line; ``pair``: 2 x 2 scores; ``first``: starts of the chains and the end.
@@ -155,12 +175,21 @@ def forward_backward(emit: np.ndarray, pair: np.ndarray, first: np.ndarray, with
     inner[first[1:] - 1] = False
     i = np.flatnonzero(inner)
     e = np.stack([np.zeros(len(i)), emit[i + 1]], 1)
-    joint = np.exp(np.clip(alpha[i][:, :, None] + pair[None] + (beta[i + 1] + e)[:, None, :] - z[i][:, None, None], -500, 0))
+    joint = np.exp(
+        np.clip(alpha[i][:, :, None] + pair[None] + (beta[i + 1] + e)[:, None, :] - z[i][:, None, None], -500, 0)
+    )
     return marginal, joint.sum(0), float(z[first[1:] - 1].sum())
 
 
 def train(
-    x: np.ndarray, first: np.ndarray, labels: np.ndarray, *, rounds: int = 300, rate: float = 0.08, decay: float = 1e-4, pair_bound: float = PAIR_BOUND
+    x: np.ndarray,
+    first: np.ndarray,
+    labels: np.ndarray,
+    *,
+    rounds: int = 300,
+    rate: float = 0.08,
+    decay: float = 1e-4,
+    pair_bound: float = PAIR_BOUND,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the log-likelihood, every document with the same weight; pair weights are projected back within
     ``pair_bound`` after each step. Returns line and pair weights."""
@@ -176,7 +205,12 @@ def train(
     inner = np.ones(len(y), bool)
     inner[cut[1:] - 1] = False
     i = np.flatnonzero(inner)
-    seen = np.array([[((1 - y[i]) * (1 - y[i + 1])).sum(), ((1 - y[i]) * y[i + 1]).sum()], [(y[i] * (1 - y[i + 1])).sum(), (y[i] * y[i + 1]).sum()]])
+    seen = np.array(
+        [
+            [((1 - y[i]) * (1 - y[i + 1])).sum(), ((1 - y[i]) * y[i + 1]).sum()],
+            [(y[i] * (1 - y[i + 1])).sum(), (y[i] * y[i + 1]).sum()],
+        ]
+    )
     for step in range(1, rounds + 1):
         w, pair = theta[:-4], theta[-4:].reshape(2, 2)
         p, pairs, _ = forward_backward(x @ w, pair, cut, True)
@@ -207,7 +241,9 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield at, rows
 
 
-def score_texts(texts: list[bytes], w: np.ndarray, pair: np.ndarray, adjust: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(
+    texts: list[bytes], w: np.ndarray, pair: np.ndarray, adjust: tuple[float, float]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of texts; with the marginals of all lines and the first line of each text."""
     x, length, first = features(*_laid(texts))
     p, _, _ = forward_backward(x @ w, pair, first)
@@ -217,7 +253,9 @@ def score_texts(texts: list[bytes], w: np.ndarray, pair: np.ndarray, adjust: tup
     return 1 / (1 + np.exp(-(adjust[0] + adjust[1] * logit))), p, first
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES
+) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
     """Line weights, pair weights, and the (offset, slope) that set a document's mean marginal against its label.
 
     ``labels``: doc_id, quality (0 or 1). Rows with a null in either, and held-out ids, are not used. Without labels of
@@ -228,7 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_lin
     each = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = each.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_docs)
     # The sample has max_docs rows at most, so that it may be broadcast.
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text")).join(F.broadcast(sample.select(F.col("doc_id").alias("id"), "quality")), "id").select("quality", F.coalesce("text", F.lit("")).alias("text"), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text")).join(
+        F.broadcast(sample.select(F.col("doc_id").alias("id"), "quality")), "id"
+    ).select("quality", F.coalesce("text", F.lit("")).alias("text"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,14 +277,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_lin
                 blobs = [x[a:z].astype(np.float32).tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
                 sizes = [length[a:z].astype(np.float32).tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
                 part = b.slice(at, len(rows))
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "quality", "x", "length"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(2), part.column(0), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())],
+                    names=["id", "quality", "x", "length"],
+                )
 
     # At most max_docs ids and their lines, in one window.
     lines = texts.groupBy("id").agg(F.sum(F.regexp_count("text", F.lit("\n")) + 1).alias("lines"))
-    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    short = lines.where(F.col("lines") <= max_lines // 8).withColumn("upto", upto).where(F.col("upto") <= max_lines).select("id")
+    upto = F.sum("lines").over(
+        Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    short = lines.where(
+        F.col("lines") <= max_lines // 8
+    ).withColumn("upto", upto).where(F.col("upto") <= max_lines).select("id")
     texts = texts.join(F.broadcast(short), "id").select("quality", "text", "id")
-    got = texts.mapInArrow(run, "id long, quality int, x binary, length binary").orderBy("id", "x").toArrow().to_pydict()
+    got = texts.mapInArrow(
+        run, "id long, quality int, x binary, length binary"
+    ).orderBy("id", "x").toArrow().to_pydict()
     y = np.array(got["quality"], np.float64)
     if len(set(got["quality"])) < 2:
         return np.zeros(len(NAMES)), np.zeros((2, 2)), (0.0, 1.0)
@@ -283,10 +332,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, tuple[float, flo
         for b in batches:
             for at, rows in _pieces(b):
                 s, _, _ = score_texts(rows, w, pair, adjust)
-                yield pa.RecordBatch.from_arrays([b.slice(at, len(rows)).column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.slice(at, len(rows)).column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
+                    names=["row", "score", "predicted"],
+                )
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    schema = [T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    schema = [
+        T.StructField("row", rows.schema["row"].dataType),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("predicted", T.IntegerType()),
+    ]
     return rows.mapInArrow(run, T.StructType(schema))
 
 

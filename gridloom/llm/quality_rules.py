@@ -37,14 +37,23 @@ def _count(text: Column, inside: str) -> Column:
 
 def stats(docs: DataFrame, *, id_col: str, text: str, lang: str) -> DataFrame:
     t = F.coalesce(F.col("t"), F.lit(""))
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t")).select("doc_id", "lang", t.alias("t"))
+    d = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t")
+    ).select("doc_id", "lang", t.alias("t"))
     # a to z, most of a text, go first and white space next, so that the other classes are counted in the little that is left.
-    d = d.withColumn("marks", F.regexp_replace("t", "[a-z]+", "")).withColumn("rest", F.regexp_replace("marks", f"[{WS}]+", ""))
+    d = d.withColumn("marks", F.regexp_replace("t", "[a-z]+", "")).withColumn(
+        "rest", F.regexp_replace("marks", f"[{WS}]+", "")
+    )
     rest = F.col("rest")
     d = d.select(
-        "doc_id", "lang",
-        F.length("t").alias("n_chars"), (F.length("marks") - F.length("rest")).alias("space"), _count(rest, r"#*$%&|<>").alias("symbol"), _count(rest, r"\p{Lu}").alias("upper"),
-        _count(rest, "0-9").alias("digit"), _count(rest, r".,;:!?'\"()\-").alias("punct"),
+        "doc_id",
+        "lang",
+        F.length("t").alias("n_chars"),
+        (F.length("marks") - F.length("rest")).alias("space"),
+        _count(rest, r"#*$%&|<>").alias("symbol"),
+        _count(rest, r"\p{Lu}").alias("upper"),
+        _count(rest, "0-9").alias("digit"),
+        _count(rest, r".,;:!?'\"()\-").alias("punct"),
         F.length(F.regexp_replace("rest", r"[\p{Ll}\p{Lu}0-9.,;:!?'\"()\-#*$%&|<>]+", "")).alias("other"),
         F.filter(F.split("t", rf"[{WS}]+"), lambda w: w != "").alias("words"),
         F.filter(F.split("t", "\n", -1), lambda x: F.rlike(x, F.lit(rf"[^{WS}]"))).alias("lines"),
@@ -62,12 +71,23 @@ def stats(docs: DataFrame, *, id_col: str, text: str, lang: str) -> DataFrame:
         d = d.withColumn(f"h{span}", grams)
         grams = F.col(f"h{span}")
     d = d.withColumn("grams", F.slice(grams, 1, F.greatest(F.lit(0), n - WINDOW + 1)))
-    hist = F.transform(F.coalesce(F.try_element_at(by_lang, F.col("lang")), F.array().cast("array<string>")), lambda w: F.size(F.filter("common", lambda x: x == w)))
+    hist = F.transform(
+        F.coalesce(F.try_element_at(by_lang, F.col("lang")), F.array().cast("array<string>")),
+        lambda w: F.size(F.filter("common", lambda x: x == w)),
+    )
     return d.select(
-        "doc_id", "lang", n.cast("long").alias("n_words"), (F.col("n_chars") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"),
+        "doc_id",
+        "lang",
+        n.cast("long").alias("n_words"),
+        (F.col("n_chars") - F.col("space")).cast("long").alias("word_chars"),
+        F.col("symbol").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("grams")) < F.size("grams"), repeated(F.col("grams"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array(*[F.col(c).cast("long") for c in CLASSES[1:]]).alias("classes"), F.col("n_chars").cast("long").alias("n_chars"), hist.alias("hist"),
+        F.when(
+            F.size(F.array_distinct("grams")) < F.size("grams"), repeated(F.col("grams"))
+        ).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.array(*[F.col(c).cast("long") for c in CLASSES[1:]]).alias("classes"),
+        F.col("n_chars").cast("long").alias("n_chars"),
+        hist.alias("hist"),
     )
 
 
@@ -80,7 +100,11 @@ def repeated(grams: Column) -> Column:
     """Words under windows whose hash occurs twice or more; linear steps after one sort."""
     after = lambda xs: F.slice(xs, 2, F.greatest(F.size(xs), F.lit(1)))
     # Each window as an array of at most two: whether the next equal one follows, told to both.
-    twin = lambda xs: F.zip_with(xs, after(xs), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+    twin = lambda xs: F.zip_with(
+        xs,
+        after(xs),
+        lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
+    )
     steps = lambda at: F.zip_with(at, after(at), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     placed = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     at = _let(placed, lambda xs: F.sort_array(F.array_distinct(F.flatten(twin(xs)))))
@@ -90,13 +114,24 @@ def repeated(grams: Column) -> Column:
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of counts; null where either is empty of counts."""
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    unit = lambda c: F.transform(F.arrays_zip(c.alias("c"), F.array_repeat(total(c), F.size(c)).alias("n")), lambda x: x["c"] / x["n"])
+    unit = lambda c: F.transform(
+        F.arrays_zip(c.alias("c"), F.array_repeat(total(c), F.size(c)).alias("n")), lambda x: x["c"] / x["n"]
+    )
     term = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
     parts = F.zip_with(unit(p), unit(q), lambda a, b: (term(a, (a + b) / 2) + term(b, (a + b) / 2)) / 2)
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), total(parts))))
 
 
-def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def apply_rules(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    min_words: int = MIN_WORDS,
+    max_class: float = MAX_CLASS_DISTANCE,
+    max_word: float = MAX_WORD_DISTANCE,
+) -> DataFrame:
     """Per row: doc_id, lang, the base counts, base_failed, class_distance, word_distance, kept.
 
     Character classes are counts of code points: lower and upper letters, digits, punctuation, symbols, white space, and
@@ -107,19 +142,41 @@ def apply_rules(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     lower = F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     s = s.withColumn("classes", F.transform(F.concat(F.array(lower), F.col("classes")), lambda x: x.cast("double")))
     common = F.aggregate("hist", F.lit(0), lambda a, x: a + x)
-    s = s.withColumn("hist", F.transform(F.concat("hist", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - common).cast("int"))), lambda x: x.cast("double")))
+    s = s.withColumn(
+        "hist",
+        F.transform(
+            F.concat("hist", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - common).cast("int"))),
+            lambda x: x.cast("double"),
+        ),
+    )
     refs = s.groupBy("lang").agg(
         F.array(*[F.sum(F.get("classes", F.lit(i))) for i in range(len(CLASSES))]).alias("ref_classes"),
-        F.filter(F.array(*[F.sum(F.get("hist", F.lit(i))) for i in range(N_COMMON + 1)]), lambda x: x.isNotNull()).alias("ref_hist"),
+        F.filter(
+            F.array(*[F.sum(F.get("hist", F.lit(i))) for i in range(N_COMMON + 1)]), lambda x: x.isNotNull()
+        ).alias("ref_hist"),
     )
     r = refs.withColumnRenamed("lang", "ref_lang")
     j = s.join(r, s["lang"].eqNullSafe(r["ref_lang"]), "left")
     long_enough = F.col("n_words") >= min_words
     j = j.withColumn("class_distance", F.when(long_enough, js_distance(F.col("classes"), F.col("ref_classes"))))
-    j = j.withColumn("word_distance", F.when(long_enough & (F.size("hist") > 1), js_distance(F.col("hist"), F.col("ref_hist"))))
+    j = j.withColumn(
+        "word_distance", F.when(long_enough & (F.size("hist") > 1), js_distance(F.col("hist"), F.col("ref_hist")))
+    )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
-    return j.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~far).alias("kept"))
+    return j.select(
+        "doc_id",
+        "lang",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        failed.alias("base_failed"),
+        "class_distance",
+        "word_distance",
+        (~failed & ~far).alias("kept"),
+    )
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,10 +58,17 @@ def places(text: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
+        return F.struct(
+            end.alias("at"),
+            F.concat(
+                acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))
+            ).alias("out"),
+        )
 
     got = F.aggregate(pairs, zero, step, lambda a: a["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), got).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
+    return F.when(F.rlike(text, F.lit(pattern)), got).otherwise(
+        F.array().cast("array<struct<start:int,end:int,m:string>>")
+    )
 
 
 def highest_entropy(s: Column, window: int = WINDOW) -> Column:
@@ -102,13 +109,19 @@ def scan(docs: DataFrame, *, text: str = "text", allow: tuple[str, ...] = ALLOW,
     value = lambda m: F.regexp_extract(m, ASSIGN, 1)
 
     def span(x: Column, rank: int, kind: str) -> Column:
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")
+        )
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("t"))
     rows = rows.select(
         "row",
-        F.transform(F.filter(places(t, ASSIGN), lambda x: F.length(value(x["m"])) >= 8), lambda x: span(x, 0, "assign")).alias("assign"),
-        F.transform(F.filter(places(t, ACCESS), lambda x: F.length(x["m"]) >= 16), lambda x: span(x, 1, "access")).alias("access"),
+        F.transform(
+            F.filter(places(t, ASSIGN), lambda x: F.length(value(x["m"])) >= 8), lambda x: span(x, 0, "assign")
+        ).alias("assign"),
+        F.transform(
+            F.filter(places(t, ACCESS), lambda x: F.length(x["m"]) >= 16), lambda x: span(x, 1, "access")
+        ).alias("access"),
         F.transform(places(t, HEX), lambda x: span(x, 2, "hex")).alias("hex"),
         places(t, CANDIDATE).alias("candidates"),
     )
@@ -119,31 +132,71 @@ def scan(docs: DataFrame, *, text: str = "text", allow: tuple[str, ...] = ALLOW,
         out = F.lit(None).cast("int")
         for i in reversed(range(len(classes))):
             _, whole, inside, _ = classes[i]
-            out = F.when(F.rlike(m, F.lit(f"^(?:{whole})$")), F.when(F.rlike(m, F.lit(inside)), F.lit(i))).otherwise(out)
+            out = F.when(
+                F.rlike(m, F.lit(f"^(?:{whole})$")), F.when(F.rlike(m, F.lit(inside)), F.lit(i))
+            ).otherwise(out)
         return out
 
     clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     free = F.filter("candidates", lambda x: ~F.rlike(x["m"], F.lit(allow_pattern(allow))) & clear(x))
-    known = F.filter(F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), named(x["m"]).alias("i"))), lambda x: x["i"].isNotNull())
+    known = F.filter(
+        F.transform(
+            free,
+            lambda x: F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), named(x["m"]).alias("i")
+            ),
+        ),
+        lambda x: x["i"].isNotNull(),
+    )
     rows = rows.withColumn("known", known)
-    rated = F.transform("known", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["i"].alias("i"), highest_entropy(x["m"]).alias("h")))
+    rated = F.transform(
+        "known",
+        lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["i"].alias("i"), highest_entropy(x["m"]).alias("h")
+        ),
+    )
     # Almost all rows have no candidate; the guard keeps the fold off them.
-    rated = F.when(F.size("known") > 0, rated).otherwise(F.array().cast("array<struct<start:int,end:int,i:int,h:double>>"))
+    rated = F.when(F.size("known") > 0, rated).otherwise(
+        F.array().cast("array<struct<start:int,end:int,i:int,h:double>>")
+    )
     limits, kinds = F.array(*[F.lit(float(c[3])) for c in classes]), F.array(*[F.lit(c[0]) for c in classes])
     kept = F.filter(rated, lambda x: x["h"] >= F.get(limits, x["i"]))
-    more = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["i"] + 3).alias("rank"), F.get(kinds, x["i"]).alias("kind")))
+    more = F.transform(
+        kept,
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            (x["i"] + 3).alias("rank"),
+            F.get(kinds, x["i"]).alias("kind"),
+        ),
+    )
     out = rows.select("row", "assign", "access", "hex", "base", order(F.concat("base", more)).alias("spans"))
     return out.withColumn("base", order(F.col("base")))
 
 
 def order(spans: Column) -> Column:
     """By start, then kind as listed."""
-    moved = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return F.transform(moved, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")))
+    moved = F.array_sort(
+        F.transform(
+            spans,
+            lambda x: F.struct(
+                x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")
+            ),
+        )
+    )
+    return F.transform(
+        moved,
+        lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")
+        ),
+    )
 
 
 def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))),
+        ",",
+    )
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
@@ -155,15 +208,34 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
         gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
-    return got.select(*[(F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
+        return F.struct(
+            F.greatest(acc["at"], x["end"]).alias("at"),
+            F.when(
+                fresh, F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]"))
+            ).otherwise(acc["out"]).alias("out"),
+        )
+
+    clean = F.aggregate(
+        "spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"]))
+    )
+    return got.select(
+        *[
+            (
+                F.when(F.size("spans") > 0, clean).otherwise(text).alias(c)
+                if c == "text"
+                else F.col(f"row.`{c}`").alias(c)
+            )
+            for c in docs.columns
+        ]
+    )
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = scan(docs)
     return got.select(
-        "row.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+        "row.doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
     )

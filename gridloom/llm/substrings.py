@@ -163,20 +163,42 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
                     take = order[by[x:y]]
                     yield _row(i, name[take], run[take], own[take], lo[take], hi[take], hot[tell == i])
 
-    def _row(bucket: int, name: np.ndarray, run: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    def _row(
+        bucket: int, name: np.ndarray, run: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, hot: np.ndarray
+    ) -> pa.RecordBatch:
         if bucket < 0:
             name, run = name[:0], run[:0]
-        blobs = [name.tobytes(), run.tobytes(), own.tobytes(), lo.astype(np.uint32).tobytes(), (hi - lo).astype(np.uint8).tobytes(), hot.tobytes()]
+        blobs = [
+            name.tobytes(),
+            run.tobytes(),
+            own.tobytes(),
+            lo.astype(np.uint32).tobytes(),
+            (hi - lo).astype(np.uint8).tobytes(),
+            hot.tobytes(),
+        ]
         columns = ["bucket", "name", "run", "own", "lo", "more", "hot"]
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=columns)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=columns
+        )
 
     def settle(t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-        own, lo, more = read("own", np.int64), read("lo", np.uint32).astype(np.int64), read("more", np.uint8).astype(np.int64)
+        own, lo, more = read("own", np.int64), read("lo", np.uint32).astype(np.int64), read(
+            "more", np.uint8
+        ).astype(np.int64)
         bucket = t["bucket"][0].as_py()
         if bucket < 0:
             again = np.full(len(own), bucket >= -buckets)
-            return pa.table({"id": own, "lo": lo, "hi": lo + more, "name": np.zeros(len(own), np.int64), "again": again, "hot": ~again})
+            return pa.table(
+                {
+                    "id": own,
+                    "lo": lo,
+                    "hi": lo + more,
+                    "name": np.zeros(len(own), np.int64),
+                    "again": again,
+                    "hot": ~again,
+                }
+            )
         name, run = read("name", np.uint64), read("run", np.uint64)
         order, new = _first_of(name, run, own, lo)
         sorted_name = name[order]
@@ -190,9 +212,13 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     shape = "bucket int, name binary, run binary, own binary, lo binary, more binary, hot binary"
     dealt = docs.mapInArrow(deal, shape).groupBy("bucket")
-    settled = materialize(dealt.applyInArrow(settle, "id long, lo long, hi long, name long, again boolean, hot boolean"), "substring-runs")
+    settled = materialize(
+        dealt.applyInArrow(settle, "id long, lo long, hi long, name long, again boolean, hot boolean"), "substring-runs"
+    )
     whole = settled.where("again").select("id", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    ask = settled.where("not again").groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "name", "hot")).alias("runs"))
+    ask = settled.where("not again").groupBy("id").agg(
+        F.collect_list(F.struct("lo", "hi", "name", "hot")).alias("runs")
+    )
     ids = ask.select("id")
     n = ids.count()
     some = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge"), "id", "left_semi")
@@ -242,7 +268,9 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             row = {"bucket": [i], "name": [0], "id": [0], "lo": [0], "bytes": [packed[by[x:y]].tobytes()]}
             yield pa.RecordBatch.from_pydict(row, schema=cut_schema)
 
-    cut_schema = pa.schema([("bucket", pa.int32()), ("name", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
+    cut_schema = pa.schema(
+        [("bucket", pa.int32()), ("name", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())]
+    )
 
     def compare(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
@@ -252,7 +280,9 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     def same_names(t: pa.Table, bucket: int) -> list[list[np.ndarray]]:
         packed = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint64).reshape(-1, 4)
-        code, other, doc, start = packed[:, 0], packed[:, 1], packed[:, 2].astype(np.int64), packed[:, 3].astype(np.int64)
+        code, other, doc, start = packed[:, 0], packed[:, 1], packed[:, 2].astype(
+            np.int64
+        ), packed[:, 3].astype(np.int64)
         if bucket >= 0:
             order, new = _first_of(code, other, doc, start)
             doc, start = doc[order[~new]], start[order[~new]]
@@ -281,7 +311,9 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             parts.append(_intervals(doc[again], start[again], length))
         return parts
 
-    strings = some.join(ask, "id").select("id", "text", "runs").mapInArrow(cut_out, "bucket int, name long, id long, lo long, bytes binary")
+    strings = some.join(ask, "id").select("id", "text", "runs").mapInArrow(
+        cut_out, "bucket int, name long, id long, lo long, bytes binary"
+    )
     found = strings.groupBy("bucket").applyInArrow(compare, "id long, a long, b long")
     return whole.unionByName(found)
 
@@ -303,33 +335,64 @@ def merged(intervals: DataFrame) -> DataFrame:
             blobs.append(np.stack([a[x:y][new], far[np.append(new[1:], y - x) - 1]], 1).astype("<i8").tobytes())
         return pa.table({"id": pa.array(ids, pa.int64()), "cut": pa.array(blobs, pa.binary())})
 
-    return intervals.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(many))).groupBy("part").applyInArrow(run, "id long, cut binary")
+    return intervals.withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.lit(many))
+    ).groupBy("part").applyInArrow(run, "id long, cut binary")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False
+) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining bytes where ``keep_text``.
 
     Null texts count as empty. Rows without a doc_id, and further texts under a doc_id that is taken, take no part and
     lose nothing; equal rows have equal results. Texts shorter than ``length`` bytes lose nothing.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    marks = materialize(rows.select("id", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")), "substring-marks")
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+    )
+    marks = materialize(
+        rows.select(
+            "id",
+            F.octet_length("text").cast("long").alias("n"),
+            F.xxhash64("text").alias("h1"),
+            F.xxhash64("text", F.lit(1)).alias("h2"),
+        ),
+        "substring-marks",
+    )
     real = marks.where(F.col("id").isNotNull() & (F.col("n") >= length))
     firsts = real.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = join_counted(real, firsts.where("copies > 1"), ["n", "h1", "h2"], "copies", marks.count(), "id").where("id <> rep").select("id", "n", "h1")
+    copies = join_counted(
+        real, firsts.where("copies > 1"), ["n", "h1", "h2"], "copies", marks.count(), "id"
+    ).where("id <> rep").select("id", "n", "h1")
     taken = real.groupBy("id").agg(F.min("h1").alias("own"), F.count_distinct("h1").alias("texts"))
     odd = taken.where("texts > 1").select("id", "own")
-    out_of = materialize(copies.select("id", "h1").distinct().unionByName(real.join(odd, "id").where("h1 <> own").select("id", "h1").distinct()).distinct(), "substring-aside")
+    out_of = materialize(
+        copies.select("id", "h1").distinct().unionByName(
+            real.join(odd, "id").where("h1 <> own").select("id", "h1").distinct()
+        ).distinct(),
+        "substring-aside",
+    )
     aside = out_of.count()
-    keyed = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length)).withColumn("h1", F.xxhash64("text"))
-    part = keyed.join(F.broadcast(out_of) if aside <= BROADCAST_ROWS else out_of.hint("merge"), ["id", "h1"], "left_anti").select("id", "text")
-    whole = copies.join(odd, "id", "left_anti").select("id", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).distinct()
+    keyed = rows.where(
+        F.col("id").isNotNull() & (F.octet_length("text") >= length)
+    ).withColumn("h1", F.xxhash64("text"))
+    part = keyed.join(
+        F.broadcast(out_of) if aside <= BROADCAST_ROWS else out_of.hint("merge"), ["id", "h1"], "left_anti"
+    ).select("id", "text")
+    whole = copies.join(odd, "id", "left_anti").select(
+        "id", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")
+    ).distinct()
     cuts = merged(repeats(part, length=length).unionByName(whole)).join(odd.select("id", "own"), "id", "left")
     cuts = materialize(cuts, "substring-cuts")
     size = cuts.agg(F.sum(F.octet_length("cut")), F.count("*")).first()
     small = (size[0] or 0) <= 16_000_000 and size[1] <= BROADCAST_ROWS
-    joined = rows.withColumn("h1", F.xxhash64("text")).join(F.broadcast(cuts) if small else cuts.hint("merge"), "id", "left")
-    joined = joined.select("id", "text", F.when(F.col("own").isNull() | (F.col("own") == F.col("h1")), F.col("cut")).alias("cut"))
+    joined = rows.withColumn("h1", F.xxhash64("text")).join(
+        F.broadcast(cuts) if small else cuts.hint("merge"), "id", "left"
+    )
+    joined = joined.select(
+        "id", "text", F.when(F.col("own").isNull() | (F.col("own") == F.col("h1")), F.col("cut")).alias("cut")
+    )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,12 +406,30 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
                         kept.append(raw[left:x])
                         left = y
                     rest = b"".join([*kept, raw[left:]])
-                    out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
-                cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                    out.append(
+                        (
+                            len(raw),
+                            len(raw) - len(rest),
+                            len(spans),
+                            hashlib.sha256(rest).hexdigest(),
+                            rest if keep_text else None,
+                        )
+                    )
+                cols = [
+                    pa.array(x, k)
+                    for x, k in zip(
+                        zip(*out, strict=True),
+                        (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()),
+                        strict=True,
+                    )
+                ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols[: 4 + keep_text]], names=shape)
 
     shape = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(
+        finish,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text,
+    )
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

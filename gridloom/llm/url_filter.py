@@ -33,7 +33,9 @@ RULES = (
 
 def url_host(url: Column) -> Column:
     rest = F.element_at(F.split(url, "://", 2), 2)
-    return F.when(F.contains(url, F.lit("://")), lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1))).otherwise(F.lit(""))
+    return F.when(
+        F.contains(url, F.lit("://")), lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1))
+    ).otherwise(F.lit(""))
 
 
 def url_path(url: Column) -> Column:
@@ -65,12 +67,19 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     labels = F.split(F.col("node"), r"\.")
     ups = nodes.select(
         F.col("node").alias("key"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))).alias("node"),
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.size(labels) - 1),
+                lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")),
+            )
+        ).alias("node"),
     )
     return ups.join(nodes, "node").groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack"))
 
 
-def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
+def filter_urls(
+    urls: DataFrame, rules: DataFrame, *, url: str = "url", default: str = "allow", salts: int | None = None
+) -> DataFrame:
     """All rows and columns of ``urls`` in a struct ``row``, with host, path, rule and verdict.
 
     ``rules``: host, path, verdict. Null urls and urls without ``://`` have an empty host and path. Of rules of the same
@@ -80,17 +89,32 @@ def filter_urls(urls: DataFrame, rules: DataFrame, *, url: str = "url", default:
     salts = salts or max(64, 4 * shuffle_partitions(urls.sparkSession))
     own = F.col(f"`{url}`")
     left = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row"), own.alias("u"))
-    left = left.select("row", url_host(F.col("u")).alias("host"), url_path(F.col("u")).alias("path"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
+    left = left.select(
+        "row",
+        url_host(F.col("u")).alias("host"),
+        url_path(F.col("u")).alias("path"),
+        F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"),
+    )
     left = left.withColumn("key", host_key(F.col("host"))).withColumn("top", F.substring_index("key", ".", 1))
     starts = rule_stacks(rules).select(
-        F.substring_index("key", ".", 1).alias("top"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), "stack",
+        F.substring_index("key", ".", 1).alias("top"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        "key",
+        F.lit(0).alias("kind"),
+        "stack",
     )
     events = left.withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    sweep = Window.partitionBy("top", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy("top", "salt").orderBy("key", "kind").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     fits = F.filter("active", lambda r: F.startswith(F.col("key"), r["node"]) & F.startswith(F.col("path"), r["path"]))
     return swept.withColumn("best", F.array_max(fits)).select(
-        "row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")
+        "row",
+        "host",
+        "path",
+        F.col("best.rule").alias("rule"),
+        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
     )
 
 
@@ -108,10 +132,12 @@ WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
 ), h AS (
   SELECT page_id,
-    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u
 ), r(rh, rp, verdict) AS (
-  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')
 ), m AS (
   SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
   FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id

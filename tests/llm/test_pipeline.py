@@ -19,10 +19,14 @@ def test_stages(spark):
     two = corpus_pipeline.near_copies_stage(spark, one, SF).persist()
     assert {r.doc_id for r in two.collect()} == {r.component_id for r in jaccard.jaccard_components(one).collect()}
     three = corpus_pipeline.secrets_stage(spark, two, SF).persist()
-    assert three.columns == docs.columns and three.count() == two.count() and three.where("n_chars <> length(text)").count() == 0
+    assert three.columns == docs.columns and three.count() == two.count() and three.where(
+        "n_chars <> length(text)"
+    ).count() == 0
     four = corpus_pipeline.mixing_stage(spark, three, SF).persist()
     assert four.columns == docs.columns
-    words = lambda d: d.select(F.sum(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0]
+    words = lambda d: d.select(
+        F.sum(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    ).first()[0]
     assert abs(words(four) - 1.5 * words(three)) <= 2 * three.select("source").distinct().count()
     codec = bpe.Codec(bpe.word_model())
     want = sorted((r.doc_id, *codec.digest(r.text)) for r in four.collect())
