@@ -14,7 +14,9 @@ from gridloom.llm.common import materialize, table
 
 
 def _resized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else docs
+    return docs.withColumn(
+        "n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    ) if "n_chars" in docs.columns else docs
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,13 +24,20 @@ def so_far(keys: list[str]):
 def label_runs(df: DataFrame, value: Column, keys: list[str], name: str = "run") -> DataFrame:
     """Numbers the maximal runs of equal ``value`` (null is a value)."""
     changed = (~value.eqNullSafe(F.lag(value).over(ordered(keys)))) | (F.row_number().over(ordered(keys)) == 1)
-    return df.withColumn("_changed", changed.cast("int")).withColumn(name, F.sum("_changed").over(so_far(keys))).drop("_changed")
+    return df.withColumn("_changed", changed.cast("int")).withColumn(
+        name, F.sum("_changed").over(so_far(keys))
+    ).drop("_changed")
 
 
 def run_bounds(df: DataFrame, keys: list[str], run: str = "run", *values: str) -> DataFrame:
     """A row for each run: start_s, last_s, end_s (the first time after it, else its last) and the values of its rows."""
     after = df.withColumn("_next", F.lead("ts_s").over(ordered(keys)))
-    got = after.groupBy(*keys, run).agg(F.min("ts_s").alias("start_s"), F.max("ts_s").alias("last_s"), F.max(F.struct("ts_s", "_next"))["_next"].alias("_end"), *[F.first(v).alias(v) for v in values])
+    got = after.groupBy(*keys, run).agg(
+        F.min("ts_s").alias("start_s"),
+        F.max("ts_s").alias("last_s"),
+        F.max(F.struct("ts_s", "_next"))["_next"].alias("_end"),
+        *[F.first(v).alias(v) for v in values],
+    )
     return got.withColumn("end_s", F.coalesce("_end", "last_s")).drop("_end")
 
 
@@ -42,14 +49,21 @@ def first_max(value: str) -> Column:
 def local(df: DataFrame, tz: str = "UTC") -> DataFrame:
     """Adds local_date, hour and minute_of_day of the instant in ``tz`` (the session is in UTC)."""
     t = F.from_utc_timestamp(F.timestamp_seconds("ts_s"), tz)
-    return df.withColumn("local_date", F.to_date(t)).withColumn("hour", F.hour(t)).withColumn("minute_of_day", F.hour(t) * 60 + F.minute(t))
+    return df.withColumn("local_date", F.to_date(t)).withColumn("hour", F.hour(t)).withColumn(
+        "minute_of_day", F.hour(t) * 60 + F.minute(t)
+    )
 
 
 def iso_text(seconds: Column, tz: str = "UTC") -> Column:
     """ISO 8601 text of an instant in ``tz``, with its offset."""
     wall = F.from_utc_timestamp(F.timestamp_seconds(seconds), tz)
     ahead = ((F.unix_timestamp(wall) - seconds) / 60).cast("int")
-    offset = F.concat(F.when(ahead < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(ahead) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(ahead) % 60).cast("string"), 2, "0"))
+    offset = F.concat(
+        F.when(ahead < 0, "-").otherwise("+"),
+        F.lpad(F.floor(F.abs(ahead) / 60).cast("string"), 2, "0"),
+        F.lit(":"),
+        F.lpad((F.abs(ahead) % 60).cast("string"), 2, "0"),
+    )
     return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), offset)
 
 

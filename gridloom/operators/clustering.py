@@ -28,7 +28,9 @@ def profiles(frame: DataFrame, *, per_day: int) -> DataFrame:
     """Absolute and peak-normalized profiles of all entities: entity_id, profile_kind, local_date, profile."""
     f = peak_normalize(frame)
     kinds = (("absolute", "demand_kw"), ("normalized", "peak_normalized"))
-    a, b = (profile_matrix(f, per_day=per_day, value=value).withColumn("profile_kind", F.lit(kind)) for kind, value in kinds)
+    a, b = (
+        profile_matrix(f, per_day=per_day, value=value).withColumn("profile_kind", F.lit(kind)) for kind, value in kinds
+    )
     return a.unionByName(b).select(*KEYS, "local_date", "profile")
 
 
@@ -40,7 +42,9 @@ def kmeans(x: np.ndarray, k: int, seed: int, tries: int, rounds: int = 300) -> n
         centers = x[rng.integers(len(x))][None]
         for _ in range(1, k):
             far = np.maximum(0, (norm[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)).min(1))
-            centers = np.vstack([centers, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
+            centers = np.vstack(
+                [centers, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]]
+            )
         label = None
         for _ in range(rounds):
             apart = norm[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)
@@ -101,9 +105,22 @@ def cluster_profiles(matrix: DataFrame, *, max_k: int = 8, seed: int = 42, tries
                 label = fits[k]
         _, first = np.unique(label, return_index=True)
         number = {int(label[i]): n for n, i in enumerate(np.sort(first))}
-        labels = [{"local_date": d, "cluster_id": number[int(c)]} for d, c in zip(days, label, strict=True)] if k else []
-        cols = {"entity_id": [t["entity_id"][0].as_py()], "profile_kind": [t["profile_kind"][0].as_py()], "success": [k > 0], "k": [k], "labels": [labels], "scores": [scores]}
-        kinds = {"labels": pa.list_(pa.struct([("local_date", pa.date32()), ("cluster_id", pa.int32())])), "scores": pa.list_(pa.struct([("k", pa.int32()), ("silhouette", pa.float64())])), "k": pa.int32()}
+        labels = [
+            {"local_date": d, "cluster_id": number[int(c)]} for d, c in zip(days, label, strict=True)
+        ] if k else []
+        cols = {
+            "entity_id": [t["entity_id"][0].as_py()],
+            "profile_kind": [t["profile_kind"][0].as_py()],
+            "success": [k > 0],
+            "k": [k],
+            "labels": [labels],
+            "scores": [scores],
+        }
+        kinds = {
+            "labels": pa.list_(pa.struct([("local_date", pa.date32()), ("cluster_id", pa.int32())])),
+            "scores": pa.list_(pa.struct([("k", pa.int32()), ("silhouette", pa.float64())])),
+            "k": pa.int32(),
+        }
         return pa.table({c: pa.array(v, kinds.get(c)) for c, v in cols.items()})
 
     return matrix.groupBy(*KEYS).applyInArrow(run, SCHEMA)
@@ -117,10 +134,16 @@ def cluster_stats(clusters: DataFrame, matrix: DataFrame) -> DataFrame:
     """A row for each cluster: size, share of days, greatest value of its centre, mean spread of its intervals."""
     days = labels(clusters).join(matrix, [*KEYS, "local_date"])
     own = [*KEYS, "cluster_id"]
-    per = days.select(*own, F.posexplode("profile").alias("i", "v")).groupBy(*own, "i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    per = days.select(*own, F.posexplode("profile").alias("i", "v")).groupBy(*own, "i").agg(
+        F.avg("v").alias("m"), F.stddev_pop("v").alias("s")
+    )
     center = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"])
-    shape = per.groupBy(*own).agg(F.max("m").alias("representative_peak"), F.avg("s").alias("within_cluster_variability"), center.alias("center"))
+    shape = per.groupBy(*own).agg(
+        F.max("m").alias("representative_peak"), F.avg("s").alias("within_cluster_variability"), center.alias("center")
+    )
     sizes = days.groupBy(*own).agg(F.count("*").alias("cluster_size"))
     total = days.groupBy(*KEYS).agg(F.count("*").alias("_n"))
-    sizes = sizes.join(total, KEYS).withColumn("percentage_of_days", 100.0 * F.col("cluster_size") / F.col("_n")).drop("_n")
+    sizes = sizes.join(total, KEYS).withColumn(
+        "percentage_of_days", 100.0 * F.col("cluster_size") / F.col("_n")
+    ).drop("_n")
     return sizes.join(shape, own)

@@ -14,9 +14,21 @@ ENTITY_DAY = ["entity_id", "local_date"]
 STRETCH = 86_400 * 7
 #: Day segments, half-open hours; and seasons by month.
 SEGMENTS = {"morning": (6, 10), "midday": (10, 14), "afternoon": (14, 18), "evening": (18, 22)}
-SEASONS = {12: "winter", 1: "winter", 2: "winter", 3: "spring", 4: "spring", 5: "spring", 6: "summer", 7: "summer", 8: "summer", 9: "fall", 10: "fall", 11: "fall"}
+SEASONS = {
+    12: "winter", 1: "winter", 2: "winter", 3: "spring", 4: "spring", 5: "spring", 6: "summer", 7: "summer",
+    8: "summer", 9: "fall", 10: "fall", 11: "fall",
+}
 #: Limits of load shapes.
-SHAPE = {"flat_cv_max": 0.15, "highly_peaked_ratio_min": 2.0, "sharp_peak_width_frac_max": 0.10, "sustained_high_frac_min": 0.30, "sustained_high_pct_of_peak": 0.90, "overnight_heavy_ratio_min": 1.1, "multi_peak_min_count": 2, "near_peak_segment_fraction": 0.85}
+SHAPE = {
+    "flat_cv_max": 0.15,
+    "highly_peaked_ratio_min": 2.0,
+    "sharp_peak_width_frac_max": 0.10,
+    "sustained_high_frac_min": 0.30,
+    "sustained_high_pct_of_peak": 0.90,
+    "overnight_heavy_ratio_min": 1.1,
+    "multi_peak_min_count": 2,
+    "near_peak_segment_fraction": 0.85,
+}
 
 
 #: Rows of a membership table up to which it is broadcast; beyond it the join shuffles by meter.
@@ -35,22 +47,41 @@ def yes(c: Column) -> Column:
 def entity_sum(df: DataFrame, members: DataFrame, *, min_count: int = 1) -> DataFrame:
     """Sums of the members' demand. ``members``: entity_id, meter_id."""
     j = _with_members(df, members)
-    got = j.groupBy("entity_id", "ts_s").agg(F.sum("demand_kw").alias("total"), F.count("demand_kw").alias("n_meters_reporting"))
-    total = F.coalesce("total", F.lit(0.0)) if min_count == 0 else F.when(F.col("n_meters_reporting") >= min_count, F.col("total"))
-    return got.select("entity_id", "ts_s", total.alias("demand_kw"), "n_meters_reporting").withColumn("is_missing", F.col("demand_kw").isNull())
+    got = j.groupBy("entity_id", "ts_s").agg(
+        F.sum("demand_kw").alias("total"), F.count("demand_kw").alias("n_meters_reporting")
+    )
+    total = F.coalesce("total", F.lit(0.0)) if min_count == 0 else F.when(
+        F.col("n_meters_reporting") >= min_count, F.col("total")
+    )
+    return got.select(
+        "entity_id", "ts_s", total.alias("demand_kw"), "n_meters_reporting"
+    ).withColumn("is_missing", F.col("demand_kw").isNull())
 
 
-def calendar(df: DataFrame, *, holidays: tuple[str, ...] = (), tz: str = "UTC", seasons: dict[int, str] | None = None) -> DataFrame:
+def calendar(
+    df: DataFrame, *, holidays: tuple[str, ...] = (), tz: str = "UTC", seasons: dict[int, str] | None = None
+) -> DataFrame:
     t = F.from_utc_timestamp(F.timestamp_seconds("ts_s"), tz)
     day = F.to_date(t)
     free = F.lit(False) if not holidays else day.cast("string").isin(*holidays)
     season = F.create_map(*[x for k, v in (seasons or SEASONS).items() for x in (F.lit(k), F.lit(v))])
-    return df.withColumns(
+    return df.withColumns(
         {
-            "local_date": day, "year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "day_of_year": F.dayofyear(t), "hour": F.hour(t), "minute": F.minute(t), "day_of_week": F.weekday(t), "day_name": F.date_format(t, "EEEE"),
-            "is_weekday": F.weekday(t) < 5, "is_weekend": F.weekday(t) >= 5, "season": season[F.month(t)], "day_type": F.when(free, "holiday").when(F.weekday(t) < 5, "weekday").otherwise("weekend"),
+            "local_date": day,
+            "year": F.year(t),
+            "month": F.month(t),
+            "day": F.dayofmonth(t),
+            "day_of_year": F.dayofyear(t),
+            "hour": F.hour(t),
+            "minute": F.minute(t),
+            "day_of_week": F.weekday(t),
+            "day_name": F.date_format(t, "EEEE"),
+            "is_weekday": F.weekday(t) < 5,
+            "is_weekend": F.weekday(t) >= 5,
+            "season": season[F.month(t)],
+            "day_type": F.when(free, "holiday").when(F.weekday(t) < 5, "weekday").otherwise("weekend"),
         }
-    )
+    )
 
 
 def tod_segments(df: DataFrame, segments: dict[str, tuple[int, int]] = SEGMENTS) -> DataFrame:
@@ -58,23 +89,39 @@ def tod_segments(df: DataFrame, segments: dict[str, tuple[int, int]] = SEGMENTS)
     night = (F.col("hour") >= 22) | (F.col("hour") < 6)
     mean = F.avg(F.when(night, F.col("demand_kw")))
     return df.groupBy(*ENTITY_DAY).agg(
-        *[F.max(F.when((F.col("hour") >= a) & (F.col("hour") < b), F.col("demand_kw"))).alias(f"{k}_peak_kw") for k, (a, b) in segments.items()],
-        mean.alias("overnight_mean_kw"), mean.alias("nighttime_mean_kw"), F.avg(F.when(~night, F.col("demand_kw"))).alias("daytime_mean_kw"),
+        *[
+            F.max(F.when((F.col("hour") >= a) & (F.col("hour") < b), F.col("demand_kw"))).alias(f"{k}_peak_kw")
+            for k, (a, b) in segments.items()
+        ],
+        mean.alias("overnight_mean_kw"),
+        mean.alias("nighttime_mean_kw"),
+        F.avg(F.when(~night, F.col("demand_kw"))).alias("daytime_mean_kw"),
     )
 
 
 def peak_normalize(df: DataFrame) -> DataFrame:
-    return df.withColumn("peak_normalized", F.col("demand_kw") / F.nullif(F.max("demand_kw").over(Window.partitionBy(*ENTITY_DAY)), F.lit(0.0)))
+    return df.withColumn(
+        "peak_normalized",
+        F.col("demand_kw") / F.nullif(F.max("demand_kw").over(Window.partitionBy(*ENTITY_DAY)), F.lit(0.0)),
+    )
 
 
-def demand_families(df: DataFrame, *, thresholds: tuple[float, ...] = (), percentiles: tuple[float, ...] = (), ranks: tuple[int, ...] = ()) -> DataFrame:
+def demand_families(
+    df: DataFrame,
+    *,
+    thresholds: tuple[float, ...] = (),
+    percentiles: tuple[float, ...] = (),
+    ranks: tuple[int, ...] = (),
+) -> DataFrame:
     name = lambda x: f"{x:g}".replace(".", "_")
     d = F.col("demand_kw")
     for k in thresholds:
         df = df.withColumn(f"meets_threshold_{name(k)}", yes(d >= k))
     if percentiles:
         # An exact percentile per entity is aggregated, not windowed, and joined back.
-        cut = df.groupBy("entity_id").agg(*[F.percentile("demand_kw", F.lit(p)).alias(f"_p{name(p)}") for p in percentiles])
+        cut = df.groupBy("entity_id").agg(
+            *[F.percentile("demand_kw", F.lit(p)).alias(f"_p{name(p)}") for p in percentiles]
+        )
         df = df.join(cut, "entity_id")
         for p in percentiles:
             df = df.withColumn(f"top_pct_{name(p)}", yes(d >= F.col(f"_p{name(p)}"))).drop(f"_p{name(p)}")
@@ -82,20 +129,30 @@ def demand_families(df: DataFrame, *, thresholds: tuple[float, ...] = (), percen
         # The n of an entity are among the n of each of its stretches of time, so that no sort holds a whole entity.
         stretch = F.floor(F.col("ts_s") / STRETCH)
         near = F.row_number().over(Window.partitionBy("entity_id", stretch).orderBy(d.desc_nulls_last(), "ts_s"))
-        some = df.select("entity_id", "ts_s", "demand_kw").where("demand_kw is not null").withColumn("_near", near).where(F.col("_near") <= n)
+        some = df.select(
+            "entity_id", "ts_s", "demand_kw"
+        ).where("demand_kw is not null").withColumn("_near", near).where(F.col("_near") <= n)
         place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("demand_kw"), "ts_s"))
-        top = some.withColumn("_place", place).where(F.col("_place") <= n).select("entity_id", "ts_s", F.lit(True).alias(f"top_rank_{n}"))
+        top = some.withColumn("_place", place).where(F.col("_place") <= n).select(
+            "entity_id", "ts_s", F.lit(True).alias(f"top_rank_{n}")
+        )
         df = df.join(top, ["entity_id", "ts_s"], "left").withColumn(f"top_rank_{n}", yes(F.col(f"top_rank_{n}")))
     return df
 
 
 def with_resolution(df: DataFrame) -> DataFrame:
     """Adds resolution_minutes of each entity: its commonest step, 60 where it has none."""
-    found = detect_resolution(df.select(F.col("entity_id").alias("meter_id"), "ts_s")).withColumnRenamed("meter_id", "entity_id")
-    return df.join(found, "entity_id", "left").withColumn("resolution_minutes", F.coalesce("resolution_minutes", F.lit(60.0)))
+    found = detect_resolution(
+        df.select(F.col("entity_id").alias("meter_id"), "ts_s")
+    ).withColumnRenamed("meter_id", "entity_id")
+    return df.join(found, "entity_id", "left").withColumn(
+        "resolution_minutes", F.coalesce("resolution_minutes", F.lit(60.0))
+    )
 
 
-def daily_summary(df: DataFrame, *, per_day: int | None = None, resolution_minutes: float | None = None, tz: str = "UTC") -> DataFrame:
+def daily_summary(
+    df: DataFrame, *, per_day: int | None = None, resolution_minutes: float | None = None, tz: str = "UTC"
+) -> DataFrame:
     """A row for each entity and day; peak_time_minutes counts from local midnight in ``tz``. Without ``per_day`` and
     ``resolution_minutes`` each entity has those of its commonest step."""
     if per_day is None or resolution_minutes is None:
@@ -104,12 +161,20 @@ def daily_summary(df: DataFrame, *, per_day: int | None = None, resolution_minut
     else:
         minutes = F.lit(float(resolution_minutes))
     got = df.groupBy(*ENTITY_DAY).agg(
-        F.count("*").alias("n"), F.count("demand_kw").alias("seen"), F.sum("demand_kw").alias("total"), F.max("demand_kw").alias("maximum_demand_kw"), first_max("demand_kw").alias("at"), minutes.alias("minutes")
+        F.count("*").alias("n"),
+        F.count("demand_kw").alias("seen"),
+        F.sum("demand_kw").alias("total"),
+        F.max("demand_kw").alias("maximum_demand_kw"),
+        first_max("demand_kw").alias("at"),
+        minutes.alias("minutes"),
     )
     whole = F.round(1440 / F.col("minutes")) if per_day is None else F.lit(per_day)
     at = F.from_utc_timestamp(F.timestamp_seconds("at"), tz)
     return got.select(
-        *ENTITY_DAY, ((F.col("n") == whole) & (F.col("seen") == whole)).alias("is_complete_day"), (F.col("total") * F.col("minutes") / 60).alias("daily_energy_kwh"), "maximum_demand_kw",
+        *ENTITY_DAY,
+        ((F.col("n") == whole) & (F.col("seen") == whole)).alias("is_complete_day"),
+        (F.col("total") * F.col("minutes") / 60).alias("daily_energy_kwh"),
+        "maximum_demand_kw",
         (F.hour(at) * 60 + F.minute(at)).alias("peak_time_minutes"),
     )
 
@@ -119,52 +184,101 @@ def load_shape(df: DataFrame, tod: DataFrame, *, per_day: int, cfg: dict = SHAPE
     top = F.max("demand_kw").over(Window.partitionBy(*ENTITY_DAY))
     high = yes(F.col("demand_kw") >= cfg["sustained_high_pct_of_peak"] * F.col("_top")).cast("double")
     got = df.withColumn("_top", top).withColumn("_high", high).groupBy(*ENTITY_DAY).agg(
-        F.avg("demand_kw").alias("mean_demand_kw"), F.stddev_samp("demand_kw").alias("std_demand_kw"), F.max("demand_kw").alias("max_demand_kw"), F.count("demand_kw").alias("n_observed"),
-        F.count_if("is_local_peak").alias("n_local_peaks"), F.count_if("is_local_valley").alias("n_local_valleys"), F.avg("_high").alias("high_fraction"),
+        F.avg("demand_kw").alias("mean_demand_kw"),
+        F.stddev_samp("demand_kw").alias("std_demand_kw"),
+        F.max("demand_kw").alias("max_demand_kw"),
+        F.count("demand_kw").alias("n_observed"),
+        F.count_if("is_local_peak").alias("n_local_peaks"),
+        F.count_if("is_local_valley").alias("n_local_valleys"),
+        F.avg("_high").alias("high_fraction"),
     )
     c = F.col
-    s = got.join(tod, ENTITY_DAY, "left").withColumn("cv", c("std_demand_kw") / F.nullif(c("mean_demand_kw"), F.lit(0.0))).withColumn("peak_to_average_ratio", c("max_demand_kw") / F.nullif(c("mean_demand_kw"), F.lit(0.0)))
-    s = s.withColumns({f"has_{k}_peak": yes(c(f"{k}_peak_kw") >= cfg["near_peak_segment_fraction"] * c("max_demand_kw")) for k in SEGMENTS})
+    s = got.join(tod, ENTITY_DAY, "left").withColumn(
+        "cv", c("std_demand_kw") / F.nullif(c("mean_demand_kw"), F.lit(0.0))
+    ).withColumn(
+        "peak_to_average_ratio", c("max_demand_kw") / F.nullif(c("mean_demand_kw"), F.lit(0.0))
+    )
     s = s.withColumns(
         {
-            "is_unusual": c("n_observed") / per_day < 0.5, "is_flat": yes(c("cv") <= cfg["flat_cv_max"]), "is_highly_peaked": yes(c("peak_to_average_ratio") >= cfg["highly_peaked_ratio_min"]),
-            "is_overnight_heavy": yes(c("overnight_mean_kw") / F.nullif(c("daytime_mean_kw"), F.lit(0.0)) >= cfg["overnight_heavy_ratio_min"]), "is_multi_peak": c("n_local_peaks") >= cfg["multi_peak_min_count"],
-            "has_peak_valley_pattern": (c("n_local_peaks") >= 1) & (c("n_local_valleys") >= 1), "has_sharp_peak": yes(c("high_fraction") <= cfg["sharp_peak_width_frac_max"]), "has_sustained_high_load": yes(c("high_fraction") >= cfg["sustained_high_frac_min"]),
+            f"has_{k}_peak": yes(c(f"{k}_peak_kw") >= cfg["near_peak_segment_fraction"] * c("max_demand_kw"))
+            for k in SEGMENTS
+        }
+    )
+    s = s.withColumns(
+        {
+            "is_unusual": c("n_observed") / per_day < 0.5,
+            "is_flat": yes(c("cv") <= cfg["flat_cv_max"]),
+            "is_highly_peaked": yes(c("peak_to_average_ratio") >= cfg["highly_peaked_ratio_min"]),
+            "is_overnight_heavy": yes(
+                c("overnight_mean_kw") / F.nullif(c("daytime_mean_kw"), F.lit(0.0)) >= cfg["overnight_heavy_ratio_min"]
+            ),
+            "is_multi_peak": c("n_local_peaks") >= cfg["multi_peak_min_count"],
+            "has_peak_valley_pattern": (c("n_local_peaks") >= 1) & (c("n_local_valleys") >= 1),
+            "has_sharp_peak": yes(c("high_fraction") <= cfg["sharp_peak_width_frac_max"]),
+            "has_sustained_high_load": yes(c("high_fraction") >= cfg["sustained_high_frac_min"]),
         }
-    )
+    )
     sharp = c("is_highly_peaked") & c("has_sharp_peak")
-    shape = (
-        F.when(c("is_unusual"), "insufficient_data").when(sharp & c("has_morning_peak") & ~c("has_afternoon_peak") & ~c("has_evening_peak"), "morning_peak").when(sharp & c("has_afternoon_peak"), "afternoon_peak")
-        .when(sharp & c("has_evening_peak"), "evening_peak").when(sharp & c("has_midday_peak"), "midday_peak").when(c("is_multi_peak"), "multi_peak").when(c("is_overnight_heavy"), "overnight_heavy").when(c("is_flat"), "flat").otherwise("mixed_other")
-    )
+    shape = (
+        F.when(c("is_unusual"), "insufficient_data").when(
+            sharp & c("has_morning_peak") & ~c("has_afternoon_peak") & ~c("has_evening_peak"), "morning_peak"
+        ).when(
+            sharp & c("has_afternoon_peak"), "afternoon_peak"
+        ).when(
+            sharp & c("has_evening_peak"), "evening_peak"
+        ).when(
+            sharp & c("has_midday_peak"), "midday_peak"
+        ).when(c("is_multi_peak"), "multi_peak").when(
+            c("is_overnight_heavy"), "overnight_heavy"
+        ).when(c("is_flat"), "flat").otherwise("mixed_other")
+    )
     return s.withColumn("der_primary_shape", shape)
 
 
 def _support(days: DataFrame, keys: list[str], complete: DataFrame, min_days: int) -> DataFrame:
-    got = days.groupBy("entity_id", *keys).agg(F.count("*").alias("n_days"), F.array_sort(F.collect_list("local_date")).alias("dates")).where(F.col("n_days") >= min_days)
-    return got.join(complete, "entity_id").withColumn("statistical_support", F.col("n_days") / F.col("n_complete")).drop("n_complete")
+    got = days.groupBy("entity_id", *keys).agg(
+        F.count("*").alias("n_days"), F.array_sort(F.collect_list("local_date")).alias("dates")
+    ).where(F.col("n_days") >= min_days)
+    return got.join(complete, "entity_id").withColumn(
+        "statistical_support", F.col("n_days") / F.col("n_complete")
+    ).drop("n_complete")
 
 
 def recurring_timing(summary: DataFrame, *, window_minutes: int = 30, min_days: int = 3) -> DataFrame:
-    days = summary.where("is_complete_day").withColumn("window_start_minutes", (F.floor(F.col("peak_time_minutes") / window_minutes) * window_minutes).cast("int"))
+    days = summary.where("is_complete_day").withColumn(
+        "window_start_minutes", (F.floor(F.col("peak_time_minutes") / window_minutes) * window_minutes).cast("int")
+    )
     complete = days.groupBy("entity_id").agg(F.count("*").alias("n_complete"))
-    return _support(days, ["window_start_minutes"], complete, min_days).withColumn("window_end_minutes", F.col("window_start_minutes") + window_minutes)
+    return _support(days, ["window_start_minutes"], complete, min_days).withColumn(
+        "window_end_minutes", F.col("window_start_minutes") + window_minutes
+    )
 
 
 def recurring_shape(summary: DataFrame, shapes: DataFrame, *, min_days: int = 3) -> DataFrame:
-    days = summary.where("is_complete_day").join(shapes.select(*ENTITY_DAY, F.col("der_primary_shape").alias("primary_shape")), ENTITY_DAY)
+    days = summary.where("is_complete_day").join(
+        shapes.select(*ENTITY_DAY, F.col("der_primary_shape").alias("primary_shape")), ENTITY_DAY
+    )
     complete = summary.where("is_complete_day").groupBy("entity_id").agg(F.count("*").alias("n_complete"))
     return _support(days.where("primary_shape <> 'insufficient_data'"), ["primary_shape"], complete, min_days)
 
 
 def outlier_days(summary: DataFrame, *, limit: float = 2.5, min_days: int = 5) -> DataFrame:
     w = Window.partitionBy("entity_id", "metric")
-    long = summary.where("is_complete_day").select(*ENTITY_DAY, F.expr("stack(2, 'daily_energy_kwh', daily_energy_kwh, 'maximum_demand_kw', maximum_demand_kw) as (metric, value)"))
+    long = summary.where("is_complete_day").select(
+        *ENTITY_DAY,
+        F.expr(
+            "stack(2, 'daily_energy_kwh', daily_energy_kwh, 'maximum_demand_kw', maximum_demand_kw) as (metric, value)"
+        ),
+    )
     z = (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_samp("value").over(w), F.lit(0.0))
-    return long.withColumn("n", F.count("*").over(w)).withColumn("z_score", z).where((F.col("n") >= min_days) & (F.abs("z_score") >= limit)).drop("n")
+    return long.withColumn("n", F.count("*").over(w)).withColumn("z_score", z).where(
+        (F.col("n") >= min_days) & (F.abs("z_score") >= limit)
+    ).drop("n")
 
 
-def coincidence(df: DataFrame, members: DataFrame, *, daily: bool = False, min_meters: int = 2, order: str | None = None) -> DataFrame:
+def coincidence(
+    df: DataFrame, members: DataFrame, *, daily: bool = False, min_meters: int = 2, order: str | None = None
+) -> DataFrame:
     """Greatest sum of the meters over the sum of their own greatest demands, for the study or each day. ``order``: a
     column by which the first of several readings of a meter at one time counts; without it readings are unique."""
     keys = ["entity_id", *(["local_date"] if daily else [])]
@@ -177,19 +291,30 @@ def coincidence(df: DataFrame, members: DataFrame, *, daily: bool = False, min_m
     enough = j.groupBy("entity_id", "meter_id").agg(F.lit(1)).groupBy("entity_id").agg(F.count("*").alias("n_study"))
     own = own.groupBy(*keys).agg(F.sum("m").alias("sum_of_individual_peaks_kw"), F.count("*").alias("n_meters"))
     total = j.groupBy(*keys, "ts_s").agg(F.sum("demand_kw").alias("t"))
-    group = total.groupBy(*keys).agg(F.max("t").alias("group_peak_kw"), F.min_by("ts_s", F.struct((-F.col("t")).alias("t"), "ts_s")).alias("coincident_peak_s"))
+    group = total.groupBy(*keys).agg(
+        F.max("t").alias("group_peak_kw"),
+        F.min_by("ts_s", F.struct((-F.col("t")).alias("t"), "ts_s")).alias("coincident_peak_s"),
+    )
     got = own.join(group, keys).join(enough, "entity_id")
     ok = (F.col("n_study") >= min_meters) & (F.col("sum_of_individual_peaks_kw") > 0)
-    got = got.withColumn("success", ok).withColumn("coincidence_factor", F.when(ok, F.col("group_peak_kw") / F.col("sum_of_individual_peaks_kw")))
+    got = got.withColumn("success", ok).withColumn(
+        "coincidence_factor", F.when(ok, F.col("group_peak_kw") / F.col("sum_of_individual_peaks_kw"))
+    )
     if daily:
         return got.where(F.col("n_study") >= min_meters).drop("n_study")
     # Of the study every entity has a row, with no figures where it has too few meters.
     figures = ["sum_of_individual_peaks_kw", "group_peak_kw", "coincident_peak_s"]
-    got = members.select("entity_id").distinct().join(got.drop("n_study"), "entity_id", "left").withColumn("success", F.coalesce("success", F.lit(False)))
-    return got.withColumns({c: F.when(F.col("success"), F.col(c)) for c in figures}).withColumn("n_meters", F.coalesce("n_meters", F.lit(0).cast("long")))
+    got = members.select("entity_id").distinct().join(got.drop("n_study"), "entity_id", "left").withColumn(
+        "success", F.coalesce("success", F.lit(False))
+    )
+    return got.withColumns({c: F.when(F.col("success"), F.col(c)) for c in figures}).withColumn(
+        "n_meters", F.coalesce("n_meters", F.lit(0).cast("long"))
+    )
 
 
 def meter_peaks(df: DataFrame, members: DataFrame, *, daily: bool = False) -> DataFrame:
     """meter_peak_kw of each entity's meters, a row for each."""
     keys = ["entity_id", *(["local_date"] if daily else []), "meter_id"]
-    return _with_members(df.where("demand_kw is not null"), members).groupBy(*keys).agg(F.max("demand_kw").alias("meter_peak_kw"))
+    return _with_members(
+        df.where("demand_kw is not null"), members
+    ).groupBy(*keys).agg(F.max("demand_kw").alias("meter_peak_kw"))

@@ -10,7 +10,14 @@ from pyspark.sql.window import Window
 BANDS = (32, 50, 65, 80, 90)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, *, keys: tuple[str, ...] = (), block_seconds: int = 86_400 * 7, tolerance_seconds: int | None = None) -> DataFrame:
+def asof_nearest(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    keys: tuple[str, ...] = (),
+    block_seconds: int = 86_400 * 7,
+    tolerance_seconds: int | None = None,
+) -> DataFrame:
     """The nearest right row by ts_s, within the tolerance if there is one, the earlier of ties; its temperature_f may be
     null.
 
@@ -18,19 +25,35 @@ def asof_nearest(left: DataFrame, right: DataFrame, *, keys: tuple[str, ...] = (
     first after it; these are carried over the blocks, of which there are few, and not over the rows.
     """
     block = lambda c: F.floor(c / block_seconds)
-    a = left.select(*keys, "ts_s", F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"), block(F.col("ts_s")).alias("_block"))
-    r = right.select(*keys, "ts_s", F.struct(F.col("ts_s").alias("t"), F.col("temperature_f").alias("f")).alias("_hit"), block(F.col("ts_s")).alias("_block"))
+    a = left.select(
+        *keys,
+        "ts_s",
+        F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"),
+        block(F.col("ts_s")).alias("_block"),
+    )
+    r = right.select(
+        *keys,
+        "ts_s",
+        F.struct(F.col("ts_s").alias("t"), F.col("temperature_f").alias("f")).alias("_hit"),
+        block(F.col("ts_s")).alias("_block"),
+    )
     at = [*keys, "_block"]
-    ends = a.select(*at).distinct().join(r.groupBy(*at).agg(F.min("_hit").alias("_low"), F.max("_hit").alias("_high")), at, "full")
+    ends = a.select(*at).distinct().join(
+        r.groupBy(*at).agg(F.min("_hit").alias("_low"), F.max("_hit").alias("_high")), at, "full"
+    )
     order = Window.partitionBy(*keys).orderBy("_block")
     back = F.last("_high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.last("_low", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.last("_low", ignorenulls=True).over(
+        Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    )
     carried = ends.select(*at, back.alias("_back"), ahead.alias("_ahead"))
     both = a.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*at).orderBy("ts_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     f = Window.partitionBy(*at).orderBy(F.desc("ts_s")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # Max of the struct's time is the last hit at or before; min of the reverse sweep the first at or after.
-    got = both.withColumn("b", F.max("_hit").over(w)).withColumn("n", F.min("_hit").over(f)).where("_row is not null").join(carried, at, "left")
+    got = both.withColumn(
+        "b", F.max("_hit").over(w)
+    ).withColumn("n", F.min("_hit").over(f)).where("_row is not null").join(carried, at, "left")
     got = got.withColumn("b", F.coalesce("b", "_back")).withColumn("n", F.coalesce("n", "_ahead"))
     db, dn = F.col("ts_s") - F.col("b.t"), F.col("n.t") - F.col("ts_s")
     earlier = db.isNotNull() & (dn.isNull() | (db <= dn))

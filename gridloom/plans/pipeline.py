@@ -25,7 +25,14 @@ class MeterTables:
     periods: DataFrame
 
 
-def run_meters(readings: DataFrame, cfg: dict | None = None, *, tz: str | None = None, order: str | None = "ingest_seq", check: bool = True) -> MeterTables:
+def run_meters(
+    readings: DataFrame,
+    cfg: dict | None = None,
+    *,
+    tz: str | None = None,
+    order: str | None = "ingest_seq",
+    check: bool = True,
+) -> MeterTables:
     """All meters and days at once, each meter at its own resolution. ``readings``: meter_id, ts_s, demand_kw, maybe
     building_id, and the column ``order``, by which the first of several readings of one time counts; order = None says
     that times are unique."""
@@ -39,27 +46,82 @@ def run_meters(readings: DataFrame, cfg: dict | None = None, *, tz: str | None =
     resolution = stage(grid.detect_resolution(unique), "resolution")
     if cfg["input"]["unit"] == "kWh":
         unique = grid.convert_units(unique.join(resolution, "meter_id"), "kWh").drop("resolution_minutes")
-    regular = grid.regularize(unique, max_gap_minutes=cfg["data_quality"]["max_interpolation_gap_minutes"], tz=tz, resolution=resolution)
-    smooth = grid.smooth(regular, method=cfg["smoothing"]["method"], window_minutes=cfg["smoothing"]["window_minutes"], resolution=resolution)
-    buildings = readings.groupBy("meter_id").agg(F.first("building_id", ignorenulls=True).alias("building_id")) if "building_id" in readings.columns else None
+    regular = grid.regularize(
+        unique, max_gap_minutes=cfg["data_quality"]["max_interpolation_gap_minutes"], tz=tz, resolution=resolution
+    )
+    smooth = grid.smooth(
+        regular,
+        method=cfg["smoothing"]["method"],
+        window_minutes=cfg["smoothing"]["window_minutes"],
+        resolution=resolution,
+    )
+    buildings = readings.groupBy("meter_id").agg(
+        F.first("building_id", ignorenulls=True).alias("building_id")
+    ) if "building_id" in readings.columns else None
     b = cfg["baseline"]
-    base = states.baseline(smooth, low_percentile=b["low_demand_percentile"], fallback_percentile=b["continuous_operation_fallback_percentile"], min_minutes=b["min_persistence_minutes"], range_fraction=b["continuous_operation_range_fraction"])
+    base = states.baseline(
+        smooth,
+        low_percentile=b["low_demand_percentile"],
+        fallback_percentile=b["continuous_operation_fallback_percentile"],
+        min_minutes=b["min_persistence_minutes"],
+        range_fraction=b["continuous_operation_range_fraction"],
+    )
     s = states.normalize_demand(smooth, base, peak=cfg["normalization"]["peak_for_normalization"])
     t = cfg["operating_threshold"]
-    s = states.persistence(states.hysteresis(s, entry=t["alpha_entry"], exit=t["alpha_exit"]), min_minutes=t["min_state_persistence_minutes"])
+    s = states.persistence(
+        states.hysteresis(s, entry=t["alpha_entry"], exit=t["alpha_exit"]),
+        min_minutes=t["min_state_persistence_minutes"],
+    )
     # All day tables start from here, the baseline and the quality of the days included.
     s = stage(s, "states")
-    base = s.where("baseline_kw is not null").select(*DAY, "baseline_kw", "operating_range_kw", "is_continuous").distinct()
-    periods = states.operating_periods(s, min_minutes=cfg["multiple_periods"]["min_period_duration_minutes"], gap_minutes=cfg["multiple_periods"]["min_baseline_gap_minutes"])
+    base = s.where("baseline_kw is not null").select(
+        *DAY, "baseline_kw", "operating_range_kw", "is_continuous"
+    ).distinct()
+    periods = states.operating_periods(
+        s,
+        min_minutes=cfg["multiple_periods"]["min_period_duration_minutes"],
+        gap_minutes=cfg["multiple_periods"]["min_baseline_gap_minutes"],
+    )
     gradual = cfg["smoothing"]["window_minutes"]
     starts = events.best_event(events.start_candidates(s), cfg["start_detection"], gradual_minutes=gradual)
     ends = events.best_event(events.end_candidates(s), cfg["end_detection"], gradual_minutes=gradual)
     ramps = events.ramp_events(s, cfg=cfg["ramp_detection"])
     peaks = events.peak_events(s, cfg=cfg["peak_detection"], widths=tuple(cfg["breadth"]["peak_thresholds"]))
     quality = grid.daily_quality(s, min_completeness=cfg["data_quality"]["min_completeness_fraction"])
-    vector = features.daily_features(s, base, quality, starts, ends, ramps, peaks, periods, tuple(cfg["breadth"]["operating_thresholds"]), tz=tz, resolution=resolution, buildings=buildings, energy=cfg["breadth"]["compute_energy_breadth"])
-    keep = ["meter_id", "ts_s", "local_date", "hour", "demand_kw", "demand_kw_raw", "is_observed", "is_interpolated", "is_missing", "data_quality_flag", F.col("smooth_kw").alias("analysis_demand_kw"), "normalized_demand", "baseline_kw", "state"]
-    return MeterTables(s.select(*keep), features.classify_day(vector, cfg["classification"], tz=tz), ramps, peaks, periods)
+    vector = features.daily_features(
+        s,
+        base,
+        quality,
+        starts,
+        ends,
+        ramps,
+        peaks,
+        periods,
+        tuple(cfg["breadth"]["operating_thresholds"]),
+        tz=tz,
+        resolution=resolution,
+        buildings=buildings,
+        energy=cfg["breadth"]["compute_energy_breadth"],
+    )
+    keep = [
+        "meter_id",
+        "ts_s",
+        "local_date",
+        "hour",
+        "demand_kw",
+        "demand_kw_raw",
+        "is_observed",
+        "is_interpolated",
+        "is_missing",
+        "data_quality_flag",
+        F.col("smooth_kw").alias("analysis_demand_kw"),
+        "normalized_demand",
+        "baseline_kw",
+        "state",
+    ]
+    return MeterTables(
+        s.select(*keep), features.classify_day(vector, cfg["classification"], tz=tz), ramps, peaks, periods
+    )
 
 
 @dataclass
@@ -71,7 +133,14 @@ class EntityTables:
     daily_coincidence: DataFrame
 
 
-def run_entities(interval: DataFrame, members: DataFrame, cfg: dict | None = None, *, tz: str | None = None, temperature: DataFrame | None = None) -> EntityTables:
+def run_entities(
+    interval: DataFrame,
+    members: DataFrame,
+    cfg: dict | None = None,
+    *,
+    tz: str | None = None,
+    temperature: DataFrame | None = None,
+) -> EntityTables:
     """The five output tables by the settings of [der]. ``interval``: of run_meters; ``members``: entity_id, meter_id."""
     cfg = with_defaults(cfg)
     tz, d = tz or cfg["timezone"]["default_tz"], cfg["der"]
@@ -81,13 +150,25 @@ def run_entities(interval: DataFrame, members: DataFrame, cfg: dict | None = Non
     if temperature is not None:
         t = d["temperature"]
         minutes = t["join_tolerance_minutes"]
-        joined = weather.asof_nearest(frame, temperature, tolerance_seconds=None if minutes is None else int(minutes * 60))
+        joined = weather.asof_nearest(
+            frame, temperature, tolerance_seconds=None if minutes is None else int(minutes * 60)
+        )
         frame = weather.temp_policy(joined, override=t["override_existing"])
-        frame = frame.withColumn("temperature_band", weather.band(F.col("temperature_f"), tuple(t["bands"]["boundaries"])))
+        frame = frame.withColumn(
+            "temperature_band", weather.band(F.col("temperature_f"), tuple(t["bands"]["boundaries"]))
+        )
     segments = {k: tuple(v) for k, v in d["time_of_day"]["segments"].items()}
-    daily = entities.daily_summary(frame, tz=tz).join(entities.tod_segments(frame, segments), entities.ENTITY_DAY, "left")
+    daily = entities.daily_summary(frame, tz=tz).join(
+        entities.tod_segments(frame, segments), entities.ENTITY_DAY, "left"
+    )
     least = d["coincidence"]["min_meters"]
-    return EntityTables(interval, frame, daily, entities.coincidence(interval, members, min_meters=least), entities.coincidence(interval, members, daily=True, min_meters=least))
+    return EntityTables(
+        interval,
+        frame,
+        daily,
+        entities.coincidence(interval, members, min_meters=least),
+        entities.coincidence(interval, members, daily=True, min_meters=least),
+    )
 
 
 def run_configured(spark: SparkSession, cfg: dict) -> tuple[MeterTables, EntityTables]:
@@ -101,7 +182,12 @@ def run_configured(spark: SparkSession, cfg: dict) -> tuple[MeterTables, EntityT
 
 
 #: Settings that name the files of the tables.
-OUTPUTS = {"daily": "daily_features_csv", "ramps": "ramp_events_csv", "peaks": "peak_events_csv", "interval": "interval_analysis_csv"}
+OUTPUTS = {
+    "daily": "daily_features_csv",
+    "ramps": "ramp_events_csv",
+    "peaks": "peak_events_csv",
+    "interval": "interval_analysis_csv",
+}
 
 
 def export_configured(tables: MeterTables | EntityTables, cfg: dict, folder: str = "") -> dict[str, str]:
@@ -117,7 +203,9 @@ def export_configured(tables: MeterTables | EntityTables, cfg: dict, folder: str
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select(*[F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes])
+    return df.select(
+        *[F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes]
+    )
 
 
 def export(tables: MeterTables | EntityTables, folder: str, names: tuple[str, ...] | None = None) -> dict[str, str]:
@@ -132,4 +220,6 @@ def export(tables: MeterTables | EntityTables, folder: str, names: tuple[str, ..
     return out
 
 
-__all__ = ["DAY", "EntityTables", "MeterTables", "export", "export_configured", "run_configured", "run_entities", "run_meters"]
+__all__ = [
+    "DAY", "EntityTables", "MeterTables", "export", "export_configured", "run_configured", "run_entities", "run_meters"
+]

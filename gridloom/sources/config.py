@@ -11,40 +11,110 @@ from typing import Any
 
 #: Defaults of all settings that the operators read.
 DEFAULTS: dict[str, Any] = {
-    "input": {"datetime_col": "datetime", "demand_col": "demand_kw", "meter_id_col": "", "building_id_col": "", "unit": "kW"},
+    "input": {
+        "datetime_col": "datetime", "demand_col": "demand_kw", "meter_id_col": "", "building_id_col": "", "unit": "kW"
+    },
     "timezone": {"default_tz": "UTC"},
-    "data_quality": {"max_interpolation_gap_minutes": 60, "min_completeness_fraction": 0.75, "negative_demand_severity": "ERROR"},
+    "data_quality": {
+        "max_interpolation_gap_minutes": 60, "min_completeness_fraction": 0.75, "negative_demand_severity": "ERROR"
+    },
     "smoothing": {"method": "rolling_median", "window_minutes": 60},
-    "baseline": {"method": "hybrid_sustained", "min_persistence_minutes": 60, "low_demand_percentile": 10, "continuous_operation_fallback_percentile": 10, "continuous_operation_range_fraction": 0.15},
+    "baseline": {
+        "method": "hybrid_sustained",
+        "min_persistence_minutes": 60,
+        "low_demand_percentile": 10,
+        "continuous_operation_fallback_percentile": 10,
+        "continuous_operation_range_fraction": 0.15,
+    },
     "normalization": {"peak_for_normalization": "observed_max"},
     "operating_threshold": {"alpha_entry": 0.20, "alpha_exit": 0.15, "min_state_persistence_minutes": 30},
-    "start_detection": {"min_magnitude_kw": 10.0, "min_ramp_rate_kw_per_hr": 5.0, "min_persistence_minutes": 30.0, "weight_ramp_magnitude": 0.30, "weight_ramp_rate": 0.25, "weight_persistence": 0.25, "weight_baseline_sep": 0.20},
-    "end_detection": {"min_magnitude_kw": 10.0, "min_ramp_rate_kw_per_hr": 5.0, "min_persistence_minutes": 30.0, "weight_ramp_magnitude": 0.30, "weight_ramp_rate": 0.25, "weight_persistence": 0.25, "weight_baseline_sep": 0.20},
+    "start_detection": {
+        "min_magnitude_kw": 10.0,
+        "min_ramp_rate_kw_per_hr": 5.0,
+        "min_persistence_minutes": 30.0,
+        "weight_ramp_magnitude": 0.30,
+        "weight_ramp_rate": 0.25,
+        "weight_persistence": 0.25,
+        "weight_baseline_sep": 0.20,
+    },
+    "end_detection": {
+        "min_magnitude_kw": 10.0,
+        "min_ramp_rate_kw_per_hr": 5.0,
+        "min_persistence_minutes": 30.0,
+        "weight_ramp_magnitude": 0.30,
+        "weight_ramp_rate": 0.25,
+        "weight_persistence": 0.25,
+        "weight_baseline_sep": 0.20,
+    },
     "multiple_periods": {"min_baseline_gap_minutes": 60, "min_period_duration_minutes": 30},
-    "ramp_detection": {"min_magnitude_kw": 10.0, "min_rate_kw_per_hr": 5.0, "min_duration_minutes": 10.0, "reversal_tolerance_fraction": 0.10, "min_separation_minutes": 15.0},
-    "peak_detection": {"min_prominence_fraction": 0.10, "min_separation_minutes": 30, "min_duration_minutes": 5, "plateau_tolerance_fraction": 0.01},
-    "breadth": {"operating_thresholds": [0.2, 0.4, 0.6, 0.8, 0.9], "peak_thresholds": [0.7, 0.8, 0.9], "compute_energy_breadth": True},
+    "ramp_detection": {
+        "min_magnitude_kw": 10.0,
+        "min_rate_kw_per_hr": 5.0,
+        "min_duration_minutes": 10.0,
+        "reversal_tolerance_fraction": 0.10,
+        "min_separation_minutes": 15.0,
+    },
+    "peak_detection": {
+        "min_prominence_fraction": 0.10,
+        "min_separation_minutes": 30,
+        "min_duration_minutes": 5,
+        "plateau_tolerance_fraction": 0.01,
+    },
+    "breadth": {
+        "operating_thresholds": [0.2, 0.4, 0.6, 0.8, 0.9],
+        "peak_thresholds": [0.7, 0.8, 0.9],
+        "compute_energy_breadth": True,
+    },
     "classification": {
-        "early_start_before_hour": 6, "morning_start_before_hour": 10, "midday_start_before_hour": 14, "evening_start_at_or_after_hour": 14, "rapid_start_ramp_kw_per_hr": 50.0, "long_operation_hours": 10.0,
-        "short_operation_hours": 4.0, "broad_peak_width_80_hours": 3.0, "sharp_peak_width_80_hours": 1.0, "high_variability_cv_threshold": 0.30, "multi_period_min_count": 2,
+        "early_start_before_hour": 6,
+        "morning_start_before_hour": 10,
+        "midday_start_before_hour": 14,
+        "evening_start_at_or_after_hour": 14,
+        "rapid_start_ramp_kw_per_hr": 50.0,
+        "long_operation_hours": 10.0,
+        "short_operation_hours": 4.0,
+        "broad_peak_width_80_hours": 3.0,
+        "sharp_peak_width_80_hours": 1.0,
+        "high_variability_cv_threshold": 0.30,
+        "multi_period_min_count": 2,
     },
     "der": {
         "aggregation": {"min_count": 1},
         "calendar": {"holidays": [], "season_map": {}},
-        "time_of_day": {"segments": {"morning": [6, 10], "midday": [10, 14], "afternoon": [14, 18], "evening": [18, 22]}},
+        "time_of_day": {
+            "segments": {"morning": [6, 10], "midday": [10, 14], "afternoon": [14, 18], "evening": [18, 22]}
+        },
         "temperature": {
-            "source": None, "override_existing": False, "join_tolerance_minutes": None, "column_mapping": {"timestamp": "datetime", "temperature_f": "temperature_f"}, "bands": {"boundaries": [32, 50, 65, 80, 90]},
+            "source": None,
+            "override_existing": False,
+            "join_tolerance_minutes": None,
+            "column_mapping": {"timestamp": "datetime", "temperature_f": "temperature_f"},
+            "bands": {"boundaries": [32, 50, 65, 80, 90]},
         },
         "peak_events": {"allowable_gap_intervals": 0, "sustained_threshold_hours": 1.0},
         "demand_classification": {"thresholds_kw": [], "top_percentiles": [], "top_n_hours": []},
         "load_shape": {
-            "flat_cv_max": 0.15, "highly_peaked_ratio_min": 2.0, "sharp_peak_width_frac_max": 0.10, "sustained_high_frac_min": 0.30, "sustained_high_pct_of_peak": 0.90, "overnight_heavy_ratio_min": 1.1,
-            "multi_peak_min_count": 2, "near_peak_segment_fraction": 0.85,
+            "flat_cv_max": 0.15,
+            "highly_peaked_ratio_min": 2.0,
+            "sharp_peak_width_frac_max": 0.10,
+            "sustained_high_frac_min": 0.30,
+            "sustained_high_pct_of_peak": 0.90,
+            "overnight_heavy_ratio_min": 1.1,
+            "multi_peak_min_count": 2,
+            "near_peak_segment_fraction": 0.85,
         },
         "clustering": {"max_k": 8, "random_state": 42},
-        "patterns": {"peak_timing_window_minutes": 30, "min_occurrences": 3, "outlier_z_threshold": 2.5, "min_days_for_outliers": 5},
+        "patterns": {
+            "peak_timing_window_minutes": 30,
+            "min_occurrences": 3,
+            "outlier_z_threshold": 2.5,
+            "min_days_for_outliers": 5,
+        },
         "coincidence": {"min_meters": 2},
-        "output": {"meter_interval_csv": "", "entity_interval_csv": "", "entity_daily_csv": "", "study_coincidence_csv": "", "daily_coincidence_csv": ""},
+        "output": {
+            "meter_interval_csv": "", "entity_interval_csv": "", "entity_daily_csv": "", "study_coincidence_csv": "",
+            "daily_coincidence_csv": "",
+        },
     },
     "output": {"daily_features_csv": "", "ramp_events_csv": "", "peak_events_csv": "", "interval_analysis_csv": ""},
     "visualization": {},
@@ -155,14 +225,18 @@ def validate(cfg: Any) -> Report:
         return Report(found)
     if get(cfg, "input", "unit", default="kW") not in ("kW", "kWh"):
         say("ERROR", "input.unit", "must be kW or kWh")
-    gap, share = get(cfg, "data_quality", "max_interpolation_gap_minutes", default=60), get(cfg, "data_quality", "min_completeness_fraction", default=0.75)
+    gap, share = get(
+        cfg, "data_quality", "max_interpolation_gap_minutes", default=60
+    ), get(cfg, "data_quality", "min_completeness_fraction", default=0.75)
     if not _number(gap) or gap < 0:
         say("ERROR", "data_quality.max_interpolation_gap_minutes", f"must be a number of at least 0, not {gap!r}")
     if not _number(share) or not 0 <= share <= 1:
         say("ERROR", "data_quality.min_completeness_fraction", f"must lie in 0..1, not {share!r}")
     if get(cfg, "data_quality", "negative_demand_severity", default="ERROR") not in ("INFO", "WARNING", "ERROR"):
         say("ERROR", "data_quality.negative_demand_severity", "must be INFO, WARNING or ERROR")
-    up, down = get(cfg, "operating_threshold", "alpha_entry", default=0.2), get(cfg, "operating_threshold", "alpha_exit", default=0.15)
+    up, down = get(
+        cfg, "operating_threshold", "alpha_entry", default=0.2
+    ), get(cfg, "operating_threshold", "alpha_exit", default=0.15)
     if not _number(up) or not _number(down) or down >= up:
         say("ERROR", "operating_threshold", "alpha_exit must be a number below alpha_entry")
     for part in ("start_detection", "end_detection"):
@@ -211,7 +285,9 @@ def _check_groups(groups: list, meters: set[str], say: Callable[[str, str, str],
                 say("ERROR", f"meter_groups[{i}].child_groups", f"{own} is its own child")
             elif c not in names:
                 say("ERROR", f"meter_groups[{i}].child_groups", f"{own} has the unknown group {c}")
-    if cycle := find_cycle({g["name"]: [c for c in g.get("child_groups", []) if c in names] for g in groups if g.get("name")}):
+    if cycle := find_cycle(
+        {g["name"]: [c for c in g.get("child_groups", []) if c in names] for g in groups if g.get("name")}
+    ):
         say("ERROR", "meter_groups", "cycle " + " > ".join(cycle))
 
 
@@ -226,7 +302,10 @@ class Meter:
 
 
 def meters(cfg: dict) -> list[Meter]:
-    return [Meter(m["meter_id"], m.get("display_name"), m.get("building_id"), m.get("source")) for m in cfg.get("meters", [])]
+    return [
+        Meter(m["meter_id"], m.get("display_name"), m.get("building_id"), m.get("source"))
+        for m in cfg.get("meters", [])
+    ]
 
 
 def entity_members(cfg: dict, portfolio: str = "Portfolio") -> list[tuple[str, str]]:

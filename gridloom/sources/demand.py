@@ -27,7 +27,15 @@ def load_demand(spark: SparkSession, source: str | DataFrame, cfg: dict) -> Data
     if "ingest_seq" not in df.columns:
         df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
     i = cfg["input"]
-    return project_demand(df, ts=i["datetime_col"], demand=i["demand_col"], meter=i["meter_id_col"], building=i["building_id_col"], tz=cfg["timezone"]["default_tz"], seq="ingest_seq")
+    return project_demand(
+        df,
+        ts=i["datetime_col"],
+        demand=i["demand_col"],
+        meter=i["meter_id_col"],
+        building=i["building_id_col"],
+        tz=cfg["timezone"]["default_tz"],
+        seq="ingest_seq",
+    )
 
 
 def load_meters(spark: SparkSession, cfg: dict) -> DataFrame:
@@ -36,7 +44,10 @@ def load_meters(spark: SparkSession, cfg: dict) -> DataFrame:
     files = [m for m in specs if isinstance(m.source, str)]
     parts = []
     if files:
-        table = spark.createDataFrame([(m.meter_id, m.building_id, m.source.rstrip("/")) for m in files], "_meter string, _building string, _path string")
+        table = spark.createDataFrame(
+            [(m.meter_id, m.building_id, m.source.rstrip("/")) for m in files],
+            "_meter string, _building string, _path string",
+        )
         rows = scan_csv(spark, sorted({m.source for m in files}))
         # The table has a row for each configured meter, which the driver holds anyway.
         named = rows.join(F.broadcast(table), F.contains(F.col("source_path"), F.col("_path")))
@@ -44,11 +55,27 @@ def load_meters(spark: SparkSession, cfg: dict) -> DataFrame:
     for m in specs:
         if isinstance(m.source, DataFrame):
             seq = {} if "ingest_seq" in m.source.columns else {"ingest_seq": F.monotonically_increasing_id()}
-            parts.append(m.source.withColumns({"_meter_id": F.lit(m.meter_id), "_building_id": F.lit(m.building_id).cast("string")} | seq))
+            parts.append(
+                m.source.withColumns(
+                    {"_meter_id": F.lit(m.meter_id), "_building_id": F.lit(m.building_id).cast("string")} | seq
+                )
+            )
     if not parts:
-        return spark.createDataFrame([], "meter_id string, building_id string, ts_s long, demand_kw double, demand_kw_raw double, ingest_seq long")
+        return spark.createDataFrame(
+            [],
+            "meter_id string, building_id string, ts_s long, demand_kw double, demand_kw_raw double, ingest_seq long",
+        )
     i, tz = cfg["input"], cfg["timezone"]["default_tz"]
-    return reduce(DataFrame.unionByName, [project_demand(p, ts=i["datetime_col"], demand=i["demand_col"], meter="_meter_id", building="_building_id", tz=tz, seq="ingest_seq") for p in parts])
+    return reduce(
+        DataFrame.unionByName,
+        [
+            project_demand(
+                p, ts=i["datetime_col"], demand=i["demand_col"], meter="_meter_id", building="_building_id", tz=tz,
+                seq="ingest_seq",
+            )
+            for p in parts
+        ],
+    )
 
 
 def load_temperature(spark: SparkSession, source: str | DataFrame, cfg: dict) -> DataFrame:
@@ -58,10 +85,15 @@ def load_temperature(spark: SparkSession, source: str | DataFrame, cfg: dict) ->
     if missing := [c for c in (names["timestamp"], names["temperature_f"]) if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     value = F.col(f"`{names['temperature_f']}`").cast("double")
-    return df.select(instant(df, names["timestamp"], cfg["timezone"]["default_tz"]).alias("ts_s"), F.when(~F.isnan(value), value).alias("temperature_f"))
+    return df.select(
+        instant(df, names["timestamp"], cfg["timezone"]["default_tz"]).alias("ts_s"),
+        F.when(~F.isnan(value), value).alias("temperature_f"),
+    )
 
 
-def project_demand(df: DataFrame, *, ts: str, demand: str, meter: str = "", building: str = "", tz: str = "UTC", seq: str | None = None) -> DataFrame:
+def project_demand(
+    df: DataFrame, *, ts: str, demand: str, meter: str = "", building: str = "", tz: str = "UTC", seq: str | None = None
+) -> DataFrame:
     """meter_id, building_id, ts_s (epoch seconds), demand_kw, demand_kw_raw; NaN becomes null here and nowhere else.
     ``seq``: a column with the order of the rows, kept as ingest_seq; with it the second pass through a repeated autumn
     hour is told from the first."""
@@ -71,7 +103,13 @@ def project_demand(df: DataFrame, *, ts: str, demand: str, meter: str = "", buil
     value = F.col(f"`{demand}`").cast("double")
     value = F.when(~F.isnan(value), value)
     name = lambda c, default: F.col(f"`{c}`") if c and c in df.columns else F.lit(default)
-    columns = [name(meter, "meter").alias("meter_id"), name(building, None).cast("string").alias("building_id"), instant(df, ts, tz).alias("ts_s"), value.alias("demand_kw"), value.alias("demand_kw_raw")]
+    columns = [
+        name(meter, "meter").alias("meter_id"),
+        name(building, None).cast("string").alias("building_id"),
+        instant(df, ts, tz).alias("ts_s"),
+        value.alias("demand_kw"),
+        value.alias("demand_kw_raw"),
+    ]
     if not seq:
         return df.select(*columns)
     text = dict(df.dtypes)[ts] == "string"
@@ -87,7 +125,9 @@ def instant(df: DataFrame, c: str, tz: str) -> Column:
         return F.unix_timestamp(F.col(c))
     if kind == "string":
         with_offset = F.rlike(F.col(c), F.lit(OFFSET))
-        return F.when(with_offset, F.unix_timestamp(F.try_to_timestamp(F.col(c)))).otherwise(local_instant(F.try_to_timestamp(F.regexp_replace(c, OFFSET, "")), tz))
+        return F.when(with_offset, F.unix_timestamp(F.try_to_timestamp(F.col(c)))).otherwise(
+            local_instant(F.try_to_timestamp(F.regexp_replace(c, OFFSET, "")), tz)
+        )
     return local_instant(F.col(c).cast("timestamp"), tz)
 
 
@@ -111,14 +151,18 @@ def order_repeated_hour(df: DataFrame, keys: list[str], seq: str, *, tz: str, wh
     nth = F.row_number().over(Window.partitionBy(*day, "ts_s").orderBy(seq))
     later = F.max("ts_s").over(Window.partitionBy(*day).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
     again = F.col("_twice") & (nth == 2) & (later >= F.col("ts_s"))
-    return marked.withColumn("ts_s", F.when(again, F.col("ts_s") + 3600).otherwise(F.col("ts_s"))).drop("_twice", "_day")
+    return marked.withColumn(
+        "ts_s", F.when(again, F.col("ts_s") + 3600).otherwise(F.col("ts_s"))
+    ).drop("_twice", "_day")
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as demand: a meter for each event type, summed by hour."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "value")
     hour = F.unix_timestamp(F.date_trunc("hour", F.col("ts").cast("timestamp")))
-    return events.groupBy(F.col("event_type").alias("meter_id"), hour.alias("ts_s")).agg(F.round(F.sum("value"), 2).alias("demand_kw"))
+    return events.groupBy(
+        F.col("event_type").alias("meter_id"), hour.alias("ts_s")
+    ).agg(F.round(F.sum("value"), 2).alias("demand_kw"))
 
 
 def write_csv(df: DataFrame, path: str) -> str | None:

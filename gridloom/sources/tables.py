@@ -17,7 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not found and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found.rstrip("/") if found else _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gridloom-"))
+    return found.rstrip("/") if found else _fallback.setdefault(
+        spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gridloom-")
+    )
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

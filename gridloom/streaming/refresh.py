@@ -11,10 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 from gridloom.functions.windows import DAY, local
 
 
-def refresh_days(stream: DataFrame, store: str, publish: Callable[[DataFrame, int], None], *, checkpoint: str, tz: str = "UTC", max_late: str = "2 days", once: bool = True) -> StreamingQuery:
+def refresh_days(
+    stream: DataFrame,
+    store: str,
+    publish: Callable[[DataFrame, int], None],
+    *,
+    checkpoint: str,
+    tz: str = "UTC",
+    max_late: str = "2 days",
+    once: bool = True,
+) -> StreamingQuery:
     """``stream``: meter_id, ts_s, demand_kw. Appends to ``store`` (Parquet by local_date) and hands the readings of all
     touched days to ``publish(df, batch_id)``. Readings later than ``max_late`` before the watermark are dropped."""
-    timed = stream.withColumn("event_time", F.timestamp_seconds("ts_s")).withWatermark("event_time", max_late).dropDuplicatesWithinWatermark(["meter_id", "ts_s"])
+    timed = stream.withColumn(
+        "event_time", F.timestamp_seconds("ts_s")
+    ).withWatermark("event_time", max_late).dropDuplicatesWithinWatermark(["meter_id", "ts_s"])
 
     def one(batch: DataFrame, batch_id: int) -> None:
         batch = local(batch.drop("event_time"), tz).withColumn("batch_id", F.lit(batch_id))

@@ -13,10 +13,13 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).config("spark.driver.memory", "4g").getOrCreate()
-    )
+    s = (
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config(
+            "spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))
+        ).config("spark.driver.memory", "4g").getOrCreate()
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -7,7 +7,12 @@ import __spark_entry__
 from gridloom.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["flagship", "validate_input", "regularize", "daily_quality", "baseline", "states", "operating_periods", "end_candidates", "local_maxima", "prominence", "peak_nms", "der_peak_events", "fam_rank", "load_shape", "entity_daily", "coincidence_daily", "asof_nearest", "cp_3p_cool", "breadth", "peakiness", "meter_interval", "parse_ts"]
+NAMES = [
+    "flagship", "validate_input", "regularize", "daily_quality", "baseline", "states", "operating_periods",
+    "end_candidates", "local_maxima", "prominence", "peak_nms", "der_peak_events", "fam_rank", "load_shape",
+    "entity_daily", "coincidence_daily", "asof_nearest", "cp_3p_cool", "breadth", "peakiness", "meter_interval",
+    "parse_ts",
+]
 
 
 @pytest.fixture(scope="module")
