@@ -1,5 +1,8 @@
 """Hand vectors of the demand operators."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +469,32 @@ def test_kmeans_queries_cluster_all_entities_by_both_profiles(spark):
     assert {(r.entity_id, r.profile_kind) for r in got} == want and {r.k for r in got} == set(range(2, 9))
 
 
+def test_exact_percentiles(spark):
+    rng = random.Random(3)
+    values = {
+        "ties": [float(rng.randint(0, 5)) for _ in range(3000)],
+        "wide": [rng.gauss(0, 1e6) for _ in range(3000)],
+        "heavy": [1.0] * 2000 + [rng.random() for _ in range(999)],
+        "one": [7.5],
+        "two": [1.0, 2.0],
+        "holes": [None, 3.0, None, 4.0, 9.0],
+    }
+    rows = [(k, i, v) for k, xs in values.items() for i, v in enumerate(xs)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "entity_id string, ts_s long, demand_kw double")
+    wanted = {"a": 0.9, "b": 0.5, "c": 0.0, "d": 1.0, "e": 0.333}
+    got = {r.entity_id: r.asDict() for r in entities.exact_percentiles(df, wanted).collect()}
+    assert set(got) == set(values)
+    for k, xs in values.items():
+        for name, p in wanted.items():
+            want = np.percentile([x for x in xs if x is not None], 100 * p)
+            assert got[k][name] == pytest.approx(want, rel=1e-12), (k, name)
+    top = entities.demand_families(df, percentiles=(0.9,)).where("top_pct_0_9").groupBy("entity_id").count().collect()
+    limit = {k: np.percentile([x for x in xs if x is not None], 90) for k, xs in values.items()}
+    assert {r.entity_id: r["count"] for r in top} == {
+        k: sum(x is not None and x >= limit[k] for x in xs) for k, xs in values.items()
+    }
+
+
 def test_refreshed_days(spark, tmp_path):
     """A stream of readings: each batch hands on all readings of the days that it touches."""
     from gridloom.streaming.refresh import refresh_days
