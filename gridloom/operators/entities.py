@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.windows import first_max
 from gridloom.operators.grid import detect_resolution
+from gridloom.sources.tables import stage
 
 ENTITY_DAY = ["entity_id", "local_date"]
 #: Seconds of a stretch of time within which ranks are taken first.
@@ -111,13 +112,13 @@ def peak_normalize(df: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, wanted: dict[str, float]) -> DataFrame:
-    """entity_id and a column for each wanted share: the exact percentile of demand_kw, linear between two ranks; null
-    where an entity has no demand. No task sorts a whole entity: its values are counted, cut into SLICES slices by
-    approximate percentiles, and only slices that hold a wanted rank are sorted. The cuts affect cost alone."""
+    """entity_id and a column for each wanted share: the exact percentile of demand_kw, linear between two ranks; no row
+    where an entity has no demand. No task sorts a whole entity: its values are counted and written, cut into SLICES
+    slices by approximate percentiles, and only slices with a wanted rank are sorted. The cuts affect cost alone."""
     d = F.col("demand_kw")
     shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    edges = df.groupBy("entity_id").agg(F.percentile_approx(d, shares, 20 * SLICES).alias("_edges"))
-    values = df.where(d.isNotNull()).groupBy("entity_id", "demand_kw").agg(F.count("*").alias("_n"))
+    values = stage(df.where(d.isNotNull()).groupBy("entity_id", "demand_kw").agg(F.count("*").alias("_n")), "values")
+    edges = values.groupBy("entity_id").agg(F.percentile_approx(d, shares, 20 * SLICES).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < d))
     sliced = values.join(edges, "entity_id").withColumn("_slice", below).drop("_edges")
     by_slice = Window.partitionBy("entity_id").orderBy("_slice")
