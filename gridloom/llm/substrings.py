@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_counted, materialize, shuffle_partitions, table
+from .common import BROADCAST_ROWS, join_counted, materialize, materialize_with, shuffle_partitions, table
 from .shingles import mix, pieces
 
 LENGTH = 100
@@ -42,6 +42,10 @@ BASE = 0xA0761D6478BD642F
 #: Another code for each byte, for a second name of strings that are compared by names alone.
 OTHER_BYTES = mix(BYTES ^ np.uint64(0xD6E8FEB86659FD93))
 PIECE = 2 << 20
+#: Bytes of text whose names make one bucket (names and places take about 0.8 bytes for each byte of text).
+BUCKET = 64 << 20
+#: Beyond this number of buckets (4 TB of text) a piece would send each of them too few names; then buckets grow.
+MOST_BUCKETS = 1 << 16
 #: Different runs of one name in one piece (of about 60,000 runs) beyond which the name is hot.
 HOT_RUNS = 32
 #: Runs of hot names that are cut into strings at once (168 bytes each at most).
@@ -133,10 +137,17 @@ def _intervals(doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarr
     return [d[first], s[first], s[np.append(first[1:], len(d))[: len(first)] - 1] + length]
 
 
-def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """id, a, b: intervals [a, b) of bytes that a string repeats; they may overlap. ``docs``: id (long, unique), text."""
+def bucket_count(spark: SparkSession, size: int) -> int:
+    """Buckets of names for ``size`` bytes of text: one for each BUCKET bytes, so that what a task holds does not grow
+    with the input, up to MOST_BUCKETS; two for each shuffle partition at least."""
+    return max(16, 2 * shuffle_partitions(spark), min(MOST_BUCKETS, size // BUCKET))
+
+
+def repeats(docs: DataFrame, *, length: int = LENGTH, size: int = 0) -> DataFrame:
+    """id, a, b: intervals [a, b) of bytes that a string repeats; they may overlap. ``docs``: id (long, unique), text;
+    ``size``: their bytes, by which the buckets are laid out (results do not depend on it)."""
     spark = docs.sparkSession
-    buckets = max(16, 2 * shuffle_partitions(spark))
+    buckets = bucket_count(spark, size)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,7 +362,7 @@ def remove_repeats(
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
-    marks = materialize(
+    marks, totals = materialize_with(
         rows.select(
             "id",
             F.octet_length("text").cast("long").alias("n"),
@@ -359,11 +370,13 @@ def remove_repeats(
             F.xxhash64("text", F.lit(1)).alias("h2"),
         ),
         "substring-marks",
+        rows=F.count("*"),
+        size=F.sum("n"),
     )
     real = marks.where(F.col("id").isNotNull() & (F.col("n") >= length))
     firsts = real.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = join_counted(
-        real, firsts.where("copies > 1"), ["n", "h1", "h2"], "copies", marks.count(), "id"
+        real, firsts.where("copies > 1"), ["n", "h1", "h2"], "copies", totals["rows"] or 0, "id"
     ).where("id <> rep").select("id", "n", "h1")
     taken = real.groupBy("id").agg(F.min("h1").alias("own"), F.count_distinct("h1").alias("texts"))
     odd = taken.where("texts > 1").select("id", "own")
@@ -383,7 +396,8 @@ def remove_repeats(
     whole = copies.join(odd, "id", "left_anti").select(
         "id", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")
     ).distinct()
-    cuts = merged(repeats(part, length=length).unionByName(whole)).join(odd.select("id", "own"), "id", "left")
+    found = repeats(part, length=length, size=totals["size"] or 0)
+    cuts = merged(found.unionByName(whole)).join(odd.select("id", "own"), "id", "left")
     cuts = materialize(cuts, "substring-cuts")
     size = cuts.agg(F.sum(F.octet_length("cut")), F.count("*")).first()
     small = (size[0] or 0) <= 16_000_000 and size[1] <= BROADCAST_ROWS

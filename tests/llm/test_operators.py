@@ -751,6 +751,12 @@ def test_substrings_of_hot_names(spark):
     hot = substrings.remove_repeats(df)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in hot.collect()}
     assert got == removed(dict(rows))
+    named = df.withColumnRenamed("doc_id", "id")
+    few_buckets, many_buckets = (
+        sorted(substrings.merged(substrings.repeats(named, size=n)).collect()) for n in (0, 300 * substrings.BUCKET)
+    )
+    assert few_buckets == many_buckets and few_buckets
+    assert substrings.bucket_count(spark, 300 * substrings.BUCKET) == 300
 
 
 def test_components_of_a_long_path(spark):
