@@ -44,6 +44,10 @@ BLOCK = 1024
 PIVOTS = 16
 #: Bytes of lists that a task gathers before it deals them out to the buckets.
 HELD = 8 << 20
+#: Shingles of all sets whose lists make one bucket, so that what a task holds does not grow with the input; beyond
+#: MOST_BUCKETS (some 3 TB of text) the rows for each bucket would get small, and buckets grow instead.
+BUCKET = 8 << 20
+MOST_BUCKETS = 1 << 16
 #: In DivideSkip, T / (MU * log(longest list) + 1) lists count as long.
 MU = 0.05
 
@@ -72,12 +76,11 @@ def _only(docs: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
     return docs.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys.hint("merge"), "id", how)
 
 
-def _parts(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if cut[b] < cut[b + 1]:
-            yield b, order[cut[b] : cut[b + 1]]
+    which, first = np.unique(bucket[order], return_index=True)
+    for b, x, y in zip(which.tolist(), first, np.append(first, len(order))[1:], strict=True):
+        yield b, order[x:y]
 
 
 def _gathered(items: Iterator, share: int) -> Iterator[list]:
@@ -129,7 +132,7 @@ def frequencies(docs: DataFrame, k: int, buckets: int, limit: int) -> tuple[np.n
         for held in _gathered(lists, 2):
             codes, n = np.unique(_combined(np.concatenate(held), buckets), return_counts=True)
             tail = (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            cut = _parts((codes >> np.uint64(32)).astype(np.int64), buckets)
+            cut = _parts((codes >> np.uint64(32)).astype(np.int64))
             rows = [(i, tail[at].tobytes(), n[at].astype(np.uint32).tobytes()) for i, at in cut]
             yield from _batches(rows, {"bucket": pa.int32(), "codes": pa.binary(), "counts": pa.binary()})
 
@@ -189,7 +192,7 @@ def candidates(docs: DataFrame, k: int, buckets: int, frequent: tuple[np.ndarray
             doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             codes = np.concatenate(lists)
             rows = []
-            for i, take in _parts((codes % np.uint64(buckets)).astype(np.int64), buckets):
+            for i, take in _parts((codes % np.uint64(buckets)).astype(np.int64)):
                 d, m = np.unique(doc[take], return_counts=True)
                 tail = _tail(codes[take]).astype(np.uint32)
                 rows.append((i, ids[d].tobytes(), n[d].tobytes(), m.astype(np.int32).tobytes(), tail.tobytes()))
@@ -491,7 +494,7 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    base = materialize(signatures(rows, k), "jaccard-sets")
+    base, sets = materialize_with(signatures(rows, k), "jaccard-sets", shingles=F.sum("n"))
     real = base.where("n > 0 and id is not null")
     classes = real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     first, total = materialize_with(classes.where("copies > 1"), "jaccard-classes", n=F.count(F.lit(1)))
@@ -506,7 +509,7 @@ def jaccard_components(
     ).where("texts > 1").select("id")
     aside = copies.select("id").distinct().join(several, "id", "left_anti")
     texts = _only(rows.where("id is not null"), aside, total["n"], "left_anti")
-    buckets = max(16, shuffle_partitions(spark))
+    buckets = max(16, shuffle_partitions(spark), min(MOST_BUCKETS, (sets["shingles"] or 0) // BUCKET))
     pairs = materialize(candidates(texts, k, buckets, frequencies(texts, k, buckets, FREQUENT)), "jaccard-candidates")
     groups = components(pairs)
     drop(pairs)
